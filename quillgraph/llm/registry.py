@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from . import chat, media, packing, shards
+from . import chat, htmltext, langid, media, mixing, packing, shards, topk, urlfilter
 
 QUERIES = {
+    "op1_exact_topk": topk.query,
     "op2_packing": packing.query,
+    "op3_url_filter": urlfilter.query,
     "op4_chat_formatting": chat.query,
     "op5_sharding": shards.query,
+    "op6_html_extraction": htmltext.query,
     "op7_matroska": media.query,
+    "op9_mixing": mixing.query,
+    "op10_language_id": langid.query,
 }
 
 ORACLES = {
+    "op1_exact_topk": topk.ORACLE,
     "op4_chat_formatting": chat.ORACLE,
 }
