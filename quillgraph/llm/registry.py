@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, htmltext, langid, media, mixing, packing, shards, topk, urlfilter
+from . import chat, htmltext, langid, media, mixing, neardup, packing, shards, topk, urlfilter
 
 QUERIES = {
     "op1_exact_topk": topk.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_sharding": shards.query,
     "op6_html_extraction": htmltext.query,
     "op7_matroska": media.query,
+    "op8_minhash_dedup": neardup.query,
     "op9_mixing": mixing.query,
     "op10_language_id": langid.query,
 }
