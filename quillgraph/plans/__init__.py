@@ -1,0 +1,6 @@
+"""Queries over the driver's tables. Importing this package registers all of them."""
+
+from . import trend_queries  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
