@@ -9,9 +9,13 @@
 4. Estimate. The similarity of a pair is the maximum of the joint likelihood of its registers (how many are larger, smaller, equal), given both
    set sizes; pairs that lie far under the threshold (over six standard errors) go.
 5. Verify. What is left is confirmed on the full sets of both texts.
-6. Components of the confirmed links, by alternating large and small stars. Then, bucket by bucket, members of different components meet
-   further hubs (16, then four times as many each round) until no bucket holds a pair that is neither tested nor connected. A
-   bucket of g copies of each other is so settled with about g pairs, not g * g, and no group is ever in one task.
+6. Components of the confirmed links, by alternating large and small stars.
+7. Support. In buckets that still hold different components, a class's support is the number of its shingles that occur in any other class
+   there. Two classes have no more in common than the smaller support, which bounds their similarity by sizes alone; classes whose
+   support allows no partner of any size that their bucket holds leave it. Edited copies that are too far from all others go here.
+8. Rounds. Bucket by bucket, what is left of different components meets further hubs (16, then four times as many each round) until no
+   bucket holds a pair that is neither excluded, tested nor connected. A bucket of g copies of each other is so settled with
+   about g pairs, not g * g, and no group is ever in one task.
 
 The band shape is chosen so that a pair exactly at the threshold is missed with probability of at most one in a million. Nothing is
 capped: hub rounds go on while there are untested pairs.
@@ -226,6 +230,42 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
 
 
+def _placed(members: DataFrame, found: DataFrame) -> DataFrame:
+    return members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
+def _mixed_only(placed: DataFrame) -> DataFrame:
+    """The members of buckets that hold different components."""
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi")
+    return placed.join(mixed.select("bucket"), "bucket")
+
+
+def _supported(ids: DataFrame, classes: DataFrame, docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
+    """``id, n, support``: of the given classes' shingles those that at least one other of them has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ident, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                s = shingles(t.as_py(), size).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), ident)), pa.array(s)], names=["id", "shingle"])
+
+    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).join(ids, "id", "left_semi")
+    each = texts.mapInArrow(run, "id long, shingle long")
+    alone = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("_c"), F.min("id").alias("id")).where("_c = 1").groupBy("id").agg(F.count(F.lit(1)).alias("_alone"))
+    sizes = classes.join(ids, "id", "left_semi").select("id", "n").join(alone, "id", "left")
+    return sizes.select("id", "n", (F.col("n") - F.coalesce("_alone", F.lit(0))).alias("support"))
+
+
+def _feasible(live: DataFrame, percent: int) -> DataFrame:
+    """Members whose support allows a partner of a size that their bucket holds.
+
+    A partner has at least ``percent`` of n, and at most support * (1 + 100 / percent) - n shingles.
+    """
+    sizes = live.groupBy("bucket").agg(F.min("n").alias("_least"), F.max("n").alias("_most"))
+    fits = (percent * (F.col("n") + F.col("_least")) <= (100 + percent) * F.col("support")) & (100 * F.col("_most") >= percent * F.col("n"))
+    return live.join(sizes, "bucket").where(fits & (100 * F.col("support") >= percent * F.col("n"))).select(*live.columns)
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``docs``."""
     sketches = sketched(docs, size, key, text)
@@ -246,20 +286,24 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     links = written(_verified(pairs, docs, size, percent, key, text), "confirmed")
     found = written(components(links), "components")
 
+    # classes of buckets that hold different components, with what they can share
+    live = written(_mixed_only(_placed(members, found)).select("bucket", "id"), "mixed")
+    supported = _supported(live.select("id").distinct(), named, docs, size, key, text)
+    live = written(_feasible(live.join(supported, "id"), percent), "live")
+
     taken, hubs_a_round = 0, 16
     while True:
-        # buckets that hold different components, and the rank of each member in them
-        placed = members.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-        mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("g"))
-        mixed = mixed.where((F.col("lo") < F.col("hi")) & (F.col("g") > taken + 1)).select("bucket")
-        live = written(_ranked(placed.join(mixed, "bucket")), "live")
-        if live.isEmpty():
+        order = Window.partitionBy("bucket").orderBy("id")
+        ranked = written(_mixed_only(_placed(live, found)).withColumn("rank", F.row_number().over(order)), "ranked")
+        if ranked.where(F.col("rank") > taken + 1).isEmpty():
             break
-        chosen = live.where((F.col("rank") > taken) & (F.col("rank") <= taken + hubs_a_round))
-        a = chosen.select("bucket", F.col("id").alias("a"), F.col("component").alias("c_a"), F.col("rank").alias("r_a"))
-        b = live.select("bucket", F.col("id").alias("b"), F.col("component").alias("c_b"), F.col("rank").alias("r_b"))
-        candidates = a.join(b, "bucket").where("r_b > r_a and c_a <> c_b").select("a", "b").distinct()
-        fresh = candidates.join(tested, ["a", "b"], "left_anti")
+        chosen = ranked.where((F.col("rank") > taken) & (F.col("rank") <= taken + hubs_a_round))
+        a, b = ([F.col(c).alias(f"{c}_{side}") for c in ("id", "component", "rank", "n", "support")] for side in "ab")
+        most = F.least("support_a", "support_b")
+        possible = (F.col("rank_b") > F.col("rank_a")) & (F.col("component_a") != F.col("component_b"))
+        possible = possible & (100 * most >= percent * (F.col("n_a") + F.col("n_b") - most))
+        met = chosen.select("bucket", *a).join(ranked.select("bucket", *b), "bucket").where(possible)
+        fresh = met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
         pairs = written(_estimated(fresh, named, percent), "pairs")
         if not pairs.isEmpty():
             tested = tested.unionByName(pairs)
@@ -276,10 +320,5 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     return linked.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
 
 
-def _ranked(members: DataFrame) -> DataFrame:
-    """Rank by id inside each bucket, from 1. Ranks are narrow rows of buckets that still hold different components."""
-    return members.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("id")))
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
