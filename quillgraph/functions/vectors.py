@@ -31,7 +31,9 @@ def deterministic_embedding(text: Column, dimensions: int = 768) -> Column:
     """The offline embedding: from the sum of the code points of at most 30,000 characters; blank texts have none."""
     chars = F.filter(F.split(F.substring(text, 1, 30_000), ""), lambda c: c != "")
     seed = F.pmod(F.aggregate(chars, F.lit(0).cast("long"), lambda s, c: s + F.coalesce(code_point(c), F.lit(0))), F.lit(997))
-    made = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.pmod(seed + i, F.lit(101)) / 100.0)
+    # the seed stands in an array of one, so that it is computed once and not for each dimension
+    places = F.sequence(F.lit(0), F.lit(dimensions - 1))
+    made = F.get(F.transform(F.array(seed), lambda s: F.transform(places, lambda i: F.pmod(s + i, F.lit(101)) / 100.0)), F.lit(0))
     return F.when(F.trim(F.coalesce(text, F.lit(""))) == "", F.array().cast("array<double>")).otherwise(made)
 
 

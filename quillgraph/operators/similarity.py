@@ -118,7 +118,7 @@ def fuzzy_match(mentions: DataFrame, entities: DataFrame, block: str = "doc_id")
         F.when(m == n, 1)
         .when((m != "") & (n != "") & (n.contains(m) | m.contains(n)), 2)
         .when((F.length(m) > 1) & ((acronym(F.col("name")) == m) | (acronym(F.col("mention")) == n)), 3)
-        .when((F.length(letters) > 1) & (F.length(letters) <= 6) & (F.length(letters) < F.length(n)) & n.rlike(pattern), 4)
+        .when((F.length(letters) > 1) & (F.length(letters) <= 6) & (F.length(letters) < F.length(n)) & F.regexp_like(n, pattern), 4)
     )
     pairs = mentions.join(entities, block).withColumn("rule", rule).where(F.col("rule").isNotNull())
     w = Window.partitionBy(block, "mention").orderBy("rule", "ord")

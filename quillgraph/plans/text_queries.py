@@ -205,7 +205,7 @@ def _(spark, d):
     return sim.hybrid(rows, _QUERY, ["label", "EVEN"], 20, min_score=0.2).withColumn("score", F.round("score", 8))
 
 
-@query("v04_v05_deterministic_embedding", """WITH s AS (SELECT doc_id, list_sum([unicode(c) FOR c IN string_split(text, '')])::BIGINT % 997 AS seed, trim(text) AS blank FROM documents)
+@query("v04_v05_deterministic_embedding", """WITH s AS (SELECT doc_id, list_sum([unicode(c) FOR c IN string_split(substr(text, 1, 30000), '')])::BIGINT % 997 AS seed, trim(text) AS blank FROM documents)
   SELECT doc_id, (seed % 101) / 100.0::DOUBLE AS first, ((seed + 767) % 101) / 100.0::DOUBLE AS last, 768 AS n FROM s""")
 def _(spark, d):
     e = _docs(spark, d).select("doc_id", v.deterministic_embedding(F.col("text")).alias("e"))
