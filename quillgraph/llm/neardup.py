@@ -10,15 +10,15 @@
    set sizes; pairs that lie far under the threshold (over six standard errors) go.
 5. Verify. What is left is confirmed on the full sets of both texts.
 6. Components of the confirmed links, by alternating large and small stars.
-7. Support. In buckets that still hold different components, a class's support is the number of its shingles that occur in any other class
-   there. Two classes have no more in common than the smaller support, which bounds their similarity by sizes alone; classes whose
-   support allows no partner of any size that their bucket holds leave it. Edited copies that are too far from all others go here.
-8. Rounds. Bucket by bucket, what is left of different components meets further hubs (16, then four times as many each round) until no
-   bucket holds a pair that is neither excluded, tested nor connected. A bucket of g copies of each other is so settled with
-   about g pairs, not g * g, and no group is ever in one task.
+7. Rest. Classes of buckets that still hold different components are joined by prefixes: with shingles in one order, rare ones first, two
+   sets of the wanted similarity share one of their first few shingles, at places that leave room for the rest. Lists of one component, or
+   without room for any partner of a size that they hold, are left out, so copies of each other are not compared again. All pairs of different
+   components that remain are estimated and verified like the first ones, and the components are final.
+
+A group of g copies of each other is so settled with about g pairs, not g * g, and no group is ever in one task.
 
 The band shape is chosen so that a pair exactly at the threshold is missed with probability of at most one in a million. Nothing is
-capped: hub rounds go on while there are untested pairs.
+capped.
 
 Defined results: a text without words, or null, has an empty set and is linked with nothing; texts with fewer words than a shingle have
 their whole sequence as one shingle; rows with one ``doc_id`` count as one document; a null id cannot be an answer: such a row gets a null
@@ -184,10 +184,10 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "n_a", "n_b", "k_a", "k_b").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, key: str, text: str) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs whose full sets reach the threshold."""
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
-    joined = pairs.join(texts.select(F.col("id").alias("b"), F.col("t").alias("t_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("t").alias("t_a")), "a")
+    b_side, a_side = (texts.select(F.col("id").alias(x), F.col("t").alias(f"t_{x}")) for x in "ba")
+    joined = pairs.join(b_side, "b").join(a_side, "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         recent: OrderedDict[int, tuple[str, np.ndarray]] = OrderedDict()
@@ -240,30 +240,35 @@ def _mixed_only(placed: DataFrame) -> DataFrame:
     return placed.join(mixed.select("bucket"), "bucket")
 
 
-def _supported(ids: DataFrame, classes: DataFrame, docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
-    """``id, n, support``: of the given classes' shingles those that at least one other of them has."""
+def _prefix_pairs(placed: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """``a, b``: all pairs of different components among ``placed`` (``id, component``) that can reach the threshold.
+
+    The order of shingles is by the number of classes that have them, then by hash. A common shingle at places p and q of sets of n and m
+    leaves room for 1 + min(n - p, m - q) common ones from there on, of which percent * (n + m) / (100 + percent) are needed.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ident, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 s = shingles(t.as_py(), size).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), ident)), pa.array(s)], names=["id", "shingle"])
-
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).join(ids, "id", "left_semi")
-    each = texts.mapInArrow(run, "id long, shingle long")
-    alone = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("_c"), F.min("id").alias("id")).where("_c = 1").groupBy("id").agg(F.count(F.lit(1)).alias("_alone"))
-    sizes = classes.join(ids, "id", "left_semi").select("id", "n").join(alone, "id", "left")
-    return sizes.select("id", "n", (F.col("n") - F.coalesce("_alone", F.lit(0))).alias("support"))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), ident)), pa.array(np.full(len(s), len(s))), pa.array(s)], names=["id", "n", "shingle"])
 
+    each = texts.join(placed.select("id"), "id", "left_semi").select("id", "t").mapInArrow(run, "id long, n long, shingle long")
+    common = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    order = Window.partitionBy("id").orderBy(F.coalesce("df", F.lit(1)), "shingle")
+    ranked = each.join(common, "shingle", "left").withColumn("at", F.row_number().over(order))
+    needed = F.ceil(F.col("n") * percent / 100)
+    prefixes = written(ranked.where((F.col("at") <= F.col("n") - needed + 1) & F.col("df").isNotNull()).join(placed, "id").select("id", "component", "n", "shingle", "at"), "prefixes")
 
-def _feasible(live: DataFrame, percent: int) -> DataFrame:
-    """Members whose support allows a partner of a size that their bucket holds.
+    def roomy(lists: DataFrame) -> DataFrame:
+        about = lists.groupBy("shingle").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.min("n").alias("_least")).where("_lo < _hi")
+        return lists.join(about, "shingle").where((100 + percent) * (1 + F.col("n") - F.col("at")) >= percent * (F.col("n") + F.col("_least"))).select(*lists.columns)
 
-    A partner has at least ``percent`` of n, and at most support * (1 + 100 / percent) - n shingles.
-    """
-    sizes = live.groupBy("bucket").agg(F.min("n").alias("_least"), F.max("n").alias("_most"))
-    fits = (percent * (F.col("n") + F.col("_least")) <= (100 + percent) * F.col("support")) & (100 * F.col("_most") >= percent * F.col("n"))
-    return live.join(sizes, "bucket").where(fits & (100 * F.col("support") >= percent * F.col("n"))).select(*live.columns)
+    lists = written(roomy(roomy(prefixes)), "lists")  # twice: what the first leaves may be of one component
+    x, y = (lists.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "component", "n", "at")]) for side in "ab")
+    room = 1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    possible = (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & ((100 + percent) * room >= percent * (F.col("n_a") + F.col("n_b")))
+    return x.join(y, "shingle").where(possible).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -277,41 +282,24 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     members = written(banded(named, band_rows(percent / 100)), "bands")
     hubs = members.groupBy("bucket").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("g")).where("g > 1")
     members = written(members.join(hubs.select("bucket", "hub"), "bucket"), "members")
+    ids = written(members.select("id").distinct(), "candidates")
+    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).join(ids, "id", "left_semi")
+    texts = written(texts.groupBy("id").agg(F.min("t").alias("t")), "texts")
 
     # first one hub for each class: the one it shares most buckets with
     met = members.where("id <> hub").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("shared"))
     first = met.groupBy("id").agg(F.max_by("hub", F.struct("shared", -F.col("hub"))).alias("hub"))
-    pairs = written(_estimated(first.select(F.col("hub").alias("a"), F.col("id").alias("b")), named, percent), "pairs")
-    tested = pairs
-    links = written(_verified(pairs, docs, size, percent, key, text), "confirmed")
+    tested = written(_estimated(first.select(F.col("hub").alias("a"), F.col("id").alias("b")), named, percent), "pairs")
+    links = written(_verified(tested, texts, size, percent), "confirmed")
     found = written(components(links), "components")
 
-    # classes of buckets that hold different components, with what they can share
-    live = written(_mixed_only(_placed(members, found)).select("bucket", "id"), "mixed")
-    supported = _supported(live.select("id").distinct(), named, docs, size, key, text)
-    live = written(_feasible(live.join(supported, "id"), percent), "live")
-
-    taken, hubs_a_round = 0, 16
-    while True:
-        order = Window.partitionBy("bucket").orderBy("id")
-        ranked = written(_mixed_only(_placed(live, found)).withColumn("rank", F.row_number().over(order)), "ranked")
-        if ranked.where(F.col("rank") > taken + 1).isEmpty():
-            break
-        chosen = ranked.where((F.col("rank") > taken) & (F.col("rank") <= taken + hubs_a_round))
-        a, b = ([F.col(c).alias(f"{c}_{side}") for c in ("id", "component", "rank", "n", "support")] for side in "ab")
-        most = F.least("support_a", "support_b")
-        possible = (F.col("rank_b") > F.col("rank_a")) & (F.col("component_a") != F.col("component_b"))
-        possible = possible & (100 * most >= percent * (F.col("n_a") + F.col("n_b") - most))
-        met = chosen.select("bucket", *a).join(ranked.select("bucket", *b), "bucket").where(possible)
-        fresh = met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = written(_estimated(fresh, named, percent), "pairs")
-        if not pairs.isEmpty():
-            tested = tested.unionByName(pairs)
-            more = written(_verified(pairs, docs, size, percent, key, text), "confirmed")
-            if not more.isEmpty():
-                links = links.unionByName(more)
-                found = written(components(links), "components")
-        taken, hubs_a_round = taken + hubs_a_round, hubs_a_round * 4
+    # then whatever could still join different components
+    rest = written(_mixed_only(_placed(members, found)).select("id", "component").distinct(), "rest")
+    pairs = _prefix_pairs(rest, texts, size, percent).join(tested, ["a", "b"], "left_anti")
+    pairs = written(_estimated(pairs, named, percent), "pairs")
+    more = written(_verified(pairs, texts, size, percent), "confirmed")
+    if not more.isEmpty():
+        found = written(components(links.unionByName(more)), "components")
 
     answer = classes.join(found, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component_id"))
     linked = filled.select("doc_id", "n", "k1", "k2").join(answer, ["k1", "k2"]).select("doc_id", "n", "component_id")
