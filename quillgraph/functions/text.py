@@ -132,8 +132,9 @@ def stub_entities(text: Column) -> Column:
 
 def capitalised_terms(text: Column, limit: int = 20) -> Column:
     """Runs of one or two capitalised words of three letters or more, no stop words, each once and in order."""
-    runs = F.regexp_extract_all(text, F.lit(r"(?<![\p{L}])(\p{Lu}\p{L}{2,}(?: \p{Lu}\p{L}+)?)"), 1)
-    return F.slice(F.array_distinct(F.filter(runs, lambda r: ~F.lower(F.substring_index(r, " ", 1)).isin(*STOP_WORDS))), 1, limit)
+    stops = "|".join(sorted(w.capitalize() for w in STOP_WORDS))
+    runs = F.regexp_extract_all(text, F.lit(rf"(?<!\p{{L}})(?!(?:{stops})(?!\p{{L}}))(\p{{Lu}}\p{{L}}{{2,}}(?: \p{{Lu}}\p{{L}}+)?)"), 1)
+    return F.slice(F.array_distinct(runs), 1, limit)
 
 
 def triggered_entities(text: Column, triggers: dict[str, str]) -> Column:
@@ -168,7 +169,7 @@ def split_sentences(text: str | None) -> list[str]:
     """Word by word: a sentence ends at ``.!?`` unless the word is an abbreviation or number, or a lower-case word follows a full stop."""
     found, open_words = [], []
     tokens = (text or "").split()
-    for word, after in zip(tokens, [*tokens[1:], ""], strict=True):
+    for word, after in zip(tokens, [*tokens[1:], ""], strict=False):
         open_words.append(word)
         if word[-1] in ".!?":
             stop = word[-1] == "."
