@@ -63,7 +63,7 @@ def test_text_goldens(spark):
     assert x.split_sentences("Dr. Smith went home. He was tired.") == ["Dr. Smith went home.", "He was tired."]
     assert x.split_sentences("It is 3.14 today! no. lower. Yes?") == ["It is 3.14 today!", "no. lower.", "Yes?"]
     assert one(spark, x.normalise("t"), t="ﬁne \x07 \n text") == "fine text"
-    assert one(spark, x.capitalised_terms(F.col("t")), t="The Big Bang met Einstein and the Big Bang") == ["Einstein", "Big Bang"]
+    assert one(spark, x.capitalised_terms(F.col("t")), t="The Big Bang met Einstein and the Big Bang") == ["Big Bang", "Einstein"]
     assert one(spark, vectors.deterministic_embedding(F.col("t")), t="a")[:5] == [0.97, 0.98, 0.99, 1.0, 0.0]
     assert one(spark, vectors.deterministic_embedding(F.col("t")), t=" ") == []
 
