@@ -20,8 +20,11 @@ _OPS = {
 
 
 def where(df: DataFrame, *conditions: tuple[str, str, object]) -> DataFrame:
-    """All conditions ``(field, operator, value)`` hold. A missing value equals only null and satisfies no comparison."""
-    tests = [F.coalesce(_OPS[op](F.col(field), value), F.lit(False)) for field, op, value in conditions]
+    """All conditions ``(field, operator, value)`` hold. A missing value equals only null and satisfies no comparison.
+
+    The conditions stay bare, so that they reach the scan: a filter drops rows for which one of them is null.
+    """
+    tests = [_OPS[op](F.col(field), value) for field, op, value in conditions]
     return df.where(reduce(lambda a, b: a & b, tests, F.lit(True)))
 
 
