@@ -92,9 +92,14 @@ def _clustered(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 def fit(labelled: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE, centroids: int = CENTROIDS) -> Model:
     """Fits on rows ``doc_id, text, lang``; the sample's size is the documented bound of what reaches the driver."""
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labelled.where("lang is not null").select("doc_id", "lang").withColumn("_r", F.row_number().over(by_hash))
-    chosen = written(chosen.where(F.col("_r") <= sample_per_language).select("doc_id").distinct(), "langid-sample")
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    named = labelled.where("lang is not null").select("doc_id", "lang", h.alias("_h"))
+    # only hashes so small that about four times the sample passes are ranked: the ranking's input does not grow with the table
+    sizes = named.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))  # a row for each language
+    near = named.join(F.broadcast(sizes), "lang").where(F.col("_h") * F.col("_n").cast("double") < 4.0 * sample_per_language * (1 << 40))
+    by_hash = Window.partitionBy("lang").orderBy("_h", "doc_id")
+    chosen = near.withColumn("_r", F.row_number().over(by_hash)).where(F.col("_r") <= sample_per_language)
+    chosen = written(chosen.select("doc_id").distinct(), "langid-sample")
     # ids of the sample: languages x sample_per_language rows at most
     texts = labelled.where("lang is not null and text is not null").join(F.broadcast(chosen), "doc_id", "left_semi")
 
