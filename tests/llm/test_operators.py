@@ -108,6 +108,17 @@ def test_both_encoders_agree():
         assert json(text).tolist() == ranks(text).tolist(), text
 
 
+def test_ids_equal_an_untouched_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for name in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken"):
+        encode = packing.encoder(public_tokenizers.path(name))
+        for text in ("a <|endoftext|> b", "<|endoftext|>" * 3, "<|endoftext|", " " * 1_000_000, "x" + "\n" * 1_100_000 + "y"):
+            assert encode(text).tolist() == plain.encode(text, add_special_tokens=False).ids, text[:20]
+
+
 def test_packing_of_an_empty_table(spark):
     import public_tokenizers
 
