@@ -7,9 +7,9 @@ are clustered on the driver (bounded by sample x dimensions) by spherical k-mean
 once, in Arrow batches.
 
 Distance-based rejection: a cosine grows with the square root of the number of distinct n-grams while these are few, so the
-nearness of a text is its best cosine over that root (relative to ``ENOUGH`` n-grams). A text whose nearness lies below ``floor`` is
-rejected; the floor is a quarter of the smallest nearness of any sampled document to its own language, so that no text, however
-short, that looks like a training text goes.
+nearness of a text is its best cosine over that root (relative to ``ENOUGH`` n-grams). A text whose nearness lies below the floor of
+the language it is nearest to is rejected; a language's floor is ``MARGIN`` times the ``LOW`` quantile of the nearness of all documents
+labelled so to their own language. A few mislabelled or junk rows do not move it, and the margin leaves room for texts of a few words.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and is rejected; ties go to the language that sorts
 first; without any labelled document all are ``und``; repeated rows get equal results; an empty table gives an empty table;
@@ -32,6 +32,8 @@ DIMENSIONS = 1 << 13
 CENTROIDS = 4
 SAMPLE_PER_LANGUAGE = 400
 ENOUGH = 1000
+LOW = 0.05
+MARGIN = 0.45
 
 #: Bytes of ASCII that are no letters become spaces; all others stay.
 _LETTERS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
@@ -43,7 +45,7 @@ class Model(NamedTuple):
     languages: list[str]  # of each centroid
     centroids: np.ndarray  # centroids x dimensions, of length one
     idf: np.ndarray
-    floor: float
+    floors: np.ndarray  # of each centroid: that of its language
 
 
 def has_letter(text: str | None) -> bool:
@@ -110,15 +112,37 @@ def fit(labelled: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE, cen
 
     rows = sorted((r.lang, bytes(r.tf)) for r in texts.select("lang", "text").mapInArrow(run, "lang string, tf binary").collect())
     if not rows:
-        return Model([], np.zeros((0, DIMENSIONS), np.float32), np.ones(DIMENSIONS, np.float32), 0.0)
+        return Model([], np.zeros((0, DIMENSIONS), np.float32), np.ones(DIMENSIONS, np.float32), np.zeros(0))
     langs = np.array([lang for lang, _ in rows])
     tf = np.stack([np.frombuffer(x, "<u4") for _, x in rows])
     idf = (np.log((1 + len(tf)) / (1 + (tf > 0).sum(axis=0))) + 0.1).astype(np.float32)
     v = vectors(tf, idf)
     found = {lang: _clustered(v[langs == lang], centroids) for lang in sorted(set(langs))}
-    floor = min(float(nearness(tf[langs == lang], (v[langs == lang] @ c.T).max(axis=1)).min()) for lang, c in found.items())
-    names = [lang for lang, c in found.items() for _ in range(len(c))]
-    return Model([str(x) for x in names], np.concatenate(list(found.values())).astype(np.float32), idf, 0.25 * floor)
+    names = [str(lang) for lang, c in found.items() for _ in range(len(c))]
+    model = Model(names, np.concatenate(list(found.values())).astype(np.float32), idf, np.zeros(len(names)))
+    low = _low_nearness(labelled, model)
+    return model._replace(floors=np.array([MARGIN * low[lang] for lang in names]))
+
+
+def _low_nearness(labelled: DataFrame, m: Model) -> dict[str, float]:
+    """The ``LOW`` quantile of the nearness of each language's documents to it: one pass over all that are labelled, one row a language."""
+    sent = labelled.sparkSession.sparkContext.broadcast(m)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        own = {lang: [i for i, x in enumerate(m.languages) if x == lang] for lang in m.languages}
+        for batch in batches:
+            for first in range(0, batch.num_rows, 256):
+                part = batch.slice(first, 256)
+                rows = [(lang, text) for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if has_letter(text)]
+                if rows:
+                    tf = np.stack([counts(text) for _, text in rows])
+                    cosines = vectors(tf, m.idf) @ m.centroids.T
+                    best = np.array([cosines[i, own[lang]].max() for i, (lang, _) in enumerate(rows)])
+                    yield pa.RecordBatch.from_arrays([pa.array([lang for lang, _ in rows], pa.string()), pa.array(nearness(tf, best), pa.float64())], names=["lang", "near"])
+
+    near = labelled.where("lang is not null and text is not null").select("lang", "text").mapInArrow(run, "lang string, near double")
+    return {r.lang: r.low for r in near.groupBy("lang").agg(F.percentile_approx("near", LOW, 10_000).alias("low")).collect()}
 
 
 def judged(texts: list[str | None], m: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -130,8 +154,9 @@ def judged(texts: list[str | None], m: Model) -> tuple[list[str], np.ndarray, np
         cosines = vectors(tf, m.idf) @ m.centroids.T
         best = cosines.max(axis=1)
         scores[where] = np.clip(best, 0.0, 1.0)
-        kept[where] = nearness(tf, best) >= m.floor
-        for i, c in zip(where, np.argmax(cosines, axis=1), strict=True):
+        which = np.argmax(cosines, axis=1)
+        kept[where] = nearness(tf, best) >= m.floors[which]
+        for i, c in zip(where, which, strict=True):
             names[i] = m.languages[c]
     return names, scores, kept
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import random
 import re
@@ -443,6 +444,27 @@ def test_languages_are_told_apart_and_strangers_rejected(spark):
     assert kept.columns == ["doc_id", "text", "extra"] and {r.doc_id for r in kept.collect()} == {5}
 
 
+def spoken(rng, lang, n):
+    parts = {"en": ["the", "ing", "th", "er", "and", "wh"], "fr": ["que", "eau", "é", "ou", "ç", "les"], "de": ["sch", "ung", "ü", "der", "ich", "ein"]}[lang]
+    return " ".join("".join(rng.choice(parts) for _ in range(rng.randrange(1, 4))) for _ in range(n))
+
+
+def test_noise_and_unlearned_languages_are_rejected(spark):
+    rng = random.Random(8)
+    data = [(i, spoken(rng, lang := rng.choice(["en", "fr", "de"]), rng.randrange(1, 80)), lang) for i in range(600)]
+    data += [(9000 + i, "".join(rng.choice("0123456789abcdefghijklmnopqrstuvwxyz+/") for _ in range(800)), "en") for i in range(3)]  # junk with a label
+    model = langid.fitted_on(spark.createDataFrame(data, "doc_id long, text string, lang string"))
+
+    def letters(n):
+        return " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 10))) for _ in range(n))
+
+    finnish = "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto"
+    strange = [letters(20), letters(200), letters(2000), base64.b64encode(rng.randbytes(6000)).decode(), "zzzz " * 500, finnish]
+    clean = ["the thing", "wher", "queeau les", "derich schein ung", *(spoken(rng, lang, n) for lang in ("en", "fr", "de") for n in (1, 2, 5, 300))]
+    _, _, kept = langid.judged(strange + clean, model)
+    assert kept.tolist() == [False] * len(strange) + [True] * len(clean)
+
+
 def test_language_without_labels(spark):
     df = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     model = langid.fitted_on(df)
