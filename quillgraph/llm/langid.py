@@ -2,7 +2,7 @@
 
 Vectors count byte n-grams (1 to 4) of the lower-cased text without digits and ASCII punctuation, hashed to ``DIMENSIONS``
 counters, damped by a logarithm, weighted by inverse document frequency and normalised. Fitting uses a bounded sample: at most
-``sample_per_language`` labelled documents of each language (those whose ids have the smallest hashes); their vectors
+``sample_per_language`` different labelled texts with a letter of each language (those with the smallest hashes); their vectors
 are clustered on the driver (bounded by sample x dimensions) by spherical k-means. Predicting reads each whole text
 once, in Arrow batches.
 
@@ -93,24 +93,26 @@ def _clustered(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE, centroids: int = CENTROIDS) -> Model:
-    """Fits on rows ``doc_id, text, lang``; the sample's size is the documented bound of what reaches the driver."""
-    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-    named = labelled.where("lang is not null").select("doc_id", "lang", h.alias("_h"))
+    """Fits on rows ``text, lang``; the sample's size is the documented bound of what reaches the driver.
+
+    Texts are ranked by their own hash and copies count once: neither missing nor repeated ids nor copies take places in the sample.
+    """
+    h = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
+    named = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", h.alias("_h"))
     # only hashes so small that about four times the sample passes are ranked: the ranking's input does not grow with the table
-    sizes = named.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))  # a row for each language
+    sizes = named.groupBy("lang").agg(F.approx_count_distinct("_h").alias("_n"))  # a row for each language
     near = named.join(F.broadcast(sizes), "lang").where(F.col("_h") * F.col("_n").cast("double") < 4.0 * sample_per_language * (1 << 40))
-    by_hash = Window.partitionBy("lang").orderBy("_h", "doc_id")
+    near = near.groupBy("lang", "_h").agg(F.min("text").alias("text"))
+    by_hash = Window.partitionBy("lang").orderBy("_h")
     chosen = near.withColumn("_r", F.row_number().over(by_hash)).where(F.col("_r") <= sample_per_language)
-    chosen = written(chosen.select("doc_id").distinct(), "langid-sample")
-    # ids of the sample: languages x sample_per_language rows at most
-    texts = labelled.where("lang is not null and text is not null").join(F.broadcast(chosen), "doc_id", "left_semi")
+    texts = written(chosen.select("lang", "text"), "langid-sample")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(lang, counts(text).astype("<u4").tobytes()) for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if has_letter(text)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=["lang", "tf"])
 
-    rows = sorted((r.lang, bytes(r.tf)) for r in texts.select("lang", "text").mapInArrow(run, "lang string, tf binary").collect())
+    rows = sorted((r.lang, bytes(r.tf)) for r in texts.mapInArrow(run, "lang string, tf binary").collect())
     if not rows:
         return Model([], np.zeros((0, DIMENSIONS), np.float32), np.ones(DIMENSIONS, np.float32), np.zeros(0))
     langs = np.array([lang for lang, _ in rows])

@@ -465,6 +465,18 @@ def test_noise_and_unlearned_languages_are_rejected(spark):
     assert kept.tolist() == [False] * len(strange) + [True] * len(clean)
 
 
+def test_rows_without_ids_and_copies_do_not_fill_the_sample(spark):
+    rng = random.Random(12)
+    data = [(None if i % 3 == 0 else i, spoken(rng, lang := rng.choice(["en", "fr", "de"]), rng.randrange(5, 40)), lang) for i in range(600)]
+    data += [(7, "the ing and", "en")] * 300 + [(None, None, "de")] * 100 + [(None, "12 34", "fr")] * 100
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = langid.fit(df, sample_per_language=20)
+    assert sorted(set(model.languages)) == ["de", "en", "fr"]
+    fresh = [(spoken(rng, lang, 20), lang) for lang in ("en", "fr", "de") for _ in range(20)]
+    names, _, kept = langid.judged([t for t, _ in fresh], model)
+    assert names == [lang for _, lang in fresh] and kept.all()
+
+
 def test_language_without_labels(spark):
     df = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     model = langid.fitted_on(df)
