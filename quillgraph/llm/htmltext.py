@@ -4,7 +4,7 @@ Markup is stripped to lines, one for each block element. A line's weight is the
 without link text. Weights are summed over a sliding window of lines; the text surges where the sum rises over a threshold and
 dives where it falls to nothing, and what lies between is the main text. Two things set weights to zero before: containers that
 cannot be main text (navigation, footers, asides, forms, page headers, and elements whose class, id or role names an advert,
-notice, menu, sidebar or reader comments), and, on pages that mark their article or main part, all lines outside of it. On
+notice, menu, sidebar or reader comments; inside an article only containers with a class or role that is such a name as a whole), and, on pages that mark their article or main part, all lines outside of it. On
 such pages every line of the article counts with all its text, links included, so that short paragraphs stay.
 
 Each page is one row's work: a task's memory is bounded by its longest page.
@@ -52,11 +52,26 @@ NAMES = frozenset(
     "form login search searchform".split()
 )
 
+#: Whole classes or roles that mark a container inside an article as something else.
+NARROW = frozenset(
+    "ad ads advert advertisement adsbygoogle ad-slot ad-container sponsored promo promoted cookie-notice cookie-banner cookie-consent newsletter-signup "
+    "share-buttons social-share sharing-buttons related-posts related-articles recommended-articles breadcrumb breadcrumbs pagination "
+    "comments comment-list comments-area comment-form disqus_thread navigation complementary".split()
+)
+#: Where the narrow names are looked for inside an article.
+CONTAINERS = frozenset("div section aside ul ol dl table".split())
+#: Never containers: outside of an article the narrow names alone mark them.
+TEXTS = frozenset("p span b i em strong code q cite small mark time blockquote pre".split())
+#: Made from titles, their ids say nothing about what they are.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+
 _TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|(!--)|([!?]|/[^a-zA-Z]))")
 _REST = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
-_MARKS = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+_MARKS = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _NAME = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+#: Parts of the names of wrappers, which tell what else is on the page.
+_SPARED = frozenset(["has", "with", "without", "no", "layout"])
 
 
 class Line(NamedTuple):
@@ -69,15 +84,33 @@ class Line(NamedTuple):
 NOT_ARTICLE = frozenset("ad ads advert advertisement sponsored promo comment comments reply replies response responses related recommended teaser".split())
 
 
-def _is_marked(attributes: str, names: frozenset[str] = NAMES) -> bool:
-    for found in _MARKS.findall(attributes):
+def _is_marked(attributes: str, names: frozenset[str] = NAMES, ids: bool = True) -> bool:
+    """Whether a name is one of the classes, ids or roles, or such a one's first or last part."""
+    for kind, *found in _MARKS.findall(attributes):
+        if kind.lower() == "id" and not ids:
+            continue
         for word in _CAMEL.sub("-", "".join(found)).lower().split():
             parts = _NAME.findall(word)
-            if parts and parts[0] not in ("has", "with", "no") and not names.isdisjoint([*parts, "".join(parts)]):
+            if parts and _SPARED.isdisjoint(parts) and not names.isdisjoint([parts[0], parts[-1], "".join(parts)]):
                 return True
     return False
 
 
+def _is_narrow(attributes: str) -> bool:
+    return any(word in NARROW for kind, *found in _MARKS.findall(attributes) if kind.lower() != "id" for word in "".join(found).lower().split())
+
+
+def _left_out(name: str, attributes: str, inside: bool) -> bool:
+    """Whether an element that may hold main text by its name is marked as something else."""
+    if name in HEADINGS or name in ("html", "body"):
+        return False
+    if inside:
+        return name in CONTAINERS and _is_narrow(attributes)
+    if name in TEXTS:
+        return _is_narrow(attributes)
+    return _is_marked(attributes, ids=name != "section")  # a section's id is made from its title
+
+
 def lines(page: str) -> list[Line]:
     """The page's non-empty lines of text, without containers that hold no main text."""
     out: list[Line] = []
@@ -147,14 +180,14 @@ def lines(page: str) -> list[Line]:
             end_line()
         elif name in SPACES and parts:
             parts.append(" ")
-        if name in MAIN and not closing and _is_marked(attributes, NOT_ARTICLE):
+        if name in MAIN and not closing and _is_marked(attributes, NOT_ARTICLE, ids=False):
             skipping, skipped = name, 1
         elif name in MAIN:
             in_main = max(0, in_main - 1) if closing else in_main + 1
             seen_main = True
         elif name == "a":
             in_link = int(not closing)
-        elif not closing and name not in VOID and (name in ASIDE or name == "header" and not in_main or name not in ("html", "body") and _is_marked(attributes)):
+        elif not closing and name not in VOID and (name in ASIDE or name == "header" and not in_main or _left_out(name, attributes, in_main > 0)):
             if not attributes.endswith("/") or name not in ("svg", "math"):
                 skipping, skipped = name, 1
     end_line()

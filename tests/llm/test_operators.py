@@ -242,6 +242,17 @@ def test_main_text(page, text):
     assert htmltext.main_text(page) == text
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ('<article><header class="entry-header"><h1>T</h1></header><h2 id="related-work">R</h2><p>a</p><h2 id="Social_life">S</h2><p class="form">b</p></article>', "T\n\nR\n\na\n\nS\n\nb"),
+    ('<article><section id="discussion"><p>a</p></section><div class="notice">b</div><p><span class="alert">c</span></p><div class="ad">no</div></article>', "a\n\nb\n\nc"),
+    ('<main><div class="search-results"><p>a</p></div><ul class="share-buttons"><li>no</ul><div role="navigation">no</div></main>', "a"),
+    ('<article id="related-work"><p>a</p></article>', "a"),
+    ('<div class="layout-with-sidebar"><h1 id="search">T</h1><section id="discussion"><p>Text here.</p></section><div class="sidebar left">no</div><div id="page-footer">no</div></div>', "T\n\nText here."),
+])
+def test_common_words_in_names_do_not_drop_text(page, text):
+    assert htmltext.main_text(page) == text
+
+
 def test_line_blocks_without_an_article():
     body = "".join(f"<p>{' '.join(WORDS)} sentence {i}.</p>" for i in range(4))
     page = f"<div><a>One</a> <a>Two</a></div><div>{body}<p>Short.</p></div><div><a>Three</a> <a>Four</a></div>"
