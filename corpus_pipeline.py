@@ -6,7 +6,10 @@ All but the last return the columns of ``documents``; the last returns one row f
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.llm import langid, mixing, neardup, packing
@@ -27,13 +30,25 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; where it takes a part, the last copy has that many words.
 
-    Rows with one id and source share evenly what these take together.
+    Each row has its own taken words. Rows with one id, source and size are interchangeable to the mix, so where these take different
+    amounts, the larger ones go to the texts with the smaller hashes.
     """
-    taken = mixing.mix(mixing.sized(docs)).groupBy("doc_id", "source").agg(F.sum("taken").alias("_all"), F.count(F.lit(1)).alias("_rows"))
-    d, t = docs.withColumn("_size", mixing.n_words(F.col("text"))).alias("d"), taken.alias("t")
-    both = d.join(t, F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source")))
-    words = F.floor(F.col("_all") / F.col("_rows")).cast("long")
-    both = both.select(*[F.col(f"d.{c}") for c in docs.columns], "_size", words.alias("_words")).where("_words > 0 and _size > 0")
+    key = ["doc_id", "source", "_size"]
+    amounts = mixing.mix(mixing.sized(docs)).withColumnRenamed("size", "_size").groupBy(*key, "taken").agg(F.count(F.lit(1)).alias("_n"))
+    by_key = Window.partitionBy(*key)
+    amounts = amounts.withColumns({"_to": F.sum("_n").over(by_key.orderBy(F.desc("taken"))), "_kinds": F.count(F.lit(1)).over(by_key)})
+    amounts = written(amounts.select(*key, F.col("taken").alias("_words"), "_n", "_to", "_kinds"), "mix-taken")
+    sized = docs.withColumn("_size", mixing.n_words(F.col("text")))
+
+    same = reduce(and_, [F.col(f"d.{c}").eqNullSafe(F.col(f"a.{c}")) for c in key])
+    alike, unlike = amounts.where("_kinds = 1"), amounts.where("_kinds > 1")
+    equal = sized.alias("d").join(alike.alias("a"), same)
+    rank = F.row_number().over(by_key.orderBy(F.xxhash64("text"), "text"))
+    some = sized.alias("d").join(unlike.alias("a"), same, "left_semi")
+    own = same & (F.col("d._rank") > F.col("a._to") - F.col("a._n")) & (F.col("d._rank") <= F.col("a._to"))
+    ranked = some.withColumn("_rank", rank).alias("d").join(unlike.alias("a"), own)
+    columns = [F.col(f"d.{c}") for c in [*docs.columns, "_size"]] + [F.col("a._words")]
+    both = equal.select(*columns).unionByName(ranked.select(*columns)).where("_words > 0 and _size > 0")
     whole, rest = F.floor(F.col("_words") / F.col("_size")).cast("long"), F.pmod(F.col("_words"), F.col("_size"))
     copies = both.withColumns({"_whole": whole, "_rest": rest}).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_whole") + (F.col("_rest") > 0).cast("long"))))
     part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(rf"{WORD}[\x20\x09-\x0D]*"), 0), 1, F.col("_rest").cast("int")), "")

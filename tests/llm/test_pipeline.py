@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from quillgraph.llm import mixing
 from tests.llm.test_operators import brute_components, edited, word_sets
 
 SYLLABLES = {"en": ["the", "ing", "th", "er", "and", "wh"], "fr": ["que", "eau", "é", "ou", "ç", "les"]}
@@ -68,3 +69,16 @@ def test_duplicates_without_ids_are_kept(spark, folder):
     assert sorted(str(r.doc_id) for r in corpus_pipeline.deduplicate(spark, docs, folder).collect()) == ["1", "None"]
     empty = docs.limit(0)
     assert corpus_pipeline.deduplicate(spark, empty, folder).count() == corpus_pipeline.mix(spark, empty, folder).count() == 0
+
+
+def test_each_row_is_mixed_by_its_own_size(spark, folder):
+    rows = [(None, f"n{i} " + "w " * (9 if i % 2 else 999), "s0") for i in range(8)] + [(5, "r " * 7, "s0")] * 5 + [(i, "x " * 50, "s1") for i in range(100, 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    size = {t.split()[0]: len(t.split()) for i, t, _ in rows if i is None}
+    got = {}
+    for r in corpus_pipeline.mix(spark, docs, folder).collect():
+        if r.doc_id is None:
+            got[r.text.split()[0]] = got.get(r.text.split()[0], 0) + len(r.text.split())
+    taken = mixing.mix(mixing.sized(docs)).where("doc_id is null").collect()
+    assert all(n <= 3 * size[name] for name, n in got.items())
+    assert sorted((size[name], n) for name, n in got.items()) == sorted((r["size"], r.taken) for r in taken if r.taken)
