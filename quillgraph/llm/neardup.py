@@ -3,8 +3,9 @@
 1. Sketch. Each text becomes its set of word shingles (64-bit hashes of whole words), the set's size, a 128-bit key of the set and
    registers: ``K_i = floor(1 - log_b h_i)``, where ``h_i`` is the set's minimum of the i-th exponential hash, truncated to
    ``[0, Q + 1]``. Registers of two sets merge by maximum, so long texts are sketched piece by piece.
-2. Classes. Texts with equal sets are one class, whose smallest id stands for all; from here on only classes are handled.
-3. Bands. Runs of registers are hashed to band keys. In each band bucket the smallest id is the hub. Every class first meets one hub, the one
+2. Classes. Texts with equal sets are one class, with a number of its own; from here on only classes are handled. Nothing but the set decides what a
+   class is: ids, which may be missing or repeat, are only carried along for the answer.
+3. Bands. Runs of registers are hashed to band keys. In each band bucket the smallest class is the hub. Every class first meets one hub, the one
    with which it shares most buckets.
 4. Estimate. The similarity of a pair is the maximum of the joint likelihood of its registers (how many are larger, smaller, equal), given both
    set sizes; pairs that lie far under the threshold (over six standard errors) go.
@@ -15,14 +16,16 @@
    without room for any partner of a size that they hold, are left out, so copies of each other are not compared again. All pairs of different
    components that remain are estimated and verified like the first ones, and the components are final.
 
-A group of g copies of each other is so settled with about g pairs, not g * g, and no group is ever in one task.
+A group of g copies of each other is so settled with about g pairs, not g * g. Buckets, hubs, shingles, exact copies and star centres can be hot
+keys: what is counted by them is counted before it is shuffled, and what is joined by them is joined from written tables, two plain
+shuffles under one sort-merge join, which adaptive execution splits where a partition is skewed.
 
 The band shape is chosen so that a pair exactly at the threshold is missed with probability of at most one in a million. Nothing is
 capped.
 
 Defined results: a text without words, or null, has an empty set and is linked with nothing; texts with fewer words than a shingle have
-their whole sequence as one shingle; rows with one ``doc_id`` count as one document; a null id cannot be an answer: such a row gets a null
-component unless its class has another id, and is kept; the empty table gives an empty table; columns besides key and text are ignored.
+their whole sequence as one shingle; rows with one ``doc_id`` and different texts are different documents, each linked by its own text; a null id comes after all
+others: a component has a null ``component_id`` only if no row of it has an id; the empty table gives an empty table; columns besides key and text are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import table, written
@@ -123,25 +126,35 @@ def likeliest(n_a: np.ndarray, n_b: np.ndarray, k_a: np.ndarray, k_b: np.ndarray
     return j[np.arange(len(j)), np.argmax(value, axis=1)]
 
 
+def _row_key(key: str, text: str) -> list[Column]:
+    """What tells rows apart: the id and two hashes of the text."""
+    return [F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(20_240_601), text).alias("h2")]
+
+
+def _same_row(left: str, right: str) -> Column:
+    h1, h2, ident = (F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in ("h1", "h2", "doc_id"))
+    return h1 & h2 & ident
+
+
 def sketched(docs: DataFrame, size: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n, k1, k2, registers`` for each row, written once. ``k1, k2`` tell sets apart."""
+    """``doc_id, h1, h2, n, k1, k2, registers`` for each row, written once. ``h1, h2`` tell texts apart, ``k1, k2`` sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, 1024):
                 part = batch.slice(first, 1024)
                 n, k1, k2, regs = [], [], [], []
-                for t in part.column(1):
+                for t in part.column(3):
                     s = shingles(t.as_py(), size)
                     n.append(len(s))
                     k1.append(int(np.add.reduce(_mixed(s + np.uint64(1)).view(np.int64))) if len(s) else 0)
                     k2.append(int(np.add.reduce(_mixed(s ^ _P).view(np.int64))) if len(s) else 0)
                     regs.append(registers(s).tobytes() if len(s) else b"")
-                columns = [part.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(regs, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "k1", "k2", "registers"])
+                columns = [*part.columns[:3], pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(regs, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h1", "h2", "n", "k1", "k2", "registers"])
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), text)
-    return written(rows.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, registers binary"), "sketches")
+    rows = docs.select(*_row_key(key, text), F.col(text))
+    return written(rows.mapInArrow(run, "doc_id long, h1 long, h2 long, n long, k1 long, k2 long, registers binary"), "sketches")
 
 
 def banded(classes: DataFrame, rows: int) -> DataFrame:
@@ -217,7 +230,7 @@ def components(links: DataFrame) -> DataFrame:
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(smallest, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
@@ -237,7 +250,7 @@ def _placed(members: DataFrame, found: DataFrame) -> DataFrame:
 def _mixed_only(placed: DataFrame) -> DataFrame:
     """The members of buckets that hold different components."""
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi")
-    return placed.join(mixed.select("bucket"), "bucket")
+    return placed.join(written(mixed.select("bucket"), "mixed"), "bucket")
 
 
 def _prefix_pairs(placed: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -253,8 +266,8 @@ def _prefix_pairs(placed: DataFrame, texts: DataFrame, size: int, percent: int)
                 s = shingles(t.as_py(), size).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), ident)), pa.array(np.full(len(s), len(s))), pa.array(s)], names=["id", "n", "shingle"])
 
-    each = texts.join(placed.select("id"), "id", "left_semi").select("id", "t").mapInArrow(run, "id long, n long, shingle long")
-    common = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    each = written(texts.join(placed.select("id"), "id", "left_semi").select("id", "t").mapInArrow(run, "id long, n long, shingle long"), "shingles")
+    common = written(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "common")
     order = Window.partitionBy("id").orderBy(F.coalesce("df", F.lit(1)), "shingle")
     ranked = each.join(common, "shingle", "left").withColumn("at", F.row_number().over(order))
     needed = F.ceil(F.col("n") * percent / 100)
@@ -262,50 +275,81 @@ def _prefix_pairs(placed: DataFrame, texts: DataFrame, size: int, percent: int)
 
     def roomy(lists: DataFrame) -> DataFrame:
         about = lists.groupBy("shingle").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.min("n").alias("_least")).where("_lo < _hi")
-        return lists.join(about, "shingle").where((100 + percent) * (1 + F.col("n") - F.col("at")) >= percent * (F.col("n") + F.col("_least"))).select(*lists.columns)
+        return lists.join(written(about, "about"), "shingle").where((100 + percent) * (1 + F.col("n") - F.col("at")) >= percent * (F.col("n") + F.col("_least"))).select(*lists.columns)
 
-    lists = written(roomy(roomy(prefixes)), "lists")  # twice: what the first leaves may be of one component
+    lists = written(roomy(written(roomy(prefixes), "lists")), "lists")  # twice: what the first leaves may be of one component
     x, y = (lists.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "component", "n", "at")]) for side in "ab")
     room = 1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
     possible = (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & ((100 + percent) * room >= percent * (F.col("n_a") + F.col("n_b")))
     return x.join(y, "shingle").where(possible).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for each row of ``docs``."""
+def grouped(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, h1, h2, n, component_id, stays`` for each row of ``docs``.
+
+    ``stays`` marks the row that stands for its component: the one with the smallest id, and among rows of that id the one with the smaller text
+    hashes. Rows that are alike in id and text are all marked.
+    """
     sketches = sketched(docs, size, key, text)
     filled = sketches.where("n > 0")
-    grouped = filled.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("registers").alias("registers"))
-    classes = written(grouped, "classes")
-    named = classes.where("id is not null")
-
-    members = written(banded(named, band_rows(percent / 100)), "bands")
-    hubs = members.groupBy("bucket").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("g")).where("g > 1")
-    members = written(members.join(hubs.select("bucket", "hub"), "bucket"), "members")
-    ids = written(members.select("id").distinct(), "candidates")
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).join(ids, "id", "left_semi")
-    texts = written(texts.groupBy("id").agg(F.min("t").alias("t")), "texts")
+    least = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h1", "h2")
+    by_set = filled.groupBy("k1", "k2").agg(F.min(least).alias("least"), F.first("n").alias("n"), F.first("registers").alias("registers"))
+    classes = written(by_set.withColumn("id", F.monotonically_increasing_id()), "classes")
+
+    members = written(banded(classes, band_rows(percent / 100)), "bands")
+    hubs = written(members.groupBy("bucket").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("g")).where("g > 1").select("bucket", "hub"), "hubs")
+    members = written(members.join(hubs, "bucket"), "members")
+    wanted = written(classes.join(members.select("id").distinct(), "id", "left_semi").select("id", "least.doc_id", "least.h1", "least.h2"), "candidates")
+    rows = docs.select(*_row_key(key, text), F.col(text).alias("t"))
+    texts = written(rows.alias("d").join(wanted.alias("w"), _same_row("d", "w")).select("w.id", "d.t"), "texts")
+    if texts.count() > wanted.count():  # a repeated row has its text repeated
+        texts = written(texts.groupBy("id").agg(F.first("t").alias("t")), "texts")
 
     # first one hub for each class: the one it shares most buckets with
     met = members.where("id <> hub").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("shared"))
     first = met.groupBy("id").agg(F.max_by("hub", F.struct("shared", -F.col("hub"))).alias("hub"))
-    tested = written(_estimated(first.select(F.col("hub").alias("a"), F.col("id").alias("b")), named, percent), "pairs")
+    tested = written(_estimated(first.select(F.col("hub").alias("a"), F.col("id").alias("b")), classes, percent), "pairs")
     links = written(_verified(tested, texts, size, percent), "confirmed")
     found = written(components(links), "components")
 
     # then whatever could still join different components
     rest = written(_mixed_only(_placed(members, found)).select("id", "component").distinct(), "rest")
     pairs = _prefix_pairs(rest, texts, size, percent).join(tested, ["a", "b"], "left_anti")
-    pairs = written(_estimated(pairs, named, percent), "pairs")
+    pairs = written(_estimated(pairs, classes, percent), "pairs")
     more = written(_verified(pairs, texts, size, percent), "confirmed")
     if not more.isEmpty():
         found = written(components(links.unionByName(more)), "components")
 
-    answer = classes.join(found, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component_id"))
-    linked = filled.select("doc_id", "n", "k1", "k2").join(answer, ["k1", "k2"]).select("doc_id", "n", "component_id")
-    alone = sketches.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
-    return linked.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
+    placed = written(_placed(classes.select("id", "k1", "k2", "least"), found), "placed")
+    first_row = written(placed.groupBy("component").agg(F.min("least").alias("first")), "first-rows")
+    answer = written(placed.join(first_row, "component").select("k1", "k2", "first"), "answer")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h1", "h2")
+    linked = filled.join(answer, ["k1", "k2"]).select("doc_id", "h1", "h2", "n", F.col("first.doc_id").alias("component_id"), row.eqNullSafe(F.col("first")).alias("stays"))
+    alone = sketches.where("n = 0").select("doc_id", "h1", "h2", "n", F.col("doc_id").alias("component_id"), F.lit(True).alias("stays"))
+    return linked.unionByName(alone)
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for each row of ``docs``; kept is ``doc_id = component_id`` (null equals null)."""
+    rows = grouped(docs, size, percent, key, text)
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each component, and all rows without words; columns and their order stay.
+
+    Of rows that are alike in id and text one stays, whichever is met first where they differ in other columns.
+    """
+    rows = grouped(docs, size, percent, key, text)
+    marks = rows.where("n > 0").groupBy("doc_id", "h1", "h2").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("copies"))
+    marks = written(marks.where("not stays or copies > 1"), "marks")
+    d = docs.select(F.struct("*").alias("_row"), *_row_key(key, text)).alias("d")
+    once = d.join(marks.alias("m"), _same_row("d", "m"), "left_anti").select("_row.*")
+    repeated = marks.where("stays")
+    if repeated.isEmpty():
+        return once
+    alike = d.join(repeated.alias("m"), _same_row("d", "m"), "left_semi").dropDuplicates(["doc_id", "h1", "h2"])
+    return once.unionByName(alike.select("_row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -365,7 +365,48 @@ def test_near_duplicates_of_odd_tables(spark):
     assert rows(neardup.near_duplicates(empty)) == []
     odd = spark.createDataFrame([(None, "a b c d e f"), (None, None), (4, "a b c d e f"), (4, "a b c d e f"), (9, "z" * 200_000)], "doc_id long, text string")
     got = sorted(rows(neardup.near_duplicates(odd)), key=str)
-    assert got == sorted([(None, 2, 4, True), (None, 0, None, True), (4, 2, 4, True), (4, 2, 4, True), (9, 1, 9, True)], key=str)
+    assert got == sorted([(None, 2, 4, False), (None, 0, None, True), (4, 2, 4, True), (4, 2, 4, True), (9, 1, 9, True)], key=str)
+
+
+def test_rows_of_one_id_keep_their_own_links(spark):
+    rng = random.Random(21)
+    a, b = ([f"{rng.choice(WORDS)}{rng.randrange(99)}" for _ in range(120)] for _ in range(2))
+    near = [*b[:60], "changed", *b[61:]]
+    data = [(4, a), (4, b), (5, b), (9, near), (None, near), (None, a), (None, ["only", "here", "no", "id", "at", "all"]), (2, [*a[:119], "end"]), (7, ["z"] * 9), (7, ["z"] * 9), (7, ["y"] * 9)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in data], "doc_id long, text string")
+    sets = word_sets(list(enumerate(" ".join(w) for _, w in data)), 3)
+    roots = brute_components(sets, 85)
+    ids = {c: min((data[i][0] for i in roots if roots[i] == c and data[i][0] is not None), default=None) for c in set(roots.values())}
+    expected = [(data[i][0], len(sets[i]), ids[c], data[i][0] == ids[c]) for i, c in roots.items()]
+    assert sorted(rows(neardup.near_duplicates(df, 3, 85)), key=str) == sorted(expected, key=str)
+    kept = neardup.one_of_each(df.withColumns({"h1": F.lit("clash"), "n": F.lit(1)}), 3, 85)
+    assert kept.columns == ["doc_id", "text", "h1", "n"]
+    assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(map(str, [2, 4, 7, 7, None]))  # one for each of a, b, y, z and the one without id
+
+
+def test_near_duplicates_of_the_documents_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = [(r.doc_id, r.text) for r in docs.collect()]
+    for size, percent in ((3, 85), (5, 80)):
+        sets = word_sets(texts, size)
+        by_word = defaultdict(list)
+        for i, s in sets.items():
+            for x in s:
+                by_word[x].append(i)
+        common = Counter((a, b) for ids in by_word.values() for a in ids for b in ids if a < b)
+        parent = {i: i for i in sets}
+
+        def root(x, parent=parent):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for (a, b), c in common.items():
+            if 100 * c >= percent * (len(sets[a]) + len(sets[b]) - c):
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+        got = rows(neardup.near_duplicates(docs, size, percent))
+        assert sorted(got) == [(i, len(sets[i]), root(i), root(i) == i) for i in sorted(sets)]
 
 
 def test_registers_merge_and_estimate():
