@@ -8,26 +8,32 @@
    for some total near the wanted one; the few blocks that are missing (or too many) then follow from the next (or
    last) quotients. The number of candidate quotients is linear in the number of parties.
 3. Selection: a shard's documents stand in seeded order as one stream of words; its quota takes whole passes over the
-   stream, and from the last pass its first blocks. Windows run inside (source, shard), and the number of shards of a source grows
-   with its rows, so that a source with a third of all rows is spread like any other.
+   stream, and from the last pass its first blocks. What a document gives then follows from its shard's cell alone: how many passes, and where
+   the last one is cut. Cells are few (``MAX_CELLS`` and one for each source), so that they can be sent to every task and texts are not shuffled.
+
+Rows that are alike in id, source and text are counted first and handled as one group with a number, in chunks; a chunk's shard is a hash of id, text
+and chunk. So neither missing nor repeated ids nor repeated rows make a hot key, and the number of shards of a source grows with its rows.
 
 Defined results: a null text has size 0; null is a source of its own, after all others; a source without words has target
-0 and gives nothing; rows with equal ids are told apart by size only, and equal rows are interchangeable; the empty table gives
+0 and gives nothing; rows with equal ids are different documents, and equal rows are interchangeable; the empty table gives
 an empty table; columns besides those named are ignored. Nothing is taken beyond ``max_repeats`` times a document's size.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import WORD, table, written
+from ._shared import CHUNK, WORD, chunked, grouped_rows, table, written
 
 WEIGHTS = (5, 2, 1)
 #: About so many blocks in all: a block is the millionth part of all words, or one word.
 BLOCKS = 1_000_000
-#: Rows a shard of a source has on average.
-SHARD_ROWS = 16_384
+#: Rows a shard of a source has on average: so many, or more where the cells would become more than ``MAX_CELLS``.
+SHARD_ROWS, MAX_CELLS = 2048, 20_000
+KEY = ["doc_id", "source", "size", "h"]
 
 
 def n_words(text: Column) -> Column:
@@ -86,43 +92,87 @@ def apportion(parties: DataFrame, group: list[str], key: list[str], share: str,
     )
 
 
-def mix(
-    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = 3, seed: int = 17, blocks: int = BLOCKS, shard_rows: int = SHARD_ROWS
-) -> DataFrame:
-    """``doc_id, source, size`` (a written, narrow table) to these, ``source_size, target`` and ``taken``."""
-    stats = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
-    shards = F.greatest(F.lit(1), F.ceil(F.col("source_rows") / shard_rows)).cast("long")
+def sized(docs: DataFrame) -> DataFrame:
+    """The narrow table that mixing works on, written once: ``doc_id, source, size, h`` (a hash of the text) and ``n``, the number of such rows."""
+    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("h"))
+    return written(grouped_rows(rows, "n"), "mix-sizes")
+
+
+class Plan(NamedTuple):
+    """What decides how much each document gives: a row for each source, and one for each cell (source and shard)."""
+
+    sources: DataFrame
+    cells: DataFrame
+    max_repeats: int
+    seed: int
+    chunk: int
+
+
+def _placed(rows: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
+    """Adds the source's columns, ``shard`` and ``at``, the place in the shard's order, to rows of ``KEY, chunk``."""
+    shard = F.pmod(F.xxhash64("doc_id", "h", "chunk", F.lit(seed)), F.col("shards"))
+    at = F.struct(F.xxhash64("doc_id", "h", "chunk", F.lit(seed + 1)).alias("o"), F.col("doc_id"), F.col("size"), F.col("h"), F.col("chunk"))
+    # one row for each source: broadcast as far as Spark's own size limit allows, shuffled beyond it
+    both = rows.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
+    return both.select("d.*", *[F.col(f"s.{c}") for c in ("source_size", "target", "block", "quota")], shard.alias("shard"), at.alias("at"))
+
+
+def planned(
+    groups: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = 3, seed: int = 17, blocks: int = BLOCKS,
+    shard_rows: int = SHARD_ROWS, max_cells: int = MAX_CELLS, chunk: int = CHUNK,
+) -> Plan:
+    """Targets, quotas and cuts for what ``sized`` gives."""
+    stats = groups.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("source_rows"))
     aimed = targets(stats.select("source", "source_size"), weights, max_repeats)
     total = F.sum("source_size").over(Window.partitionBy())
     # seats: a number for all, so that each source's target is a whole number of blocks but for rounding
     block = F.greatest(F.lit(1), F.floor(total / blocks)).cast("long")
     seats = aimed.withColumn("block", block).withColumn("_seats", F.round(F.sum("target").over(Window.partitionBy()) / F.col("block")).cast("long"))
     by_source = apportion(seats.withColumn("_all", F.lit(0)), ["_all"], ["source"], "target", "_seats", "quota").drop("_all", "_seats")
-    per_source = written(
-        by_source.alias("a").join(stats.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.*", shards.alias("shards")), "mix-sources"
-    )
-
-    # one row for each source: broadcast as far as Spark's own size limit allows, shuffled beyond it
-    placed = docs.alias("d").join(per_source.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select(
-        "d.*", "s.source_size", "s.target", "s.block", "s.quota", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("shards")).alias("shard")
-    )
-    cells = placed.groupBy("source", "shard", "block", "quota").agg(F.sum("size").alias("cell_size"))
+    rows_a_shard = F.greatest(F.lit(float(shard_rows)), F.sum("source_rows").over(Window.partitionBy()) / max_cells)
+    counted = stats.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_rows") / rows_a_shard)).cast("long"))
+    sources = by_source.alias("a").join(counted.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.*", "b.shards")
+    sources = written(sources, "mix-sources")
+
+    placed = _placed(chunked(groups, "n", "chunk", chunk), sources, seed)
+    words = F.col("size") * F.col("n")
+    cells = placed.groupBy("source", "shard", "block", "quota").agg(F.sum(words).alias("cell_size"))
     cells = apportion(cells.withColumn("_share", F.col("cell_size").cast("double")), ["source"], ["shard"], "_share", "quota", "cell_quota")
-    words = F.least(F.col("cell_quota") * F.col("block"), F.col("cell_size") * max_repeats)
-    cells = cells.select("source", "shard", "cell_size", words.alias("words"))
-
-    inside = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size")
-    streams = placed.withColumn("_end", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    joined = streams.alias("d").join(cells.alias("c"), F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("d.shard") == F.col("c.shard")))
-    passes = F.when(F.col("cell_size") > 0, F.floor(F.col("words") / F.col("cell_size"))).otherwise(0).cast("long")
-    rest = F.col("words") - passes * F.col("cell_size")
-    part = F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), rest - (F.col("_end") - F.col("size"))))
-    return joined.select("doc_id", "d.source", "size", "source_size", "target", (passes * F.col("size") + part).cast("long").alias("taken"))
-
-
-def sized(docs: DataFrame) -> DataFrame:
-    """The narrow table that mixing works on, written once: texts are read a single time."""
-    return written(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
+    quota = F.least(F.col("cell_quota") * F.col("block"), F.col("cell_size") * max_repeats)
+    passes = F.when(F.col("cell_size") > 0, F.floor(quota / F.col("cell_size"))).otherwise(0).cast("long")
+    cells = written(cells.select("source", "shard", passes.alias("passes"), (quota - passes * F.col("cell_size")).alias("rest")), "mix-cells")
+
+    inside = Window.partitionBy("source", "shard").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    streams = placed.select("source", "shard", "at", words.alias("w")).withColumn("end", F.sum("w").over(inside))
+    same = F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("d.shard") == F.col("c.shard"))
+    begin = F.col("end") - F.col("w")
+    cuts = streams.alias("d").join(cells.alias("c"), same & (begin <= F.col("rest")) & (F.col("rest") < F.col("end")))
+    cuts = cuts.select("c.source", "c.shard", F.col("at").alias("cut"), (F.col("rest") - begin).alias("cut_words"))
+    every = cells.alias("d").join(cuts.alias("c"), same, "left").select("d.source", "d.shard", "passes", "cut", "cut_words")
+    return Plan(sources, written(every, "mix-cuts"), max_repeats, seed, chunk)
+
+
+def with_taken(groups: DataFrame, plan: Plan) -> DataFrame:
+    """``groups`` (``KEY, n`` and more) with ``source_size, target, taken`` and ``n``, the number of rows that give so much."""
+    placed = _placed(chunked(groups, "n", "chunk", plan.chunk), plan.sources, plan.seed)
+    cells = plan.cells.withColumnRenamed("source", "cell_source").withColumnRenamed("shard", "cell_shard")
+    both = placed.join(cells, F.col("source").eqNullSafe(F.col("cell_source")) & (F.col("shard") == F.col("cell_shard")))
+    size, n, base = F.col("size"), F.col("n"), F.col("passes") * F.col("size")
+    at_cut = F.col("at").eqNullSafe(F.col("cut"))
+    # of a group that is cut some give all their words, one a part, and the rest nothing in the last pass
+    full = F.when(at_cut, F.floor(F.col("cut_words") / size)).when(F.col("at") < F.col("cut"), n).otherwise(0).cast("long")
+    part = F.when(at_cut, F.pmod(F.col("cut_words"), size)).otherwise(0).cast("long")
+    some = (part > 0).cast("long")
+    kinds = F.array(*[F.struct(t.cast("long").alias("taken"), k.cast("long").alias("n")) for t, k in ((base + size, full), (base + part, some), (base, n - full - some))])
+    out = both.withColumn("_kind", F.explode(F.filter(kinds, lambda x: x["n"] > 0)))
+    return out.select(*[c for c in groups.columns if c != "n"], "source_size", "target", "_kind.taken", "_kind.n")
+
+
+def mix(groups: DataFrame, **options) -> DataFrame:
+    """``doc_id, source, size, source_size, target, taken`` for each row that ``sized`` counted; options as for ``planned``."""
+    amounts = with_taken(groups, planned(groups, **options))
+    rows = amounts.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

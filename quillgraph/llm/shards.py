@@ -3,18 +3,19 @@
 The shuffle is a function of (row number, number of rows, seed): it can be repeated, and the shard and slot
 of a row can be computed without looking at any other row. Everything is DataFrame code.
 
-Global row numbers come from two narrow passes. A row's bucket is a hash of its id; the buckets' counts give
-each bucket's first number, and a row's number inside its bucket is its rank by id. Number of buckets and
-order do not depend on how the input is split, so neither do the numbers.
+Global row numbers come from narrow passes. Rows are counted by key and ties first, so that a repeated row, or a missing key, is one row
+with a number; large groups are cut to chunks. A chunk's bucket is a hash of key, ties and chunk; the buckets' counts give each bucket's first
+number, and the running count inside the bucket, in order of key and ties, does the rest. Number of buckets and order do not depend on
+how the input is split, so neither do the numbers.
 
 The permutation works on a domain ``a * b >= n`` of two mixed radices, chosen so that ``a * b - n`` is as small as
 possible; a row outside ``[0, n)`` is permuted again. A walk passes only through the ``a * b - n`` surplus values,
 so that many steps and one more always suffice: the bound is exact, not a probability.
 
-Defined results: a null text has size 16 and the checksum of the empty text; rows with equal ids are numbered by
-size and checksum, and rows that are equal in all three are interchangeable; a null id is a key like others;
-the empty table gives an empty table; columns besides the key and text are ignored. Copies of a text are
-placed like any other rows: this law evens out counts, it does not keep groups together.
+Defined results: a null text has size 16 and the checksum of the empty text; a null id is a key like others; rows with equal ids are numbered by
+size and checksum, and rows that are equal in all three are interchangeable; the empty table gives an empty table; columns besides the key
+and the ties are ignored, whatever their names, and not returned. Copies of a text are placed like any other rows: this law evens out
+counts, it does not keep groups together.
 """
 
 from __future__ import annotations
@@ -24,9 +25,11 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import table
+from ._shared import CHUNK, chunked, grouped_rows, table
 
 ROUNDS = 6
+#: Rows a bucket has on average, as soon as there are more than so many of the fewest buckets.
+BUCKET_ROWS, FEWEST_BUCKETS = 32_768, 4096
 
 
 def domain(n: int) -> tuple[int, int]:
@@ -62,26 +65,30 @@ def permuted(row: Column, n: int, seed: int) -> Column:
     return F.aggregate(walk, first, lambda acc, _: F.when(acc < F.lit(n), acc).otherwise(feistel(acc)).cast("long"))
 
 
-def with_row_numbers(df: DataFrame, key: str, ties: list[str], buckets: int = 4096) -> DataFrame:
-    """Adds ``row_number`` from 0, without gaps. ``buckets`` bounds the table of first numbers, which is broadcast."""
-    spread = df.withColumn("_bucket", F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)))
-    counts = spread.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+def bucketed(df: DataFrame, columns: list[str], n: int, chunk: int = CHUNK) -> DataFrame:
+    """``columns, _n, _chunk, _bucket``: chunks of equal rows and the bucket each is in."""
+    chunks = chunked(grouped_rows(df.select(*columns), "_n"), "_n", "_chunk", chunk)
+    return chunks.withColumn("_bucket", F.pmod(F.xxhash64(*columns, "_chunk"), F.lit(max(FEWEST_BUCKETS, n // BUCKET_ROWS))))
+
+
+def with_row_numbers(df: DataFrame, columns: list[str], n: int, chunk: int = CHUNK) -> DataFrame:
+    """``columns, row_number`` of each of the ``n`` rows: numbers from 0, without gaps."""
+    spread = bucketed(df, columns, n, chunk)
+    counts = spread.groupBy("_bucket").agg(F.sum("_n").alias("_all"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    inside = Window.partitionBy("_bucket").orderBy(key, *ties)
-    numbered = spread.withColumn("_rank", F.row_number().over(inside))
-    joined = numbered.join(F.broadcast(firsts), "_bucket")
-    return joined.withColumn("row_number", F.col("_first") + F.col("_rank") - 1).drop("_bucket", "_first", "_rank")
+    firsts = counts.select("_bucket", F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_first"))
+    inside = Window.partitionBy("_bucket").orderBy(*columns, "_chunk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = spread.withColumn("_end", F.sum("_n").over(inside)).join(firsts, "_bucket")
+    end = F.col("_first") + F.col("_end")
+    return placed.select(*columns, F.explode(F.sequence((end - F.col("_n")).cast("long"), (end - 1).cast("long"))).alias("row_number"))
 
 
-def shard(df: DataFrame, n_shards: int, seed: int, key: str = "doc_id", ties: list[str] | None = None) -> DataFrame:
-    """Adds ``row_number, position, shard, slot``; the shards' counts differ by one at most."""
+def shard(df: DataFrame, n_shards: int, seed: int, key: str = "doc_id", ties: list[str] | None = None, chunk: int = CHUNK) -> DataFrame:
+    """``key, ties, row_number, position, shard, slot`` for each row; the shards' counts differ by one at most."""
     n = df.count()
-    numbered = with_row_numbers(df, key, ties or [])
-    position = permuted(F.col("row_number").cast("long"), n, seed)
-    return numbered.withColumn("position", position).withColumns(
-        {"shard": F.pmod("position", F.lit(n_shards)).cast("int"), "slot": F.floor(F.col("position") / n_shards).cast("long")}
-    )
+    position = permuted(F.col("row_number"), n, seed)
+    numbered = with_row_numbers(df, [key, *(ties or [])], n, chunk).withColumn("position", position)
+    return numbered.withColumns({"shard": F.pmod("position", F.lit(n_shards)).cast("int"), "slot": F.floor(F.col("position") / n_shards).cast("long")})
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -210,18 +210,60 @@ def test_feistel_is_a_bijection(spark, n):
 
 
 def test_shards_differ_by_one_and_slots_have_no_gaps(spark):
-    data = [(i * 7 % 500, f"t{i}") for i in range(503)] + [(None, None), (None, None)]
-    df = spark.createDataFrame(data, "doc_id long, text string").withColumn("slot", F.lit("clash")).drop("slot")
-    a, b = (sorted(map(str, rows(shards.shard(x, 40, 1, ties=["text"])))) for x in (df, df.repartition(7)))
-    assert a == b
-    slots = defaultdict(list)
-    for r in shards.shard(df, 40, 1, ties=["text"]).collect():
+    data = [(i * 7 % 500, f"t{i}") for i in range(503)] + [(None, None), (None, None)] + [(1, "again")] * 20
+    df = spark.createDataFrame(data, "doc_id long, text string").withColumns({"slot": F.lit("clash"), "_n": F.lit(1), "row_number": F.lit("clash")})
+    a, b = (sorted(map(str, rows(shards.shard(x, 40, 1, ties=["text"], chunk=7)))) for x in (df, df.repartition(7)))
+    assert a == b and len(a) == len(data)
+    slots, seen = defaultdict(list), Counter()
+    for r in shards.shard(df, 40, 1, ties=["text"], chunk=7).collect():
         slots[r["shard"]].append(r["slot"])
-    assert len(slots) == 40 and {len(s) for s in slots.values()} <= {12, 13}
+        seen[r.doc_id, r.text] += 1
+    assert seen == Counter(data)
+    assert len(slots) == 40 and {len(s) for s in slots.values()} <= {13, 14}
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert rows(shards.shard(df.limit(0), 40, 1)) == []
 
 
+def test_missing_and_repeated_ids_are_spread_over_buckets(spark):
+    data = [(None, f"t{i}") for i in range(18_000)] + [(7, "same")] * 18_000 + [(i, "x") for i in range(4000)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    for r in (shards.bucketed(df, ["doc_id", "text"], 40_000, chunk=50).groupBy("_bucket").agg(F.sum("_n").alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("n")).collect()):
+        assert r.n == 40_000 and r.most < 500
+    groups = mixing.sized(df.withColumn("source", F.lit("s")))
+    plan = mixing.planned(groups, shard_rows=1000, chunk=50)
+    most = max(r.n for r in mixing._placed(mixing.chunked(groups, "n", "chunk", 50), plan.sources, plan.seed).groupBy("shard").agg(F.sum("n").alias("n")).collect())
+    assert most < 2000
+
+
+def test_the_permutation_equals_a_plain_feistel_network(spark):
+    n, seed = 1009, 5
+    a, b = shards.domain(n)
+    cells = [(x, i, s) for x in range(max(a, b)) for i in range(shards.ROUNDS // 2) for s in (seed, ~seed)]
+    hashed = {tuple(r[:3]): r[3] for r in spark.createDataFrame(cells, "x long, i long, s int").select("x", "i", "s", F.xxhash64("x", "i", "s")).collect()}
+
+    def network(x):
+        left, right = x % a, x // a
+        for i in range(shards.ROUNDS // 2):
+            left = (left + hashed[right, i, seed] % a) % a
+            right = (right + hashed[left, i, ~seed] % b) % b
+        return left + a * right
+
+    def walked(x):
+        while (x := network(x)) >= n:
+            pass
+        return x
+
+    got = {r.id: r.p for r in spark.range(n).select("id", shards.permuted(F.col("id"), n, seed).alias("p")).collect()}
+    assert got == {x: walked(x) for x in range(n)}
+
+
+def test_sharding_and_mixing_of_long_texts(spark):
+    df = spark.createDataFrame([(1, "word " * 200_000), (2, "z" * 3_000_000), (3, "a b")], "doc_id long, text string").withColumn("source", F.lit("s"))
+    sizes = {r.doc_id: r["size"] for r in shards.shard(df.select("doc_id", F.length("text").alias("size")), 2, 1, ties=["size"]).collect()}
+    assert sizes == {1: 1_000_000, 2: 3_000_000, 3: 3}
+    assert {r.doc_id: (r["size"], r.taken) for r in mixing.mix(mixing.sized(df)).collect()} == {1: (200_000, 200_000), 2: (1, 1), 3: (2, 2)}
+
+
 def test_the_domain_is_tight_at_any_size():
     for n in (10**6 + 3, 10**9 + 7, 10**11 + 3):
         a, b = shards.domain(n)
@@ -428,10 +470,10 @@ def test_registers_merge_and_estimate():
 def test_mixing_reaches_targets(spark):
     rng = random.Random(4)
     data = [(i, rng.choice(["a", "a", "a", "a", "b", "c", "É", None]), " ".join(rng.choice(WORDS) for _ in range(rng.randrange(120)))) for i in range(900)]
-    data += [(901, "tiny", "one two"), (902, "empty", None), (902, "empty", ""), (None, "a", "no id here"), (None, "a", "no id here")]
+    data += [(901, "tiny", "one two"), (902, "empty", None), (902, "empty", ""), *[(None, "a", "no id here")] * 20, *[(5, "b", "one two three")] * 30]
     df = spark.createDataFrame(data, "doc_id long, source string, text string").withColumn("block", F.lit("clash")).withColumn("shard", F.lit("clash"))
-    got = mixing.mix(mixing.sized(df), shard_rows=100).collect()
-    again = mixing.mix(mixing.sized(df.repartition(5)), shard_rows=100).collect()
+    got = mixing.mix(mixing.sized(df), shard_rows=100, chunk=3).collect()
+    again = mixing.mix(mixing.sized(df.repartition(5)), shard_rows=100, chunk=3).collect()
     assert sorted(map(str, got)) == sorted(map(str, again)) and len(got) == len(data)
     size, taken, target = Counter(), Counter(), {}
     for r in got:

@@ -64,13 +64,28 @@ def test_run_packs_what_the_stages_keep(spark, folder):
         at += r.length
 
 
-def test_duplicates_without_ids_are_kept(spark, folder):
-    docs = spark.createDataFrame([(None, "a b c d e f g", "s"), (1, "a b c d e f g", "s"), (2, "a b c d e f g", "s")], "doc_id long, text string, source string")
-    assert sorted(str(r.doc_id) for r in corpus_pipeline.deduplicate(spark, docs, folder).collect()) == ["1", "None"]
-    empty = docs.limit(0)
+def test_one_row_of_each_group_stays_whatever_its_id(spark, folder):
+    def kept(rows):
+        docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
+        return sorted(map(str, (tuple(r[:2]) for r in corpus_pipeline.deduplicate(spark, docs, folder).collect())))
+
+    a, b = "a b c d e f g", "one two three four five six"
+    assert kept([(None, a), (1, a), (2, a)]) == [str((1, a))]
+    assert kept([(1, b), (4, a), (4, b)]) == [str((1, b)), str((4, a))]
+    assert kept([(None, a), (None, a), (7, b), (7, b), (None, None), (3, "")]) == sorted(map(str, [(None, a), (7, b), (None, None), (3, "")]))
+    empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert corpus_pipeline.deduplicate(spark, empty, folder).count() == corpus_pipeline.mix(spark, empty, folder).count() == 0
 
 
+def test_stages_keep_clashing_columns(spark, folder):
+    rows = [(i, f"the thing where {i} and others " * 5, "en", "s", "x", i, i, i) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, taken string, size long, n long, h1 long")
+    for stage in (corpus_pipeline.recognise, corpus_pipeline.deduplicate, corpus_pipeline.mix):
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns and {(r.taken, r.h1) for r in out.collect()} <= {("x", i) for i in range(40)}
+    assert {r.doc_id for r in corpus_pipeline.pack(spark, docs, folder).collect()} == set(range(40))
+
+
 def test_each_row_is_mixed_by_its_own_size(spark, folder):
     rows = [(None, f"n{i} " + "w " * (9 if i % 2 else 999), "s0") for i in range(8)] + [(5, "r " * 7, "s0")] * 5 + [(i, "x " * 50, "s1") for i in range(100, 300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
