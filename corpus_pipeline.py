@@ -1,7 +1,13 @@
 """A corpus pipeline: language ID, near-dedup, mixing to target weights, packing.
 
 ``run`` applies the stages to ``documents``; each stage's rows are written as Parquet and read again as the next one's.
-All but the last return the columns of ``documents``; the last returns one row for each piece of a packed sequence.
+All but the last return the columns of ``documents``, in their order; the last returns one row for each piece of a packed sequence.
+
+Defined results: a null ``doc_id`` or ``source`` is a value like others, and rows that share an id are different documents, each judged by its
+own text. A null or empty text is rejected by language ID; near-dedup keeps every text without words, mixing takes nothing of it, packing gives it the end
+token alone. Of rows that are alike in id and text near-dedup keeps one; to mixing, rows alike in id, source and text are one document repeated,
+whose other columns come from one of them. Texts of any length are handled whole. Empty tables give empty results. Further columns of the
+documents, whatever their names, are passed on by all stages but the last.
 """
 
 from __future__ import annotations
@@ -9,7 +15,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm import langid, mixing, neardup, packing
@@ -22,40 +28,37 @@ def recognise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays (five-word shingles, similarity of 0.8 or more): the one with the smallest id."""
-    dropped = neardup.near_duplicates(docs, size=5, percent=80).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near copies stays (five-word shingles, similarity of 0.8 or more): one with the smallest id."""
+    return neardup.one_of_each(docs, size=5, percent=80)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; where it takes a part, the last copy has that many words.
 
-    Each row has its own taken words. Rows with one id, source and size are interchangeable to the mix, so where these take different
-    amounts, the larger ones go to the texts with the smaller hashes.
+    How much a document gives follows from its own row and the plan's small tables, so texts are not shuffled.
     """
-    key = ["doc_id", "source", "_size"]
-    amounts = mixing.mix(mixing.sized(docs)).withColumnRenamed("size", "_size").groupBy(*key, "taken").agg(F.count(F.lit(1)).alias("_n"))
-    by_key = Window.partitionBy(*key)
-    amounts = amounts.withColumns({"_to": F.sum("_n").over(by_key.orderBy(F.desc("taken"))), "_kinds": F.count(F.lit(1)).over(by_key)})
-    amounts = written(amounts.select(*key, F.col("taken").alias("_words"), "_n", "_to", "_kinds"), "mix-taken")
-    sized = docs.withColumn("_size", mixing.n_words(F.col("text")))
-
-    same = reduce(and_, [F.col(f"d.{c}").eqNullSafe(F.col(f"a.{c}")) for c in key])
-    alike, unlike = amounts.where("_kinds = 1"), amounts.where("_kinds > 1")
-    equal = sized.alias("d").join(alike.alias("a"), same)
-    rank = F.row_number().over(by_key.orderBy(F.xxhash64("text"), "text"))
-    some = sized.alias("d").join(unlike.alias("a"), same, "left_semi")
-    own = same & (F.col("d._rank") > F.col("a._to") - F.col("a._n")) & (F.col("d._rank") <= F.col("a._to"))
-    ranked = some.withColumn("_rank", rank).alias("d").join(unlike.alias("a"), own)
-    columns = [F.col(f"d.{c}") for c in [*docs.columns, "_size"]] + [F.col("a._words")]
-    both = equal.select(*columns).unionByName(ranked.select(*columns)).where("_words > 0 and _size > 0")
-    whole, rest = F.floor(F.col("_words") / F.col("_size")).cast("long"), F.pmod(F.col("_words"), F.col("_size"))
-    copies = both.withColumns({"_whole": whole, "_rest": rest}).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_whole") + (F.col("_rest") > 0).cast("long"))))
-    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(rf"{WORD}[\x20\x09-\x0D]*"), 0), 1, F.col("_rest").cast("int")), "")
-    out = copies.withColumn("text", F.when(F.col("_copy") <= F.col("_whole"), F.col("text")).otherwise(part))
+    groups = mixing.sized(docs)
+    plan = mixing.planned(groups)
+    rows = docs.select(F.struct("*").alias("_row"), "doc_id", "source", mixing.n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("h"))
+    repeated = groups.where("n > 1")
+    if repeated.isEmpty():
+        rows = rows.withColumn("n", F.lit(1).cast("long"))
+    else:
+        same = reduce(and_, [F.col(f"d.{c}").eqNullSafe(F.col(f"r.{c}")) for c in mixing.KEY])
+        once = rows.alias("d").join(repeated.alias("r"), same, "left_anti").withColumn("n", F.lit(1).cast("long"))
+        alike = rows.alias("d").join(repeated.alias("r"), same).select("d.*", "r.n").dropDuplicates(mixing.KEY)
+        rows = once.unionByName(alike)
+    amounts = mixing.with_taken(rows, plan).where("taken > 0").select("_row", "size", "taken", "n")
+    whole, rest = F.floor(F.col("taken") / F.col("size")).cast("long"), F.pmod("taken", "size")
+    numbers = F.sequence(F.lit(1).cast("long"), F.col("n") * (F.col("whole") + (F.col("rest") > 0).cast("long")))
+    copies = amounts.withColumns({"whole": whole, "rest": rest}).withColumn("copy", F.explode(numbers))
+    is_whole = F.col("copy") <= F.col("n") * F.col("whole")
+    part = F.array_join(F.slice(F.regexp_extract_all("_row.text", F.lit(rf"{WORD}[\x20\x09-\x0D]*"), 0), 1, F.col("rest").cast("int")), "")
+    text = F.when(is_whole, F.col("_row.text")).otherwise(part)
+    own = {"text": text.alias("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_copy") <= F.col("_whole"), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        own["n_chars"] = F.when(is_whole, F.col("_row.n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return copies.select(*[own.get(c, F.col("_row").getField(c).alias(c)) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
