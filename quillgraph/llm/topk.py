@@ -1,26 +1,29 @@
 """Exact top-k search by inner product: aggregation without random access (NRA) over sorted lists.
 
 Vectors are packed to blocks of rows. In a block every component is a sorted list, read downwards for a query's positive
-weights and upwards for its negative ones, to the same depth in all lists at once. What has been read gives each row a lower and an upper
-bound; rows whose upper bound lies under the k-th best lower bound cannot qualify. Reading stops as soon as only a
-few rows are left besides the winners; their final scores are then resolved from the stored rows.
+weights and upwards for its negative ones. All lists are read step by step to the same depth. A row that was met in some lists has a lower bound (what was
+read of it, and the last entry of every other list) and an upper bound (what was read, and the entry at which every other list stands); a row that was met
+in none has at most the sum of the entries at which the lists stand. Reading stops as soon as the k-th best lower bound, in this block or from blocks
+read before, is above what an unmet row can have, and only a few of the met rows can still reach it; their final scores are then
+resolved from the stored rows. A block whose first entries together stay below the k-th best is not read at all.
 
-The bounds of all rows of a block for all queries of a block are matrix products. With the value ``f`` at the reading point of a
-positive weight ``q``, a row's share is ``q x`` where it has been read (``x >= f``) and at most ``q f`` otherwise, that
-is ``q max(x, f)``; at least it is ``q x`` or ``q`` times the list's last value. Negative weights mirror this.
+How deep this reads depends on the data. Where a few components decide (vectors of uneven length, or components that rise and fall together) a small part
+of the lists is enough; for components that are independent and alike, in dozens of dimensions, the bounds meet only near the lists' ends.
 
-Blocks of queries meet blocks of rows through a join on (group of query blocks, salt): each row of it is one pair of blocks,
-so that a task's memory is bounded by two blocks, at any number of queries or rows.
+The queries come in chunks of a bounded size, which are sent to every task; blocks of rows stay where they are, and a task keeps k rows for
+each query over all its blocks. What is shuffled is each row once, on packing, and k scores for each task and query.
 
 Defined results: vectors that are null, or hold null or non-finite components, take no part, nor do rows without id; rows that
 repeat an id count once (the smallest vector); vectors of different lengths have no product; equal scores rank by smaller id; a
 query finds fewer than k rows if there are fewer; the empty table gives an empty table; other columns are ignored. Scores
-are exact while their absolute value is below 2**53.
+are exact; where floating point could round (sums of 2**53 or more) whole numbers of any length are used, and scores beyond 64 bits end there.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,10 @@ from pyspark.sql import functions as F
 
 from ._shared import table, written
 
-QUERY_ROWS, BLOCK_ROWS = 512, 4096
+#: Rows of a block of queries and of a block of rows; blocks of rows that a task reads on average.
+QUERY_ROWS, BLOCK_ROWS, TASK_BLOCKS = 2048, 4096, 4
+#: Bytes of query blocks that are sent to every task at once (about); with TASK_BLOCKS they bound the pairs of blocks that a task holds.
+CHUNK_BYTES = 8 << 20
 _BLOCK = "dim int, ids binary, vectors binary"
 
 
@@ -75,85 +81,119 @@ def blocks(rows: DataFrame, size: int, scale: float) -> DataFrame:
     return rows.select("id", "v").mapInArrow(run, _BLOCK)
 
 
-def _kth(scores: np.ndarray, k: int) -> np.ndarray:
-    n = scores.shape[1]
-    return np.partition(scores, n - k, axis=1)[:, n - k] if n >= k else np.full(len(scores), -np.inf)
-
-
-def no_random_access(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, floors: np.ndarray | None = None) -> list[tuple[int, int, int]]:
-    """(query, row, score) of every row of the block that can be among a query's k best.
+class Found(NamedTuple):
+    query: int
+    row: int
+    score: int
+    depth: int  # how many entries of each list were read
+
+
+def _order(x: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each component as a sorted list: row numbers and values, dim x n, ascending."""
+    order = np.argsort(x, axis=0, kind="stable").T
+    return np.ascontiguousarray(order), np.take_along_axis(x.T, order, axis=1)
+
+
+def _search_one(x: np.ndarray, ids: np.ndarray, order: np.ndarray, values: np.ndarray, own: int, q: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """Rows that can be among the k best of query ``q``, their scores, and the depth read. ``own``: a row that takes no part, or -1."""
+    n = len(ids)
+    used = np.flatnonzero(q)
+    weight, down = q[used], q[used] > 0
+    worst = weight * np.where(down, values[used, 0], values[used, -1])
+    base, depth = worst.sum(), 0
+    gained, seen = np.zeros(n), np.zeros((n, len(used)), dtype=bool)
+    column = np.arange(len(used))[:, None]
+    entry = weight * np.where(down, values[used, -1], values[used, 0]) - worst  # what the next entry of each list adds to the least
+    while True:
+        unmet = base + entry.sum()
+        met = np.flatnonzero(seen.any(axis=1)) if depth < n else np.arange(n)
+        met = met[met != own]
+        lower = base + gained[met]
+        if len(met) >= k:
+            floor = max(floor, np.partition(lower, len(met) - k)[len(met) - k])
+        if depth == n or unmet < floor:
+            upper = lower + (entry.sum() - seen[met] @ entry)
+            alive = met[upper >= floor]  # equal bounds stay: an equal score may win by its id
+            if depth == n or len(alive) <= 4 * k:
+                return alive, x[alive] @ q, depth
+        step = min(n - depth, max(32, depth // 2))
+        near = np.arange(depth, depth + step)
+        at = np.where(down[:, None], n - 1 - near, near)
+        rows = order[used[:, None], at]
+        gained += np.bincount(rows.ravel(), weights=(weight[:, None] * values[used[:, None], at] - worst[:, None]).ravel(), minlength=n)
+        seen[rows, column] = True
+        depth += step
+        entry = weight * values[used, np.where(down, n - depth, depth - 1)] - worst
+
+
+def no_random_access(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, floors: np.ndarray | None = None) -> list[Found]:
+    """Every row of the block that can be among a query's k best, best first, at most k.
 
     ``floors``: scores that a query's k best have elsewhere already; it is raised to what this block shows.
     """
-    n, dim = x.shape
     floors = np.full(len(q), -np.inf) if floors is None else floors
-    largest = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(1, dim)
-    exact = np.float32 if largest < 2**24 else np.float64  # sums of integers below these limits are exact
-    x, plus, minus = x.astype(exact), np.maximum(q, 0).astype(exact), np.minimum(q, 0).astype(exact)
-    lists = np.sort(x, axis=0)
-    last_down, last_up = lists[0], lists[-1]
-    _, own_query, own_row = np.intersect1d(query_ids, ids, return_indices=True)
-    own = np.full(len(q), -1)
-    own[own_query] = own_row
-    active, found = np.arange(len(q)), []
-    for depth in sorted({max(1, n // 4), max(1, n // 2), n}):
-        if not len(active):
-            break
-        down, up = lists[n - depth], lists[depth - 1]
-        p, m = plus[active], minus[active]
-        upper = p @ np.maximum(x, down).T + m @ np.minimum(x, up).T
-        lower = upper if depth == n else p @ np.where(x >= down, x, last_down).T + m @ np.where(x <= up, x, last_up).T
-        mine = np.flatnonzero(own[active] >= 0)
-        upper[mine, own[active][mine]] = -np.inf
-        lower[mine, own[active][mine]] = -np.inf
-        floors[active] = np.maximum(floors[active], _kth(lower, k))
-        alive = (upper >= floors[active][:, None]) & (upper > -np.inf)  # equal bounds stay: an equal score may win by its id
-        stop = (alive.sum(axis=1) <= 4 * k) | (depth == n)
-        for row in np.flatnonzero(stop):
-            left = np.flatnonzero(alive[row])
-            final = (x[left].astype(np.float64) @ q[active[row]]).astype(np.int64)
-            best = np.lexsort((ids[left], -final))[:k]
-            found += [(int(query_ids[active[row]]), int(ids[left[b]]), int(final[b])) for b in best]
-        active = active[~stop]
+    limits = np.iinfo(np.int64)
+    if float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(1, x.shape[1]) >= 2.0**53:
+        whole = [[int(v) for v in row] for row in x.tolist()]
+        found = []
+        for ident, weights in zip(query_ids.tolist(), q.tolist(), strict=True):
+            sums = [(max(limits.min, min(limits.max, sum(v * int(w) for v, w in zip(row, weights, strict=True)))), i) for row, i in zip(whole, ids.tolist(), strict=True) if i != ident]
+            found += [Found(ident, i, score, len(ids)) for score, i in sorted(sums, key=lambda s: (-s[0], s[1]))[:k]]
+        return found
+    order, values = _order(x, ids)
+    places = {ident: at for at, ident in enumerate(ids.tolist())}
+    found = []
+    for at, ident in enumerate(query_ids.tolist()):
+        left, scores, depth = _search_one(x, ids, order, values, places.get(ident, -1), q[at], k, floors[at])
+        best = np.lexsort((ids[left], -scores))[:k]
+        found += [Found(ident, int(ids[left[b]]), int(scores[b]), depth) for b in best]
+        if len(best) == k:
+            floors[at] = max(floors[at], scores[best[-1]])
     return found
 
 
-def search(df: DataFrame, queries: DataFrame, k: int, scale: float = 256.0, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """``query_id, rank, vec_id, score``: each query's k best rows of ``df``, but for the row of its own id."""
-    spark = df.sparkSession
-    rows, asked = usable(df, key, vector), usable(queries, key, vector)
-    row_blocks = written(blocks(rows, BLOCK_ROWS, scale), "topk-rows")
-    query_blocks = written(blocks(asked.repartition(max(1, -(-asked.count() // QUERY_ROWS)), "id"), QUERY_ROWS, scale), "topk-queries")
-    groups = max(1, query_blocks.count())
-    # every block of rows goes to every group of blocks of queries; salts spread a group's pairs over tasks
-    salts = max(1, -(-4 * spark.sparkContext.defaultParallelism // groups))
-    left = query_blocks.select(
-        F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"),
-        F.pmod(F.xxhash64("ids"), F.lit(groups)).alias("group"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"),
-    )
-    right = row_blocks.select(
-        "*", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int").alias("salt"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group")
-    )
+def _best_of_task(k: int):
+    """A task's work: all its pairs of blocks; at the end k rows for each query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         floors: dict[bytes, np.ndarray] = {}
+        best: dict[int, list[tuple[int, int]]] = {}
         for batch in batches:
-            for q_dim, q_ids, q_vectors, dim, ids, vectors in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if q_dim != dim:
-                    continue
+            for q_dim, q_ids, q_vectors, ids, vectors in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 query_ids, row_ids = np.frombuffer(q_ids, "<i8"), np.frombuffer(ids, "<i8")
                 floor = floors.setdefault(q_ids, np.full(len(query_ids), -np.inf))
-                if len(floors) > 8:
-                    floors = {q_ids: floor}
-                x, q = np.frombuffer(vectors, "<f8").reshape(len(row_ids), dim), np.frombuffer(q_vectors, "<f8").reshape(len(query_ids), dim)
-                found = no_random_access(row_ids, x, query_ids, q, k, floor)
-                columns = list(zip(*found, strict=True)) if found else [[]] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
-
-    pairs = right.join(left, ["group", "salt"]).select("q_dim", "q_ids", "q_vectors", "dim", "ids", "vectors")
-    partial = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
+                x, q = np.frombuffer(vectors, "<f8").reshape(len(row_ids), q_dim), np.frombuffer(q_vectors, "<f8").reshape(len(query_ids), q_dim)
+                for f in no_random_access(row_ids, x, query_ids, q, k, floor):
+                    best.setdefault(f.query, []).append((-f.score, f.row))
+                for ident in query_ids.tolist():
+                    if len(best.get(ident, ())) > k:
+                        best[ident] = sorted(best[ident])[:k]
+        flat = [(query, row, -score) for query, found in best.items() for score, row in found]
+        for first in range(0, len(flat), 65_536):
+            columns = list(zip(*flat[first : first + 65_536], strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
+
+    return run
+
+
+def search(df: DataFrame, queries: DataFrame, k: int, scale: float = 256.0, key: str = "vec_id", vector: str = "embedding", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """``query_id, rank, vec_id, score``: each query's k best rows of ``df``, but for the row of its own id."""
+    rows, asked = usable(df, key, vector), usable(queries, key, vector)
+    row_blocks = written(blocks(rows, BLOCK_ROWS, scale), "topk-rows")
+    row_blocks = row_blocks.repartition(max(1, -(-row_blocks.count() // TASK_BLOCKS)))  # packing may leave few splits
+    query_blocks = written(blocks(asked, QUERY_ROWS, scale), "topk-queries")
+    size = query_blocks.agg(F.coalesce(F.sum(F.octet_length("vectors") + F.octet_length("ids")), F.lit(0))).first()[0]
+    chunks = max(1, -(-size // chunk_bytes))
+    parts = []
+    for chunk in range(chunks):
+        mine = query_blocks.where(F.pmod(F.xxhash64("ids"), F.lit(chunks)) == chunk).select(
+            F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")
+        )
+        pairs = row_blocks.join(F.broadcast(mine), F.col("dim") == F.col("q_dim"))  # about chunk_bytes: checked above
+        parts.append(written(pairs.select("q_dim", "q_ids", "q_vectors", "ids", "vectors").mapInArrow(_best_of_task(k), "query_id long, vec_id long, score long"), "topk-part"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return partial.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(best))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,13 +53,31 @@ def test_topk_equals_brute_force_with_ties_and_odd_rows(spark):
 
 def test_no_random_access_stops_early_and_is_exact():
     rng = np.random.default_rng(5)
-    x = np.floor(256 * rng.normal(size=(900, 4)))
-    x[:7] *= 50  # a few rows tower over the rest
-    q = np.floor(256 * rng.normal(size=(5, 4)))
-    got = topk.no_random_access(np.arange(900), x, np.arange(1000, 1005), q, 3)
-    for i in range(5):
-        best = sorted((-int(s), j) for j, s in enumerate(x @ q[i]))[:3]
-        assert [(r, s) for a, r, s in got if a == 1000 + i] == [(j, -s) for s, j in best]
+    together = np.floor(256 * rng.normal(size=(900, 1)) * np.array([[1.0, 2.0, -1.0, 0.5]]) + rng.integers(-9, 9, (900, 4)))
+    apart = np.floor(256 * rng.normal(size=(900, 24)))
+    for x, deepest in ((together, 150), (apart, 900)):
+        q = x[np.argsort(-np.abs(x[:, 0]))[:12]] + 1
+        got = topk.no_random_access(np.arange(900), x, np.arange(1000, 1012), q, 3)
+        for i in range(12):
+            best = sorted((-int(s), j) for j, s in enumerate(x @ q[i]))[:3]
+            assert [(f.row, f.score) for f in got if f.query == 1000 + i] == [(j, -s) for s, j in best]
+        assert max(f.depth for f in got) <= deepest  # entries of each of the 900 long lists
+    # a block whose first entries cannot reach what is known already is not read
+    assert topk.no_random_access(np.arange(900), together, np.array([1000]), together[:1] + 1, 3, np.array([1e12])) == []
+
+
+def test_scores_beyond_floating_point_are_exact():
+    x = np.floor(2.0**40 * np.random.default_rng(2).random((30, 5)))
+    got = topk.no_random_access(np.arange(30), x, np.array([3]), x[3:4], 4)
+    sums = sorted((-sum(int(a) * int(b) for a, b in zip(row, x[3], strict=True)), i) for i, row in enumerate(x.tolist()) if i != 3)
+    assert [(f.row, f.score) for f in got] == [(i, min(-s, 2**63 - 1)) for s, i in sorted((max(s, -(2**63 - 1)), i) for s, i in sums)[:4]]
+
+
+def test_topk_in_several_chunks_of_queries(spark):
+    rng = np.random.default_rng(4)
+    data = [(i, rng.integers(-20, 20, 4).astype(float).tolist()) for i in range(400)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    assert set(rows(topk.search(df, df.where("vec_id % 50 = 0").repartition(4, "vec_id"), 5, chunk_bytes=50))) == brute_topk(data, 5)
 
 
 def test_topk_of_an_empty_table(spark):
