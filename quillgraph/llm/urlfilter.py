@@ -1,20 +1,25 @@
 """URL filters: rules first, then gradient-boosted trees on lexical features.
 
 Rules name a host and a path; a rule fits its host and all subdomains, if the url's path starts with the rule's. The longest fitting
-rule decides. The urls that rules decide are the labelled urls: from a bounded sample of them (``max_train`` urls with the smallest hashes)
-the trees learn to judge the rest. Features: lengths, depth, digit ratio, entropy, numbers of parameters, separators and subdomains,
-and suffix statistics (the smoothed share of blocked urls under a host's last one and last two labels, in the sample).
+rule decides. The urls that rules decide are the labelled urls, from which the trees learn to judge the rest. Features: lengths, depth, digit ratio,
+entropy, numbers of parameters, separators and subdomains, and suffix statistics: the smoothed share of blocked urls under a host's last one and
+last two labels.
 
-Features, fitting and judging run on Spark alone, on narrow rows without a shuffle of the table; only the sample's rows and the suffix
-statistics (at most two rows for each sampled url) are small tables of a known bound.
+Suffix statistics are counted over all labelled urls, each different url once, in folds: a url that trees are fitted on gets the share of the other folds,
+so a suffix tells the trees what it will tell about urls they have not seen. Trees are fitted on a bounded sample, ``max_train`` different urls
+(those with the smallest hashes).
+
+Features, fitting and judging run on Spark alone, on narrow rows. Statistics are a table of any size, joined as Spark finds best; a suffix
+under which many urls lie is split by adaptive execution.
 
 Defined results: a null url, or one without ``://``, has an empty host and path; rules of equal length: the longer host wins; without a
-labelled url of both kinds, the verdict is the only kind there is, and ``allow`` if there is none; equal urls get equal verdicts; repeated rows
-give repeated results; an empty table gives an empty table; columns besides the key and url are ignored.
+labelled url of both kinds, the verdict is the only kind there is, and ``allow`` if there is none; a url labelled in both ways counts as both; equal urls get equal verdicts;
+repeated rows give repeated results and weigh no more than one; an empty table gives an empty table; columns besides the key and url are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.ml.classification import GBTClassifier
@@ -48,6 +53,9 @@ FEATURES = [
     "url_length", "host_length", "path_length", "query_length", "depth", "subdomains", "digit_ratio", "entropy",
     "parameters", "hyphens", "escapes", "longest_label", "last_label_blocked", "last_two_blocked",
 ]
+SUFFIXES = ["last_label", "last_two"]
+#: Parts of the labelled urls, each judged by the suffix statistics of the others.
+FOLDS = 5
 
 
 def split_url(url: Column) -> tuple[Column, Column, Column]:
@@ -107,42 +115,60 @@ def lexical(df: DataFrame) -> DataFrame:
     })
 
 
-def _blocked_share(sample: DataFrame, suffix: str, out: str) -> DataFrame:
-    share = (F.sum("label") + 1.0) / (F.count(F.lit(1)) + 2.0)
-    return sample.groupBy(suffix).agg(share.alias(out))
+def suffix_counts(labelled: DataFrame, suffix: str) -> DataFrame:
+    """``suffix, counts``: for each suffix the numbers of urls and of blocked urls in each fold. ``labelled``: ``url, label`` and the suffixes."""
+    folds = labelled.groupBy(suffix, _fold(F.col("url")).alias("fold")).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("blocked"))
+    whole = folds.groupBy(suffix).agg(F.collect_list(F.struct("fold", F.col("n").cast("double").alias("n"), "blocked")).alias("counts"))  # as many as there are folds
+    return written(whole, "url-suffixes")
+
+
+def _fold(url: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(FOLDS), url), F.lit(FOLDS)).cast("int")
+
+
+def _is_not(fold: Column) -> Callable[[Column], Column]:
+    return lambda counted: counted["fold"] != fold
 
 
-def with_suffix_statistics(df: DataFrame, statistics: list[tuple[str, str, DataFrame]]) -> DataFrame:
-    for suffix, out, shares in statistics:
-        df = df.join(F.broadcast(shares), suffix, "left").withColumn(out, F.coalesce(out, F.lit(0.5)))
+def with_suffix_statistics(df: DataFrame, counts: dict[str, DataFrame], own_fold: bool) -> DataFrame:
+    """Adds the share of blocked urls under each suffix; without ``own_fold`` a url's own fold does not count."""
+    for suffix, table_ in counts.items():
+        fold = F.lit(-1) if own_fold else _fold(F.col("url"))
+        others = F.filter("counts", _is_not(fold))
+        n, blocked = (F.aggregate(others[x], F.lit(0.0), lambda a, b: a + b) for x in ("n", "blocked"))
+        df = df.join(table_, suffix, "left").withColumn(f"{suffix}_blocked", F.coalesce((blocked + 1.0) / (n + 2.0), F.lit(0.5))).drop("counts")
     return df
 
 
 def judge(urls: DataFrame, labelled: DataFrame, max_train: int = 20_000, trees: int = 10, depth: int = 4, seed: int = 7) -> DataFrame:
     """Adds ``verdict`` (allow or block) to ``url, host, path, rest``; ``labelled`` has these and ``label`` (1: block).
 
-    ``max_train`` bounds the labelled urls that trees and suffix statistics are fitted on.
+    ``max_train`` bounds the different urls that trees are fitted on; suffixes are counted over all.
     """
-    order = [F.xxhash64("url"), F.col("url"), F.col("label")]
-    sample = written(lexical(labelled.orderBy(*order).limit(max_train)), "url-sample")
+    different = written(lexical(labelled.select("url", "host", "path", "rest", "label").distinct()).select("url", "host", "path", "rest", "label", *SUFFIXES), "url-labelled")
+    counts = {suffix: suffix_counts(different, suffix) for suffix in SUFFIXES}
+    h, most = F.pmod(F.xxhash64("url"), F.lit(1 << 40)), max(1, different.count())
+    # only hashes so small that about four times the sample passes are sorted: the sort's input does not grow with the table
+    near = different.where(h * F.lit(float(most)) < 4.0 * max_train * (1 << 40)).orderBy(h, "url", "label").limit(max_train)
+    sample = written(with_suffix_statistics(lexical(near.drop(*SUFFIXES)), counts, own_fold=False), "url-sample")
     kinds = [r.label for r in sample.select("label").distinct().collect()]
     if len(kinds) < 2:
         return urls.withColumn("verdict", F.lit("block" if 1.0 in kinds else "allow"))
-    statistics = [(s, out, written(_blocked_share(sample, s, out), "url-suffixes")) for s, out in (("last_label", "last_label_blocked"), ("last_two", "last_two_blocked"))]
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
     classifier = GBTClassifier(labelCol="label", maxIter=trees, maxDepth=depth, seed=seed, stepSize=0.3)
-    model = classifier.fit(assembler.transform(with_suffix_statistics(sample, statistics)).select("features", "label").coalesce(4))
-    scored = model.transform(assembler.transform(with_suffix_statistics(lexical(urls), statistics)))
+    model = classifier.fit(assembler.transform(sample).select("features", "label").coalesce(4))
+    scored = model.transform(assembler.transform(with_suffix_statistics(lexical(urls), counts, own_fold=True)))
     return scored.withColumn("verdict", F.when(F.col("prediction") == 1.0, "block").otherwise("allow")).select(*urls.columns, "verdict")
 
 
 def filtered(df: DataFrame, key: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``key, host, path, rule, verdict`` for every row with a url."""
+    """``key, host, path, rule, verdict`` for every row."""
     host, path, rest = split_url(F.col("url"))
-    urls = with_rule(df.select(F.col(key), "url").withColumns({"host": host, "path": path, "rest": rest}), rules)
+    parts = df.select(F.col(key).alias("_key"), "url").withColumns({"host": host, "path": path, "rest": rest})
+    urls = with_rule(parts, rules)
     labelled = urls.where(F.col("rule").isNotNull()).select("url", "host", "path", "rest", (F.col("rule_verdict") == "block").cast("double").alias("label"))
     judged = judge(urls, labelled)
-    return judged.select(key, "host", "path", "rule", F.coalesce("rule_verdict", "verdict").alias("verdict"))
+    return judged.select(F.col("_key").alias(key), "host", "path", "rule", F.coalesce("rule_verdict", "verdict").alias("verdict"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -161,8 +161,8 @@ def test_url_rules_and_splitting(spark):
         (10, "", "", "", None, None),
         (11, "http://h/" + "a%20" * 50_000, "h", "/" + "a%20" * 50_000, None, None),
     ]
-    df = spark.createDataFrame([u[:2] for u in urls], "page_id long, url string").withColumn("host", F.lit("clash"))
-    got = {r.page_id: r for r in urlfilter.filtered(df.drop("host"), "page_id").collect()}
+    df = spark.createDataFrame([u[:2] for u in urls], "page_id long, url string").withColumns({"host": F.lit("clash"), "verdict": F.lit(1), "label": F.lit("clash")})
+    got = {r.page_id: r for r in urlfilter.filtered(df, "page_id").collect()}
     for ident, _, host, path, rule, verdict in urls:
         r = got[ident]
         assert (r.host, r.path, r.rule) == (host, path, rule)
@@ -182,6 +182,38 @@ def test_url_trees_learn_from_labelled_urls(spark):
     assert right >= 0.95 * judged.count()
 
 
+def test_url_parts_and_rules_equal_plain_python(spark):
+    def plain(url):
+        if url is None or "://" not in url:
+            return "", "", None
+        tail = url.split("://", 1)[1]
+        host = re.split(r"[/?#]", tail, maxsplit=1)[0]
+        path = re.split(r"[?#]", tail[len(host) :], maxsplit=1)[0]
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+        fits = [r for r in urlfilter.RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        return host, path, max((r.name for r in fits), key=len, default=None)
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    urls = {r.page_id: r.url for r in pages.collect()}
+    got = urlfilter.filtered(pages, "page_id").collect()
+    assert len(got) == len(urls) and all((r.host, r.path, r.rule) == plain(urls[r.page_id]) for r in got)
+    verdicts = {r.name: r.verdict for r in urlfilter.RULES}
+    assert all(r.verdict == verdicts[r.rule] if r.rule else r.verdict in ("allow", "block") for r in got)
+
+
+def test_suffixes_that_tell_nothing_do_not_mislead_the_trees(spark):
+    rng = random.Random(3)
+
+    def some(n):  # each host is met once, so its own label would give every url away if it counted for itself
+        kinds = [rng.random() < 0.5 for _ in range(n)]
+        return [(f"http://h{rng.randrange(10**9)}.org/" + ("a/b/c/d/e/" if bad else "") + rng.choice(WORDS), float(bad)) for bad in kinds]
+
+    host, path, rest = urlfilter.split_url(F.col("url"))
+    train, held = (spark.createDataFrame(some(300), "url string, label double").withColumns({"host": host, "path": path, "rest": rest}) for _ in range(2))
+    judged = urlfilter.judge(held, train.unionByName(train.limit(1).withColumn("copies", F.explode(F.sequence(F.lit(1), F.lit(2000)))).drop("copies")), max_train=250, trees=5)
+    assert judged.where((F.col("verdict") == "block") == (F.col("label") == 1.0)).count() >= 0.95 * judged.count()
+
+
 def test_url_filter_without_labels(spark):
     df = spark.createDataFrame([(1, "http://a.de/x")], "page_id long, url string")
     assert [r.verdict for r in urlfilter.filtered(df, "page_id").collect()] == ["allow"]
