@@ -2,9 +2,9 @@
 
 Vectors count byte n-grams (1 to 4) of the lower-cased text without digits and ASCII punctuation, hashed to ``DIMENSIONS``
 counters, damped by a logarithm, weighted by inverse document frequency and normalised. Fitting uses a bounded sample: at most
-``sample_per_language`` different labelled texts with a letter of each language (those with the smallest hashes); their vectors
-are clustered on the driver (bounded by sample x dimensions) by spherical k-means. Predicting reads each whole text
-once, in Arrow batches.
+``sample_per_language`` different labelled texts with a letter of each language (those with the smallest hashes); a language's vectors
+are clustered in one task (bounded by sample x dimensions) by spherical k-means, and only document frequencies and centroids, some of fixed length for
+each language, reach the driver. Predicting reads each whole text once, in Arrow batches.
 
 Distance-based rejection: a cosine grows with the square root of the number of distinct n-grams while these are few, so the
 nearness of a text is its best cosine over that root (relative to ``ENOUGH`` n-grams). A text whose nearness lies below the floor of
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,6 +40,9 @@ MARGIN = 0.45
 _LETTERS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 _MULTIPLIERS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
 _SHIFT = 32 - DIMENSIONS.bit_length() + 1
+_PIECE = 1 << 20
+#: Texts whose counters are held at once.
+_ROWS = 64
 
 
 class Model(NamedTuple):
@@ -57,12 +61,14 @@ def counts(text: str) -> np.ndarray:
     words = text.lower().encode("utf-8", "replace").translate(_LETTERS).split()
     data = np.frombuffer(b" " + b" ".join(words) + b" ", dtype=np.uint8).astype(np.uint32)
     total = np.zeros(DIMENSIONS, dtype=np.int64)
-    code = np.zeros(len(data), dtype=np.uint32)
-    for n, multiplier in enumerate(_MULTIPLIERS, 1):
-        if len(data) < n:
-            break
-        code = (code[: len(data) - n + 1] << np.uint32(8)) | data[n - 1 :]
-        total += np.bincount((code * np.uint32(multiplier) + np.uint32(n)) * np.uint32(0x9E3779B1) >> np.uint32(_SHIFT), minlength=DIMENSIONS)
+    for first in range(0, len(data), _PIECE):  # a long text is counted piece by piece, each with the start of the next
+        piece, own = data[first : first + _PIECE + len(_MULTIPLIERS) - 1], min(_PIECE, len(data) - first)
+        code = np.zeros(len(piece), dtype=np.uint32)
+        for n, multiplier in enumerate(_MULTIPLIERS, 1):
+            if len(piece) < n:
+                break
+            code = (code[: len(piece) - n + 1] << np.uint32(8)) | piece[n - 1 :]
+            total += np.bincount((code[:own] * np.uint32(multiplier) + np.uint32(n)) * np.uint32(0x9E3779B1) >> np.uint32(_SHIFT), minlength=DIMENSIONS)
     return total
 
 
@@ -112,18 +118,34 @@ def fit(labelled: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE, cen
             rows = [(lang, counts(text).astype("<u4").tobytes()) for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if has_letter(text)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=["lang", "tf"])
 
-    rows = sorted((r.lang, bytes(r.tf)) for r in texts.mapInArrow(run, "lang string, tf binary").collect())
-    if not rows:
+    counted = written(texts.mapInArrow(run, "lang string, tf binary"), "langid-counts")
+    n, frequency = 0, np.zeros(DIMENSIONS, dtype=np.int64)
+    for row in counted.mapInArrow(_document_frequencies, "n long, df binary").toLocalIterator():  # one row a task
+        n += row.n
+        frequency += np.frombuffer(row.df, "<i8")
+    if not n:
         return Model([], np.zeros((0, DIMENSIONS), np.float32), np.ones(DIMENSIONS, np.float32), np.zeros(0))
-    langs = np.array([lang for lang, _ in rows])
-    tf = np.stack([np.frombuffer(x, "<u4") for _, x in rows])
-    idf = (np.log((1 + len(tf)) / (1 + (tf > 0).sum(axis=0))) + 0.1).astype(np.float32)
-    v = vectors(tf, idf)
-    found = {lang: _clustered(v[langs == lang], centroids) for lang in sorted(set(langs))}
-    names = [str(lang) for lang, c in found.items() for _ in range(len(c))]
-    model = Model(names, np.concatenate(list(found.values())).astype(np.float32), idf, np.zeros(len(names)))
+    idf = (np.log((1 + n) / (1 + frequency)) + 0.1).astype(np.float32)
+
+    def cluster(group: pd.DataFrame) -> pd.DataFrame:
+        tf = np.stack([np.frombuffer(x, "<u4") for x in sorted(map(bytes, group["tf"]))])
+        return pd.DataFrame({"lang": group["lang"].iloc[0], "centroid": [c.astype("<f4").tobytes() for c in _clustered(vectors(tf, idf), centroids)]})
+
+    found = counted.groupBy("lang").applyInPandas(cluster, "lang string, centroid binary")  # a group: sample_per_language rows at most
+    rows = sorted((str(r.lang), i, bytes(r.centroid)) for i, r in enumerate(found.collect()))
+    names = [lang for lang, _, _ in rows]
+    model = Model(names, np.stack([np.frombuffer(c, "<f4") for _, _, c in rows]), idf, np.zeros(len(names)))
     low = _low_nearness(labelled, model)
-    return model._replace(floors=np.array([MARGIN * low[lang] for lang in names]))
+    return model._replace(floors=np.array([MARGIN * low.get(lang, 0.0) for lang in names]))
+
+
+def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n, frequency = 0, np.zeros(DIMENSIONS, dtype="<i8")
+    for batch in batches:
+        n += batch.num_rows
+        for tf in batch.column(1):
+            frequency += np.frombuffer(tf.as_buffer(), "<u4") > 0
+    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([frequency.tobytes()], pa.binary())], names=["n", "df"])
 
 
 def _low_nearness(labelled: DataFrame, m: Model) -> dict[str, float]:
@@ -134,9 +156,9 @@ def _low_nearness(labelled: DataFrame, m: Model) -> dict[str, float]:
         m = sent.value
         own = {lang: [i for i, x in enumerate(m.languages) if x == lang] for lang in m.languages}
         for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                part = batch.slice(first, 256)
-                rows = [(lang, text) for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if has_letter(text)]
+            for first in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(first, _ROWS)
+                rows = [(lang, text) for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if lang in own and has_letter(text)]
                 if rows:
                     tf = np.stack([counts(text) for _, text in rows])
                     cosines = vectors(tf, m.idf) @ m.centroids.T
@@ -170,8 +192,8 @@ def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                part = batch.slice(first, 256)
+            for first in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(first, _ROWS)
                 names, scores, kept = judged(part.column(1).to_pylist(), sent.value)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(names, pa.string()), pa.array(scores), pa.array(~kept)], names=["id", "lang_pred", "score", "rejected"]
@@ -201,8 +223,8 @@ def keep_recognised(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                part = batch.slice(first, 256)
+            for first in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(first, _ROWS)
                 yield part.filter(pa.array(judged(part.column(at).to_pylist(), sent.value)[2]))
 
     return docs.mapInArrow(run, docs.schema)
