@@ -2,10 +2,17 @@
 
 Markup is stripped to lines, one for each block element. A line's weight is the length of its text without white space and
 without link text. Weights are summed over a sliding window of lines; the text surges where the sum rises over a threshold and
-dives where it falls to nothing, and what lies between is the main text. Two things set weights to zero before: containers that
-cannot be main text (navigation, footers, asides, forms, page headers, and elements whose class, id or role names an advert,
-notice, menu, sidebar or reader comments; inside an article only containers with a class or role that is such a name as a whole), and, on pages that mark their article or main part, all lines outside of it. On
-such pages every line of the article counts with all its text, links included, so that short paragraphs stay.
+dives where it falls to nothing, and what lies between is the main text. That search decides on every page; markup only changes weights:
+
+* a line in a container that cannot be main text (navigation, footers, asides, forms, page headers, and elements whose class, id or role names
+  an advert, notice, menu, sidebar or reader comments) has no weight and no place; inside an article only containers with a class or role that is such a
+  name as a whole;
+* a line in an article or main element counts with all its text, links included, and with ``SURGE`` more, so that the text surges at its first line and
+  cannot dive before its last, however short its paragraphs are;
+* where such lines have at least half of the page's text, all others keep a ``FAINT`` part of their weight, and the text dives as soon as the sum
+  is under the threshold again: beside an article only a block that is long for itself is text.
+
+Between surge and dive a line without weight is left out if others like it stand beside it (a list of links); one alone between lines of text stays.
 
 Each page is one row's work: a task's memory is bounded by its longest page.
 
@@ -23,11 +30,14 @@ from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ._shared import table
 
 WINDOW = 3
 SURGE = 86
+#: What is left of the weight of lines beside an article.
+FAINT = 0.05
 
 # Element names of the HTML standard.
 BLOCKS = frozenset(
@@ -38,6 +48,8 @@ SPACES = frozenset(["br", "td", "th", "wbr"])
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is no text, whatever it looks like.
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+#: Of these, what ends with the line's block if it is never closed; an unclosed script or style reaches to the page's end.
+SHORT = frozenset("textarea title iframe noembed noframes xmp".split())
 #: Containers that hold no main text.
 ASIDE = frozenset("nav footer aside form menu dialog button select noscript template svg math object audio video canvas datalist search".split())
 MAIN = frozenset(["article", "main"])
@@ -73,6 +85,9 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: Parts of the names of wrappers, which tell what else is on the page.
 _SPARED = frozenset(["has", "with", "without", "no", "layout"])
 
+#: A header named after one of these is the text's own.
+_CONTENT = frozenset("content article entry post story".split())
+
 
 class Line(NamedTuple):
     text: str
@@ -91,6 +106,8 @@ def _is_marked(attributes: str, names: frozenset[str] = NAMES, ids: bool = True)
             continue
         for word in _CAMEL.sub("-", "".join(found)).lower().split():
             parts = _NAME.findall(word)
+            if parts and parts[-1] == "header" and not _CONTENT.isdisjoint(parts):
+                continue
             if parts and _SPARED.isdisjoint(parts) and not names.isdisjoint([parts[0], parts[-1], "".join(parts)]):
                 return True
     return False
@@ -158,9 +175,10 @@ def lines(page: str) -> list[Line]:
         attributes = page[tag.end() : stop - 1]
         if name in RAW and not closing:
             close = re.compile(rf"</{name}\b", re.IGNORECASE).search(page, at)
-            if close is None:
+            if close is None and name not in SHORT:
                 break
-            at = page.find(">", close.end()) + 1 or end
+            if close is not None:
+                at = page.find(">", close.end()) + 1 or end
             continue
         if skipping:
             if name in MAIN and not closing and not seen_main or name == "body" and closing:
@@ -194,15 +212,24 @@ def lines(page: str) -> list[Line]:
     return out
 
 
-def spans(weights: list[int], window: int = WINDOW, surge: float = SURGE) -> list[tuple[int, int]]:
+def weighed(found: list[Line], surge: float = SURGE) -> tuple[list[float], bool]:
+    """The lines' weights, and whether the page's text lies in marked elements."""
+    own = [max(0, len("".join(x.text.split())) - x.linked) for x in found]
+    inside = sum(w for x, w in zip(found, own, strict=True) if x.main)
+    marked = any(x.main for x in found) and 2 * inside >= sum(own)
+    return [surge + len(x.text) if x.main else w * (FAINT if marked else 1) for x, w in zip(found, own, strict=True)], marked
+
+
+def spans(weights: list[float], window: int = WINDOW, surge: float = SURGE, marked: bool = False) -> list[tuple[int, int]]:
     """Half-open spans of lines between surge and dive points of the windowed sums."""
     sums = [sum(weights[i : i + window]) for i in range(len(weights))]
     threshold = min(surge, max(sums, default=0) / 2)
+    low = threshold if marked else 0
     found, at = [], 0
     while at < len(sums):
-        if weights[at] and sums[at] > threshold:
+        if weights[at] > low and sums[at] > threshold:
             start = at
-            while at < len(sums) and sums[at]:
+            while at < len(sums) and sums[at] > low:
                 at += 1
             found.append((start, at))
         else:
@@ -210,26 +237,31 @@ def spans(weights: list[int], window: int = WINDOW, surge: float = SURGE) -> lis
     return found
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, window: int = WINDOW, surge: float = SURGE) -> str:
     found = lines(page or "")
-    if any(x.main for x in found):
-        weights, surge = [len(x.text) if x.main else 0 for x in found], 0
-    else:
-        weights, surge = [max(0, len("".join(x.text.split())) - x.linked) for x in found], SURGE
-    return "\n\n".join(x.text for a, b in spans(weights, surge=surge) for x, w in zip(found[a:b], weights[a:b], strict=True) if w)
+    weights, marked = weighed(found, surge)
+    kept = []
+    for first, stop in spans(weights, window, surge, marked):
+        for i in range(first, stop):
+            around = [weights[j] > 0 for j in (i - 1, i + 1) if first <= j < stop]
+            if found[i].main or weights[i] > (surge if marked else 0) or not marked and not weights[i] and around == [True, True]:
+                kept.append(found[i].text)
+    return "\n\n".join(kept)
 
 
 def extract(df: DataFrame, keep: list[str], html: str = "html") -> DataFrame:
     """The columns ``keep`` with ``text`` and ``n_chars`` of the page in column ``html``."""
-    schema = df.select(*keep).schema.add("text", "string").add("n_chars", "long")
+    columns = [F.col(c).alias(f"_{i}") for i, c in enumerate(keep)]
+    schema = df.select(*columns).schema.add("text", "string").add("n_chars", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [main_text(x.as_py()) for x in batch.column(len(keep))]
             columns = [*batch.columns[: len(keep)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "text", "n_chars"])
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return df.select(*keep, html).mapInArrow(run, schema)
+    out = df.select(*columns, F.col(html)).mapInArrow(run, schema)
+    return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)], "text", "n_chars")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

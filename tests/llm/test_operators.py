@@ -352,8 +352,45 @@ def test_line_blocks_without_an_article():
     assert len(got) == 5 and got[-1] == "Short."
 
 
+def test_surge_and_dive_decide_on_marked_pages_too():
+    long = "word " * 500
+    page = f"<div>before</div><article><h1>T</h1><p>one</p><p><a>all link</a></p><p>{'body ' * 600}</p><p>x</p></article><div>after</div><div>{long}</div><div>end</div>"
+    inside = f"T\n\none\n\nall link\n\n{('body ' * 600).strip()}\n\nx"
+    assert htmltext.main_text(page) == f"{inside}\n\n{long.strip()}"  # beside the article a block as long as it surges for itself
+    assert htmltext.main_text(page, surge=200) == inside
+    # a poor mark: the article is one line, the text is beside it
+    body = "".join(f"<p>{' '.join(WORDS)} sentence {i}.</p>" for i in range(4))
+    assert len(htmltext.main_text(f"<article>teaser</article><div>{body}</div>").split("\n\n")) == 5
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    ("<article><p>First words.</p><p class='bottom'>last words of article</p></article>", "First words.\n\nlast words of article"),
+    ("<div><p>LONG</p><p><a href='x'>a paragraph that is one link</a></p><p>LONG</p></div>", "LONG\n\na paragraph that is one link\n\nLONG"),
+    ("<div><p>LONG</p><ul><li><a>one</a><li><a>two</a></ul><p>LONG</p></div>", "LONG\n\nLONG"),
+    ("<div class='content-header'><h1>Title</h1></div><p>LONG</p><div class='page-header'>no</div>", "Title\n\nLONG"),
+    ("<title>t<p>LONG</p>", "t\n\nLONG"),
+    ("<p>LONG</p><textarea>x<p>LONG</p>", "LONG\n\nx\n\nLONG"),
+])
+def test_no_text_of_the_page_is_lost(page, text):
+    long = " ".join(WORDS) + "."
+    assert htmltext.main_text(page.replace("LONG", long)) == text.replace("LONG", long)
+
+
+def test_main_text_of_the_pages_equals_their_articles(spark):
+    import html
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html")
+    got = {r.page_id: r for r in htmltext.extract(pages, ["page_id", "url"]).collect()}
+    for r in pages.collect():
+        inside = re.search(r"<article>(.*?)</article>", r.html or "", re.DOTALL)
+        blocks = re.split(r"</?(?:p|h1)>", inside[1]) if inside else []
+        plain = [" ".join(html.unescape(re.sub(r"<br>", " ", re.sub(r"</?b>", "", x))).split()) for x in blocks]
+        assert got[r.page_id].text == "\n\n".join(x for x in plain if x)
+        assert got[r.page_id].n_chars == len(got[r.page_id].text) and got[r.page_id].url == r.url
+
+
 def test_extraction_keeps_every_row(spark):
-    df = spark.createDataFrame([(1, None), (1, None), (2, "<p>" + "x " * 200_000)], "page_id long, html string").withColumn("text", F.lit("clash")).drop("text")
+    df = spark.createDataFrame([(1, None), (1, None), (2, "<p>" + "x " * 200_000)], "page_id long, html string").withColumns({"text": F.lit("clash"), "n_chars": F.lit("more")})
     got = sorted(rows(htmltext.extract(df, ["page_id"])))
     assert [(r[0], r[2]) for r in got] == [(1, 0), (1, 0), (2, 399_999)]
     assert rows(htmltext.extract(df.limit(0), ["page_id"])) == []
