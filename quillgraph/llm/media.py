@@ -2,8 +2,9 @@
 
 ``mux`` writes a payload as an 8-bit PCM track: EBML header, Segment with Info, Tracks, Clusters of laced
 SimpleBlocks, and Cues. ``packets`` parses any Matroska bytes with unencrypted, uncompressed tracks: variable-length
-ids and sizes (also unknown sizes), clusters, SimpleBlocks and BlockGroups, all four lacings, cues. Each document is
-parsed on its own in a task, so memory is bounded by the longest document of an Arrow batch.
+ids and sizes (also unknown sizes), clusters, SimpleBlocks and BlockGroups, all four lacings, cues. ``stored`` makes a media column of texts,
+``packet_table`` lists the packets of such a column with their byte ranges and sample statistics, ``read_back`` gives digests and a feature of what
+the packets hold. Each file is parsed on its own in a task, so memory is bounded by the longest files of a batch.
 
 Defined results: a null text is an empty payload, padded like any other; equal texts give equal bytes, as nothing in
 a file depends on time, chance or row; repeated rows give repeated results; an empty table gives an empty table;
@@ -18,8 +19,11 @@ import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ._shared import table
 
@@ -38,6 +42,7 @@ _INSIDE = {CLUSTER: {TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, 0xA7, 0xAB, 0xEC, 0xB
 
 FRAME = 576  # samples; 72 ms at 8 kHz
 FRAMES_A_BLOCK = 8
+ROWS = 64  # files that a task holds at once, besides Arrow's batch
 BLOCKS_A_CLUSTER = 32
 _MS_A_FRAME = 72
 
@@ -255,50 +260,95 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
     return raw + b"\xff" * (-len(raw) % FRAME or (FRAME if not raw else 0)), len(raw)
 
 
+def stored(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, n_bytes, media``: each text, padded, as a Matroska file in a binary column; ``n_bytes`` counts the text alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, ROWS):
+                part = batch.slice(first, ROWS)
+                payloads = [payload_of(t.as_py()) for t in part.column(1)]
+                columns = [part.column(0), pa.array([n for _, n in payloads], pa.int64()), pa.array([mux(p) for p, _ in payloads], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "n_bytes", "media"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(F.col(key).alias("key"), F.col(text)).mapInArrow(run, f"key {kind}, n_bytes long, media binary").withColumnRenamed("key", key)
+
+
+def samples(data: bytes, parsed: Parsed) -> np.ndarray:
+    """All frames of a file as unsigned 8-bit samples, one after the other."""
+    whole = np.frombuffer(data, np.uint8)
+    return np.concatenate([whole[p.offset : p.offset + p.size] for p in parsed.packets]) if parsed.packets else whole[:0]
+
+
 def packet_table(df: DataFrame, key: str, media: str) -> DataFrame:
-    """One row per packet of the files in the binary column ``media``: key, number and :class:`Packet`'s fields."""
+    """One row per packet of the files in the binary column ``media``: key, number, :class:`Packet`'s fields, and the mean and the mean step of its samples."""
     kind = df.schema[key].dataType.simpleString()
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ident, data in zip(batch.column(0), batch.column(1), strict=True):
-                rows = packets(data.as_py()).packets if data.is_valid else []
+                raw = data.as_py() if data.is_valid else b""
+                rows = packets(raw).packets
                 if rows:
-                    columns = list(zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([ident.as_py()] * len(rows), batch.column(0).type), pa.array(range(len(rows)), pa.int64())]
-                        + [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()), strict=True)],
-                        names=["key", "packet", "track", "timestamp", "offset", "size", "keyframe", "cluster"],
-                    )
-
-    schema = f"key {kind}, packet long, track long, timestamp long, offset long, size long, keyframe boolean, cluster long"
-    return df.select(key, media).mapInArrow(run, schema).withColumnRenamed("key", key)
-
-
-_OUT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-
-
-def _store_and_read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for ident, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            payload, n = payload_of(text.as_py())
-            media = mux(payload)
-            parsed = packets(media)
-            view = memoryview(media)
-            back = b"".join(view[p.offset : p.offset + p.size] for p in parsed.packets)
-            at_cluster = len({position for _, _, position in parsed.cues}.intersection(parsed.clusters))
-            end = parsed.packets[-1].timestamp
-            feature = f"packets={len(parsed.packets)};clusters={len(parsed.clusters)};cues={at_cluster};laced={sum(parsed.lacings[1:])};last_ms={end}"
-            rows.append((
-                ident, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]),
-                len(media), hashlib.sha256(media).hexdigest(), feature,
-            ))
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in _OUT.split(", ")])
+                    whole = np.frombuffer(raw, np.uint8)
+                    frames = [whole[p.offset : p.offset + p.size].astype(np.int64) for p in rows]
+                    mean = [float(f.mean()) if len(f) else 0.0 for f in frames]
+                    step = [float(np.abs(np.diff(f)).mean()) if len(f) > 1 else 0.0 for f in frames]
+                    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+                    first = [pa.array([ident.as_py()] * len(rows), batch.column(0).type), pa.array(range(len(rows)), pa.int64())]
+                    yield pa.RecordBatch.from_arrays([*first, *columns, pa.array(mean), pa.array(step)], names=names)
+
+    names = ["key", "packet", "track", "timestamp", "offset", "size", "keyframe", "cluster", "mean", "step"]
+    schema = f"key {kind}, packet long, track long, timestamp long, offset long, size long, keyframe boolean, cluster long, mean double, step double"
+    return df.select(F.col(key).alias("key"), F.col(media)).mapInArrow(run, schema).withColumnRenamed("key", key)
+
+
+def feature(data: bytes, parsed: Parsed) -> str:
+    """What the packets tell of a file: their number, the cues that lead to a cluster, and mean, deviation, mean step and median of the samples."""
+    s = samples(data, parsed).astype(np.int64)
+    at_cluster = len({position for _, _, position in parsed.cues}.intersection(parsed.clusters))
+    end = parsed.packets[-1].timestamp if parsed.packets else 0
+    steps = np.abs(np.diff(s))
+    about = f"mean={s.mean():.3f};deviation={s.std():.3f};step={steps.mean() if len(steps) else 0:.3f};median={np.median(s):.1f}" if len(s) else "empty"
+    return f"packets={len(parsed.packets)};cues={at_cluster};last_ms={end};{about}"
+
+
+_READ = [
+    StructField("payload_bytes", LongType()), StructField("payload_sha256", StringType()), StructField("tail_crc32", LongType()),
+    StructField("media_bytes", LongType()), StructField("media_sha256", StringType()), StructField("feature", StringType()),
+]
+
+
+def read_back(df: DataFrame, keep: list[str], media: str = "media") -> DataFrame:
+    """The columns ``keep``, and size, digests and feature of the packets' bytes and of the files in the binary column ``media``; null files give nulls."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, ROWS):
+                part = batch.slice(first, ROWS)
+                rows: list[tuple] = []
+                for data in part.column(len(keep)):
+                    if not data.is_valid:
+                        rows.append((None,) * 6)
+                        continue
+                    raw = data.as_py()
+                    parsed = packets(raw)
+                    back = samples(raw, parsed).tobytes()
+                    rows.append((
+                        len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), feature(raw, parsed),
+                    ))
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *columns], names=schema.names)
+
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    kept = [F.col(c).alias(f"_{i}") for i, c in enumerate(keep)]
+    schema = StructType([*df.select(*kept).schema, *_READ])
+    out = df.select(*kept, F.col(media)).mapInArrow(run, schema)
+    return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)], *schema.names[len(keep) :])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return docs.select(docs.doc_id.cast("long").alias("doc_id"), "text").mapInArrow(_store_and_read, _OUT)
+    return read_back(stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), ["doc_id", "n_bytes"])

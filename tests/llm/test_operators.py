@@ -433,6 +433,36 @@ def test_media_query_rows(spark, tmp_path):
     assert got[1].payload_sha256 == hashlib.sha256(payload).hexdigest() and got[1].tail_crc32 == zlib.crc32(payload[-32:])
     table = media.packet_table(spark.createDataFrame([(5, media.mux(payload * 20)), (6, None)], "doc_id long, m binary"), "doc_id", "m")
     assert table.count() == 20 and {r.doc_id for r in table.collect()} == {5}
+    assert {(r.size, round(r.mean, 6)) for r in table.collect()} == {(576, round(sum(payload) / 576, 6))}
+    # features tell texts of one length apart, and nothing of the table's other columns gets lost or in the way
+    docs = spark.createDataFrame([(1, "abcd" * 200, "x"), (2, "zzzz" * 200, "y"), (2, "zzzz" * 200, "y")], "doc_id long, text string, media string")
+    back = media.read_back(media.stored(docs), ["doc_id", "n_bytes"]).collect()
+    assert len(back) == 3 and len({(r.doc_id, r.feature, r.payload_sha256) for r in back}) == 2 and {r.n_bytes for r in back} == {800}
+    assert rows(media.read_back(media.stored(docs.limit(0)), ["doc_id"])) == []
+
+
+def test_matroska_query_equals_a_separate_reading_of_the_stored_bytes(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    kept = {r.doc_id: r for r in media.stored(docs).collect()}
+    got = {r.doc_id: r for r in media.query(spark, "/root/testdata/sf0.001").collect()}
+    for r in docs.collect():
+        raw = (r.text or "").encode()
+        payload = raw + b"\xff" * ((-len(raw)) % 576 or (0 if raw else 576))
+        file, found = bytes(kept[r.doc_id].media), b""
+        for cluster in re.split(rb"\x1f\x43\xb6\x75", file)[1:]:  # by hand: a block is id, size, track, time, flags and, if laced, a count
+            at = cluster.find(b"\xa3")
+            while at >= 0 and cluster[at] == 0xA3:
+                n = 9 - cluster[at + 1].bit_length()
+                size = int.from_bytes(cluster[at + 1 : at + 1 + n], "big") - (1 << 7 * n)
+                block = cluster[at + 1 + n : at + 1 + n + size]
+                found += block[5:] if block[3] & 6 else block[4:]
+                at += 1 + n + size
+                if at >= len(cluster):
+                    break
+        assert found == payload
+        g = got[r.doc_id]
+        assert (g.n_bytes, g.payload_bytes, g.payload_sha256, g.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert (g.media_bytes, g.media_sha256) == (len(file), hashlib.sha256(file).hexdigest())
 
 
 # --- op8 ----------------------------------------------------------------------------------------------------------
