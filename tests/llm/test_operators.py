@@ -138,6 +138,16 @@ def test_ids_equal_an_untouched_tokenizer():
             assert encode(text).tolist() == plain.encode(text, add_special_tokens=False).ids, text[:20]
 
 
+def test_ids_of_the_documents_equal_an_untouched_tokenizer(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = packing.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect():
+        assert encode(r.text or "").tolist() == plain.encode(r.text or "", add_special_tokens=False).ids
+
+
 def test_packing_of_an_empty_table(spark):
     import public_tokenizers
 
@@ -688,6 +698,34 @@ def test_rows_without_ids_and_copies_do_not_fill_the_sample(spark):
     assert names == [lang for _, lang in fresh] and kept.all()
 
 
+def test_repeated_ids_long_texts_and_ties(spark):
+    rng = random.Random(15)
+    data = [(7, spoken(rng, "en", rng.randrange(5, 40)), "en") for _ in range(300)] + [(i, spoken(rng, "de", rng.randrange(5, 40)), "de") for i in range(100)]
+    data += [(1000, "the ing wher " * 200_000, "en"), (1001, "the ing wher " * 200_000, "en")]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = langid.fit(df, sample_per_language=50)
+    assert sorted(set(model.languages)) == ["de", "en"] and len(model.languages) <= 2 * langid.CENTROIDS
+    got = langid.predict(df, model).collect()
+    assert len(got) == len(data) and len({(r.lang_pred, r.score) for r in got if r.doc_id >= 1000}) == 1
+    # centroids that are alike: the language that sorts first
+    same = langid.Model(["aa", "bb"], np.stack([model.centroids[0]] * 2), model.idf, np.zeros(2))
+    assert langid.judged(["the thing"], same)[0] == ["aa"]
+    # a long text is counted in pieces, as if it were whole
+    text, whole = "schein ung wher " * 100_000, langid._PIECE
+    pieces = langid.counts(text)
+    langid._PIECE = 1 << 30
+    try:
+        assert (langid.counts(text) == pieces).all()
+    finally:
+        langid._PIECE = whole
+
+
+def test_held_out_accuracy_on_the_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = langid.query(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null and lang_pred <> 'und'").collect()
+    assert len(got) > 100 and sum(r.lang == r.lang_pred for r in got) >= 0.97 * len(got)
+
+
 def test_language_without_labels(spark):
     df = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     model = langid.fitted_on(df)
