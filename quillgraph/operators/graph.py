@@ -18,10 +18,16 @@ MAX_DEPTH = 4
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` as a reliable checkpoint: later rounds and lost executors read it instead of repeating what led to it."""
+    """``df`` as a reliable checkpoint: later rounds and lost executors read it instead of repeating what led to it.
+
+    Checkpoints lie in ``spark.checkpoint.dir``. Only a session on one machine, whose master is ``local``, may do without: it gets a temporary folder.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillgraph-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="quillgraph-"))
     return df.checkpoint()
 
 
@@ -150,20 +156,30 @@ def expand_context(nodes: DataFrame, edges: DataFrame, seeds: list[str], depth:
     return best.withColumn("relevance", score).orderBy(F.desc("relevance"), "id").limit(limit).select("id", "name", "label", "type", "hops", "relevance")
 
 
+def steps(edges: DataFrame) -> DataFrame:
+    """``id, other``: each pair of neighbours in both directions once, settled: every round of a traversal reads it again."""
+    return settled(both_ways(edges).select("id", "other").distinct())
+
+
 def bfs(edges: DataFrame, start: list[str], depth: int | None = None) -> DataFrame:
-    """``id, hops`` of every node within ``depth`` undirected hops of the start (all that can be reached if it is None)."""
+    """``id, hops`` of every node within ``depth`` undirected hops of the start (all that can be reached if it is None).
+
+    A node next to one that is ``hops`` off is ``hops - 1`` off at least, so a round needs to leave out the last two frontiers alone.
+    """
     spark = edges.sparkSession
-    step = both_ways(edges).select("id", "other").distinct()
-    seen = frontier = spark.createDataFrame([(s,) for s in start], "id string").withColumn("hops", F.lit(0))
-    hops = 0
+    step = both_ways(edges).select("id", "other") if depth == 1 else steps(edges)
+    before = spark.createDataFrame([], "id string")
+    frontier = spark.createDataFrame([(s,) for s in dict.fromkeys(start)], "id string")
+    found, hops = [frontier.withColumn("hops", F.lit(0))], 0
     while depth is None or hops < depth:
         hops += 1
-        reached = frontier.select("id").join(step, "id").select(F.col("other").alias("id")).distinct()
-        frontier = settled(reached.join(seen.select("id"), "id", "left_anti").withColumn("hops", F.lit(hops)))
+        reached = step.join(frontier, "id", "left_semi").select(F.col("other").alias("id")).distinct()
+        last = before.unionByName(frontier)
+        before, frontier = frontier, settled(reached.join(last, "id", "left_anti"))
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
-    return seen
+        found.append(frontier.withColumn("hops", F.lit(hops)))
+    return union_all(found)
 
 
 def levels(nodes: DataFrame, edges: DataFrame, centre: str) -> DataFrame:
@@ -178,21 +194,22 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, source: str, target: str,
 
     Forward rounds keep, for each newly reached node, the path that sorts first, so a node is expanded once.
     """
-    step = both_ways(edges).select("id", "other").distinct()
+    step = steps(edges)
     spark = edges.sparkSession
     frontier = spark.createDataFrame([(source, [source])], "id string, path array<string>")
-    seen = frontier.select("id")
+    seen = before = frontier.select("id")
     found = frontier.where(F.col("id") == target)
     for _ in range(min(max_hops, MAX_DEPTH)):
         if source == target:
             break
+        # what was reached before the last two rounds is no neighbour of this frontier
         nearer = frontier.join(step, "id").join(seen.withColumnRenamed("id", "other"), "other", "left_anti")
         paths = nearer.groupBy("other").agg(F.min(F.concat("path", F.array("other"))).alias("path"))
         frontier = settled(paths.select(F.col("other").alias("id"), "path"))
         found = frontier.where(F.col("id") == target)
         if not found.isEmpty() or frontier.isEmpty():
             break
-        seen = settled(seen.unionByName(frontier.select("id")))
+        seen, before = before.unionByName(frontier.select("id")), frontier.select("id")
     hops = found.select("path", F.posexplode(F.slice("path", 1, F.size("path") - 1)).alias("step", "a"))
     ends = hops.select("a", F.element_at("path", F.col("step") + 2).alias("b"), "step", (F.size("path") - 1).alias("hops"))
     # of parallel edges the one with the highest weight, and then confidence, stands for the step
@@ -305,11 +322,15 @@ def valid_relations(relations: DataFrame, nodes: DataFrame) -> DataFrame:
     return kept.withColumns({"confidence": F.least(F.lit(1.0), F.greatest(F.lit(0.0), "confidence")), "evidence": F.substring("evidence", 1, 300)})
 
 
-def strongest_relations(relations: DataFrame, per_source: int = 10, min_confidence: float = 0.3, per_document: int = 50) -> DataFrame:
-    """Each source's relations of highest confidence, then those certain enough, then the first of them."""
-    w = Window.partitionBy(F.lower("source")).orderBy(F.desc("confidence"), "target", "type")
-    top = relations.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_source).drop("_r")
-    return top.where(F.col("confidence") >= min_confidence).orderBy(F.desc("confidence"), "source", "target", "type").limit(per_document)
+def strongest_relations(relations: DataFrame, per_source: int = 10, min_confidence: float = 0.3, per_document: int = 50, document: str | None = None) -> DataFrame:
+    """In each document each source's relations of highest confidence, then those certain enough, then the first of them. Without ``document``: one document."""
+    doc = [document] if document else []
+    by_source = Window.partitionBy(*doc, F.lower("source")).orderBy(F.desc("confidence"), "target", "type")
+    top = relations.withColumn("_r", F.row_number().over(by_source)).where((F.col("_r") <= per_source) & (F.col("confidence") >= min_confidence)).drop("_r")
+    order = [F.desc("confidence"), "source", "target", "type"]
+    if not document:
+        return top.orderBy(*order).limit(per_document)
+    return top.withColumn("_r", F.row_number().over(Window.partitionBy(document).orderBy(*order))).where(F.col("_r") <= per_document).drop("_r")
 
 
 def best_per_key(rows: DataFrame, keys: list[str], order: str = "ord") -> DataFrame:
@@ -320,7 +341,7 @@ def best_per_key(rows: DataFrame, keys: list[str], order: str = "ord") -> DataFr
 
 def connected_components(pairs: DataFrame) -> DataFrame:
     """``id, component``: the smallest id reachable over pairs ``a, b``. Labels travel along edges and to their labels' labels."""
-    step = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    step = settled(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = settled(step.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("component")).withColumnRenamed("a", "id"))
     while True:
         near = step.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("component").alias("near")).withColumnRenamed("a", "id")

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as v
 from .graph import connected_components
 
+#: Rows of a group of vectors that are compared at once.
+BLOCK_ROWS = 1024
+
 
 def nearest(df: DataFrame, query: list[float], k: int, label: object = None, embedding: str = "embedding", key: str = "id") -> DataFrame:
     """``key, score`` of the k rows closest to the query by cosine; other lengths are refused. The query travels as a literal."""
@@ -28,21 +33,35 @@ def hybrid(df: DataFrame, query: list[float], terms: list[str], k: int, vector_w
     return scored.where(F.col("score") >= min_score).orderBy(F.desc("score"), key).limit(k)
 
 
-def similar_pairs(df: DataFrame, threshold: float, block: list[str] | None = None, embedding: str = "embedding", key: str = "id", groups: int = 16) -> DataFrame:
+def similar_pairs(df: DataFrame, threshold: float, block: list[str] | None = None, embedding: str = "embedding", key: str = "id", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``a, b, score`` of pairs a < b with a cosine of at least the threshold, within each block (all rows form one if none is given).
 
-    Unit vectors are dealt to ``groups`` random groups; every pair of groups is one key of an equi-join, so pairs are compared in
-    ``groups * (groups + 1) / 2`` parts for each block and each vector is sent ``groups`` times: no nested-loop join, and no task holds a block.
+    Unit vectors are dealt to groups of about ``block_rows``; every pair of groups is one task's work, a matrix product of two groups. So no task holds
+    more than two groups, whatever a block's size. The number of comparisons grows with the square of a block's rows: give blocks where there are any.
     """
-    rows = df.where(F.size(embedding) > 0).select(F.col(key).alias("id"), v.unit(F.col(embedding)).alias("u"), *(block or []), F.pmod(F.xxhash64(key), F.lit(groups)).alias("g"))
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.where((F.size(embedding) > 0) & F.col(key).isNotNull()).select(F.col(key).alias("id"), v.unit(F.col(embedding)).alias("u"), *(block or []))
+    groups = max(1, -(-rows.count() // block_rows))
     others = F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))
-    spread = rows.withColumn("o", F.explode(others)).withColumns({"lo": F.least("g", "o"), "hi": F.greatest("g", "o")})
-    on = ["lo", "hi", *(block or [])]
-    a = spread.select(F.col("id").alias("a"), F.col("u").alias("ua"), F.col("g").alias("ga"), *on)
-    b = spread.select(F.col("id").alias("b"), F.col("u").alias("ub"), F.col("g").alias("gb"), *on)
-    # a pair meets under exactly one key: its two groups
-    meet = a.join(b, on).where((F.col("a") < F.col("b")) & (F.least("ga", "gb") == F.col("lo")) & (F.greatest("ga", "gb") == F.col("hi")))
-    return meet.select("a", "b", v.dot(F.col("ua"), F.col("ub")).alias("score")).where(F.col("score") >= threshold)
+    spread = rows.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(groups))).withColumn("o", F.explode(others))
+    spread = spread.withColumns({"lo": F.least("g", "o"), "hi": F.greatest("g", "o")})
+
+    def meet(two: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        two = two.sort_values("id", ignore_index=True)
+        for _, same in two.groupby(two["u"].map(len)):
+            ids, g, u = same["id"].to_numpy(), same["g"].to_numpy(), np.stack(same["u"].to_list())
+            one_group = same["lo"].iloc[0] == same["hi"].iloc[0]
+            for first in range(0, len(u), 512):
+                i, j = np.nonzero(u[first : first + 512] @ u.T >= threshold - 1e-9)
+                i += first
+                met = (i < j) & (one_group | (g[i] != g[j]))  # two rows of one group meet in that group's own task
+                i, j = i[met], j[met]
+                score = np.cumsum(u[i] * u[j], axis=1)[:, -1]
+                found.append(pd.DataFrame({"a": ids[i], "b": ids[j], "score": score})[score >= threshold])
+        return pd.concat(found, ignore_index=True)  # a group has rows, so there is a part at least
+
+    return spread.groupBy("lo", "hi", *(block or [])).applyInPandas(meet, f"a {kind}, b {kind}, score double")
 
 
 def merged_entities(entities: DataFrame, pairs: DataFrame, contexts: int | None = None, sum_mentions: bool = True) -> tuple[DataFrame, DataFrame]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import model
@@ -271,15 +272,15 @@ def _(spark, d):
 # --- documents, chunks and entities: orders, order lines and parts ---------------------------------------------------
 
 _ETL = """docs AS (SELECT o_orderkey AS id, (o_orderkey % 6)::INT AS chunk_count, 'm' || (o_custkey % 8) AS module_id FROM orders),
-chunks AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey AS id, l_orderkey AS document_id, l_partkey AS part FROM lineitem WHERE l_quantity > 25),
-mentions AS (SELECT DISTINCT id AS chunk_id, 'p' || part AS entity_id FROM chunks WHERE part % 4 <> 0)"""
+chunks AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey AS id, l_orderkey AS document_id, l_partkey AS part FROM lineitem),
+mentions AS (SELECT DISTINCT id AS chunk_id, 'p' || part AS entity_id FROM chunks)"""
 
 
 def _etl(spark, d):
     o = t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 6).cast("int").alias("chunk_count"), F.concat(F.lit("m"), (F.col("o_custkey") % 8).cast("string")).alias("module_id"))
     ident = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"))
-    ch = t(spark, d, "lineitem").where("l_quantity > 25").select(ident.alias("id"), F.col("l_orderkey").alias("document_id"), "l_partkey", F.col("l_linenumber").alias("idx"), F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("text"), F.when(F.col("l_linenumber") < 6, F.array(F.lit(1.0))).alias("embedding"))
-    m = ch.where("l_partkey % 4 <> 0").select(F.col("id").alias("chunk_id"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("entity_id")).distinct()
+    ch = t(spark, d, "lineitem").select(ident.alias("id"), F.col("l_orderkey").alias("document_id"), "l_partkey", F.col("l_linenumber").alias("idx"), F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("text"), F.when(F.col("l_linenumber") < 6, F.array(F.lit(1.0))).alias("embedding"))
+    m = ch.select(F.col("id").alias("chunk_id"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("entity_id")).distinct()
     return o, ch, m
 
 
@@ -315,10 +316,10 @@ def _(spark, d):
     return quality.selected_text(ch, ch.where("idx <= 3").select("id"), ";")
 
 
-@query("a18_entity_frequency", """WITH x AS (SELECT DISTINCT source AS module_id, doc_id, unnest([y FOR y IN regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+')[1:30] IF length(y) > 5 AND regexp_full_match(y, '\\pL+')]) AS name FROM documents),
+@query("a18_entity_frequency", """WITH x AS (SELECT DISTINCT source AS module_id, doc_id, unnest([y FOR y IN regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+') IF length(y) > 5 AND regexp_full_match(y, '\\pL+')]) AS name FROM documents),
   g AS (SELECT module_id, name, count(*) AS documents FROM x GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY module_id ORDER BY documents DESC, name)::INT AS rank FROM g) SELECT module_id, name, documents, rank, rank <= 5 AS theme FROM r WHERE rank <= 20""")
 def _(spark, d):
-    names = F.filter(F.slice(F.split("text", r"\s+"), 1, 30), lambda w: (F.length(w) > 5) & w.rlike(r"^\p{L}+$"))
+    names = F.filter(F.split("text", r"\s+"), lambda w: (F.length(w) > 5) & w.rlike(r"^\p{L}+$"))
     return quality.entity_frequency(_docs(spark, d).select(F.col("source").alias("module_id"), names.alias("entities")))
 
 
@@ -366,9 +367,12 @@ def _(spark, d):
 
 @query("g15_force_layout")
 def _(spark, d):
-    nodes = graph.filter_nodes(roles.nodes(spark, d), max_nodes=300).withColumn("graph", F.lit(1))
-    edges = graph.induced(roles.edges(spark, d), nodes).withColumn("graph", F.lit(1))
-    return layout.force_directed(nodes, edges).select("id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+    """Each module is one displayed graph, with its first 500 entities (the display's own limit) and the edges between them."""
+    first = Window.partitionBy("module_id").orderBy("id")
+    nodes = roles.nodes(spark, d).withColumn("_r", F.row_number().over(first)).where("_r <= 500").drop("_r").withColumnRenamed("module_id", "graph")
+    ends = [nodes.select(F.col("id").alias(f"{x}_id"), F.col("graph").alias(x)) for x in ("src", "dst")]
+    edges = roles.edges(spark, d).select("src_id", "dst_id", "type").join(ends[0], "src_id").join(ends[1], "dst_id").where("src = dst").withColumnRenamed("src", "graph").drop("dst")
+    return layout.force_directed(nodes, edges.distinct()).select("id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
 @query("g16_decorated", f"WITH {GRAPH} SELECT id, CASE label WHEN 'Topic' THEN '#f59e0b' WHEN 'Concept' THEN '#10b981' WHEN 'Methodology' THEN '#8b5cf6' ELSE '#ef4444' END AS colour, (CASE WHEN label = 'Topic' THEN 25 ELSE 20 END * CASE WHEN id = 's1' THEN 1.5 ELSE 1.0 END)::DOUBLE AS size FROM nodes")

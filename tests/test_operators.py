@@ -163,6 +163,43 @@ def test_similar_pairs_equal_brute_force(spark):
     expected = {(a, b) for a in range(120) for b in range(a + 1, 120) if u[a] @ u[b] >= 0.9}
     got = [(r.a, r.b) for r in similarity.similar_pairs(df, 0.9).collect()]
     assert len(got) == len(set(got)) and set(got) == expected
+    many = similarity.similar_pairs(df.unionByName(spark.createDataFrame([(900, [1.0, 2.0]), (901, [1.0, 2.0]), (902, []), (None, [1.0] * 4)], df.schema)), 0.9, block_rows=16)
+    assert sorted((r.a, r.b) for r in many.collect()) == sorted([*expected, (900, 901)])
+
+
+def test_components_and_paths_equal_brute_force(spark):
+    rng = np.random.default_rng(7)
+    pairs = [(f"n{a}", f"n{b}") for a, b in rng.integers(0, 300, (180, 2)).tolist()] + [(f"c{i}", f"c{i + 1}") for i in range(40)]
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+
+    def hops(start):
+        at, level = {start: 0}, [start]
+        while level:
+            level = sorted({y for x in level for y in near[x]} - set(at))
+            at |= dict.fromkeys(level, max(at.values()) + 1)
+        return at
+
+    expected = {x: min(hops(x)) for x in near}
+    got = graph.connected_components(spark.createDataFrame(pairs, "a string, b string"))
+    assert {r.id: r.component for r in got.collect()} == expected
+    edges = spark.createDataFrame([(a, b, "USES", 0.5) for a, b in pairs], "src_id string, dst_id string, type string, confidence double")
+    assert {r.id: r.hops for r in graph.bfs(edges, ["c9"]).collect()} == hops("c9")
+    for depth in (1, 2, 3):
+        assert {r.id: r.hops for r in graph.bfs(edges, ["c9", "c9"], depth).collect()} == {x: h for x, h in hops("c9").items() if h <= depth}
+    nodes = spark.createDataFrame([(x, "Topic", x, "m") for x in near], "id string, label string, name string, module_id string")
+    assert graph.shortest_path(nodes, edges, "c0", "c4").count() == 4 and graph.shortest_path(nodes, edges, "c0", "c5").count() == 0
+
+
+def test_relations_of_each_document_are_limited_by_themselves(spark):
+    rows = [(d, f"s{i % 9}", f"t{i:03}", "USES", 0.2 + i / 200) for d in ("x", "y") for i in range(120)]
+    df = spark.createDataFrame(rows, "document string, source string, target string, type string, confidence double")
+    got = graph.strongest_relations(df, document="document").collect()
+    for d in ("x", "y"):
+        top = [r for s in range(9) for r in sorted((r for r in rows if r[0] == d and r[1] == f"s{s}"), key=lambda r: -r[4])[:10] if r[4] >= 0.3]
+        assert sorted((r.source, r.target) for r in got if r.document == d) == sorted((r[1], r[2]) for r in sorted(top, key=lambda r: (-r[4], r[1], r[2]))[:50])
 
 
 def test_fuzzy_matching_rules(spark):
