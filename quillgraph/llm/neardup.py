@@ -5,8 +5,8 @@
    ``[0, Q + 1]``. Registers of two sets merge by maximum, so long texts are sketched piece by piece.
 2. Classes. Texts with equal sets are one class, with a number of its own; from here on only classes are handled. Nothing but the set decides what a
    class is: ids, which may be missing or repeat, are only carried along for the answer.
-3. Bands. Runs of registers are hashed to band keys. In each band bucket the smallest class is the hub. Every class first meets one hub, the one
-   with which it shares most buckets.
+3. Bands. Runs of registers are hashed to band keys. In each band bucket the hub is the class that shares most buckets with others, which the original of
+   a group of copies does. Every class first meets one hub, the one with which it shares most buckets.
 4. Estimate. The similarity of a pair is the maximum of the joint likelihood of its registers (how many are larger, smaller, equal), given both
    set sizes; pairs that lie far under the threshold (over six standard errors) go.
 5. Verify. What is left is confirmed on the full sets of both texts.
@@ -297,8 +297,11 @@ def grouped(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_i
     classes = written(by_set.withColumn("id", F.monotonically_increasing_id()), "classes")
 
     members = written(banded(classes, band_rows(percent / 100)), "bands")
-    hubs = written(members.groupBy("bucket").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("g")).where("g > 1").select("bucket", "hub"), "hubs")
-    members = written(members.join(hubs, "bucket"), "members")
+    shared = written(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("g")).where("g > 1"), "shared")
+    members = written(members.join(shared, "bucket"), "members")
+    # an original shares more buckets than its copies share among each other
+    support = members.groupBy("id").agg((F.least(F.sum("g"), F.lit(1 << 30)) * (1 << 32) + F.pmod(F.xxhash64("id"), F.lit(1 << 32))).alias("support"))
+    hubs = written(members.join(support, "id").groupBy("bucket").agg(F.max_by("id", "support").alias("hub")), "hubs")
     wanted = written(classes.join(members.select("id").distinct(), "id", "left_semi").select("id", "least.doc_id", "least.h1", "least.h2"), "candidates")
     rows = docs.select(*_row_key(key, text), F.col(text).alias("t"))
     texts = written(rows.alias("d").join(wanted.alias("w"), _same_row("d", "w")).select("w.id", "d.t"), "texts")
@@ -306,7 +309,7 @@ def grouped(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_i
         texts = written(texts.groupBy("id").agg(F.first("t").alias("t")), "texts")
 
     # first one hub for each class: the one it shares most buckets with
-    met = members.where("id <> hub").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("shared"))
+    met = members.join(hubs, "bucket").where("id <> hub").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("shared"))
     first = met.groupBy("id").agg(F.max_by("hub", F.struct("shared", -F.col("hub"))).alias("hub"))
     tested = written(_estimated(first.select(F.col("hub").alias("a"), F.col("id").alias("b")), classes, percent), "pairs")
     links = written(_verified(tested, texts, size, percent), "confirmed")
@@ -314,7 +317,8 @@ def grouped(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_i
 
     # then whatever could still join different components
     rest = written(_mixed_only(_placed(members, found)).select("id", "component").distinct(), "rest")
-    pairs = _prefix_pairs(rest, texts, size, percent).join(tested, ["a", "b"], "left_anti")
+    before = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = _prefix_pairs(rest, texts, size, percent).join(before, ["a", "b"], "left_anti")
     pairs = written(_estimated(pairs, classes, percent), "pairs")
     more = written(_verified(pairs, texts, size, percent), "confirmed")
     if not more.isEmpty():
