@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import DEFAULT_EDGE_TYPE, EDGE_WEIGHTS, by_confidence, certain, edge_weight
@@ -17,17 +17,23 @@ from ..model import DEFAULT_EDGE_TYPE, EDGE_WEIGHTS, by_confidence, certain, edg
 MAX_DEPTH = 4
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` as a reliable checkpoint: later rounds and lost executors read it instead of repeating what led to it.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Checkpoints lie in ``spark.checkpoint.dir``. Only a session on one machine, whose master is ``local``, may do without: it gets a temporary folder.
+    Only a session on one machine, whose master is ``local``, may do without: it gets a temporary folder.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared and sc.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="quillgraph-"))
+    return sc.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` as a reliable checkpoint: later rounds and lost executors read it instead of repeating what led to it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -354,4 +360,15 @@ def connected_components(pairs: DataFrame) -> DataFrame:
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
+    """All rows of all batches, one after the other: the lists of extraction results by category."""
     return reduce(DataFrame.unionByName, frames)
+
+
+def union_distinct(frames: list[DataFrame]) -> DataFrame:
+    """The different rows of several scans, as of one label each."""
+    return union_all(frames).distinct()
+
+
+def distinct_ids(batches: list[DataFrame], key: str = "id") -> DataFrame:
+    """Each id once that any batch's result names; missing ids are none."""
+    return union_all([b.select(key) for b in batches]).where(F.col(key).isNotNull()).distinct()

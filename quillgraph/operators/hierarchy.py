@@ -326,10 +326,9 @@ def eligible(notes: DataFrame) -> DataFrame:
 
 def selected_range(rows: DataFrame, order: list[str], anchor: str, target: str) -> DataFrame:
     """The rows between two of them in display order, both included. Order and limits are those of one folder's listing."""
-    w = Window.orderBy(*order)
-    ranked = rows.withColumn("_r", F.row_number().over(w))
-    ends = ranked.where(F.col("id").isin(anchor, target)).agg(F.min("_r").alias("_a"), F.max("_r").alias("_b"))
-    return ranked.join(F.broadcast(ends), F.col("_r").between(F.col("_a"), F.col("_b"))).select(*rows.columns)
+    place = F.struct(*order, "id")  # a range of sort keys: nothing is ranked
+    ends = rows.where(F.col("id").isin(anchor, target)).agg(F.min(place).alias("_a"), F.max(place).alias("_b"))
+    return rows.join(F.broadcast(ends), place.between(F.col("_a"), F.col("_b"))).select(*rows.columns)
 
 
 def cascade_status(graph_state: Column, deleted: Column) -> Column:

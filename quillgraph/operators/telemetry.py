@@ -115,6 +115,40 @@ def explicit_positive(relevance: Column) -> Column:
     return F.coalesce(relevance >= 0.5, F.lit(False))
 
 
+def feedback_entries(rows: DataFrame, kind: str) -> DataFrame:
+    """Feedback as it is stored: an id made from what tells entries apart, so that a repeated delivery is the same entry, the query's first 500 characters, and whether it is positive.
+
+    ``kind``: ``explicit`` (rated 0.5 or more is positive), ``answer`` (helpful) or ``implicit`` (a click, or a dwell of over five seconds).
+    """
+    positive = {
+        "explicit": lambda: explicit_positive(F.col("relevance_score")),
+        "answer": lambda: F.coalesce(F.col("helpful"), F.lit(False)),
+        "implicit": lambda: implicit_positive(F.col("clicked"), F.col("dwell_time_ms")),
+    }
+    if kind not in positive:
+        raise ValueError(f"unknown kind of feedback {kind!r}")
+    told = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("query", "result_id", "session_id", "user_id", "ts") if c in rows.columns]
+    ident = F.concat(F.lit("fb_"), F.substring(F.sha2(F.concat_ws("\x1f", F.lit(kind), *told), 256), 1, 12))
+    return rows.withColumns({"id": ident, "query": F.substring("query", 1, 500), "feedback_type": F.lit(kind), "is_positive": positive[kind]()})
+
+
+def feedback_links(entries: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``src_id, dst_id, type``: one edge from each entry to the result that it is about, if there is such a node."""
+    about = entries.where(F.col("result_id").isNotNull()).select(F.col("id").alias("src_id"), F.col("result_id").alias("dst_id")).distinct()
+    return about.join(nodes.select(F.col("id").alias("dst_id")), "dst_id", "left_semi").select("src_id", "dst_id", F.lit("FEEDBACK_FOR").alias("type"))
+
+
+def append_feedback(entries: DataFrame, nodes: DataFrame, path: str) -> None:
+    """Appends entries to ``path/feedback`` and their links to ``path/links``."""
+    entries.write.mode("append").parquet(f"{path}/feedback")
+    feedback_links(entries, nodes).write.mode("append").parquet(f"{path}/links")
+
+
+def recent(rows: DataFrame, time_column: str = "ts", limit: int = 10) -> DataFrame:
+    """The newest rows, ten if not said otherwise; of equally new ones those whose ids sort first."""
+    return rows.orderBy(F.col(time_column).desc_nulls_last(), "id").limit(limit)
+
+
 def feedback_rows(feedback: DataFrame, start: datetime | None = None, end: datetime | None = None, module: str | None = None) -> DataFrame:
     rows = feedback.where(in_closed_range("ts", start, end))
     return rows if module is None else rows.where(F.array_contains("module_ids", module))
@@ -137,10 +171,13 @@ def feedback_by_module(rows: DataFrame, limit: int = 20) -> DataFrame:
 
 def low_quality(rows: DataFrame, threshold: float = 0.3, at_least: int = 2, samples: int = 5) -> DataFrame:
     """Results that are rated at ``threshold`` at most by ``at_least`` rows, with a few of their queries."""
-    grouped = rows.where(F.col("result_id").isNotNull()).groupBy("result_id").agg(
-        F.avg(effective_relevance()).alias("_avg"), F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_set("query")), 1, samples).alias("queries")
-    )
-    kept = grouped.where((F.col("_avg") <= threshold) & (F.col("n") >= at_least)).orderBy("_avg", F.desc("n"), "result_id")
+    rated = rows.where(F.col("result_id").isNotNull())
+    grouped = rated.groupBy("result_id").agg(F.avg(effective_relevance()).alias("_avg"), F.count(F.lit(1)).alias("n"))
+    low = grouped.where((F.col("_avg") <= threshold) & (F.col("n") >= at_least))
+    asked = rated.where(F.col("query").isNotNull()).select("result_id", "query").distinct()
+    first = asked.withColumn("_r", F.row_number().over(Window.partitionBy("result_id").orderBy("query"))).where(F.col("_r") <= samples)
+    queries = first.groupBy("result_id").agg(F.array_sort(F.collect_list("query")).alias("queries"))  # samples rows at most
+    kept = low.join(queries, "result_id", "left").withColumn("queries", F.coalesce("queries", F.array().cast("array<string>"))).orderBy("_avg", F.desc("n"), "result_id")
     return kept.select("result_id", F.round("_avg", 6).alias("avg_relevance"), "n", "queries")
 
 
@@ -187,14 +224,15 @@ def evict(jobs: DataFrame, now: datetime, ttl_seconds: int = 300, cap: int = 100
     """Jobs that survive: active ones always; terminal ones within their time to live, as far as the cap leaves room.
 
     ``keep``: which terminal ones the cap spares, the oldest by ``updated_at`` (what the tests of the service pin) or the newest.
-    Ranking needs all surviving jobs in order; a job store has few.
+    Only ``cap`` terminal jobs at most can stay, so a top-k finds them and only these are ranked.
     """
     is_terminal = F.col("status").isin(*terminal)
     fresh = jobs.where(~is_terminal | (F.col("updated_at") >= F.lit(str(now - timedelta(seconds=ttl_seconds))).cast("timestamp_ntz")))
     active, ended = fresh.where(~is_terminal), fresh.where(is_terminal)
     order = [F.asc("updated_at") if keep == "oldest" else F.desc("updated_at"), F.asc("id")]
     room = F.greatest(F.lit(0), F.lit(cap) - F.col("_active"))
-    ranked = ended.withColumn("_rank", F.row_number().over(Window.orderBy(*order))).join(F.broadcast(active.agg(F.count(F.lit(1)).alias("_active"))), how="inner")
+    first = ended.orderBy(*order).limit(cap)
+    ranked = first.withColumn("_rank", F.row_number().over(Window.orderBy(*order))).join(F.broadcast(active.agg(F.count(F.lit(1)).alias("_active"))), how="inner")
     return active.unionByName(ranked.where(F.col("_rank") <= room).select(*jobs.columns))
 
 

@@ -17,6 +17,53 @@ def _at(when: datetime | str) -> Column:
     return F.lit(str(when)).cast("timestamp_ntz")
 
 
+#: What a request may ask for, as (least, most); the default is the functions' own.
+REQUEST_LIMITS = {
+    "frequency": {"limit": (1, 500)},
+    "trending": {"limit": (1, 100), "min_growth": (0.0, 10.0)},
+    "emerging": {"limit": (1, 100)},
+    "evolution": {},
+    "comparison": {},
+    "overlap": {},
+}
+GRANULARITIES = ("day", "week", "month", "semester")
+
+
+def checked_request(what: str, **parameters) -> dict:
+    """The parameters of a request for one of ``REQUEST_LIMITS``, checked; times may be ISO strings and come back as datetimes.
+
+    Raises ``ValueError`` for numbers out of range, an end that is not after its start, an unknown granularity, a module compared with itself,
+    fewer than two different modules for an overlap, or an unknown request.
+    """
+    if what not in REQUEST_LIMITS:
+        raise ValueError(f"unknown request {what!r}")
+    out = {k: datetime.fromisoformat(v) if k in ("start", "end", "since") and isinstance(v, str) else v for k, v in parameters.items() if v is not None}
+    for name, (least, most) in REQUEST_LIMITS[what].items():
+        if name in out:
+            _within(name, out[name], least, most)
+    if "start" in out and "end" in out and out["end"] <= out["start"]:
+        raise ValueError("the end must be after the start")
+    if out.get("granularity", "month") not in GRANULARITIES:
+        raise ValueError(f"granularity must be one of {GRANULARITIES}")
+    if what == "comparison" and out.get("a") == out.get("b"):
+        raise ValueError("a module is not compared with itself")
+    if what == "overlap" and len(set(out.get("modules", ()))) < 2:
+        raise ValueError("an overlap needs two modules")
+    return out
+
+
+def _within(what: str, value: float, least: float, most: float) -> None:
+    if not least <= value <= most:
+        raise ValueError(f"{what} must be from {least} to {most}, not {value}")
+
+
+def _asked(modules: list[str], most: int = 10) -> list[str]:
+    """The different modules asked for; more than ten are refused, as they would silently drop out of a table of all pairs."""
+    asked = list(dict.fromkeys(modules))
+    _within("the number of modules", len(asked), 1, most)
+    return asked
+
+
 def concept_frequency(entities: DataFrame, modules: list[str] | None = None, types: tuple[str, ...] | None = None, limit: int = 100) -> DataFrame:
     """``name, label, frequency, modules``: the most frequent concepts."""
     counted = of_types(entities, types, modules).groupBy("name", "label").agg(
@@ -59,7 +106,9 @@ def emerging(entities: DataFrame, links: DataFrame, since: datetime, limit: int
     )
     top = found.orderBy(F.desc("first_seen"), "name", "label").limit(limit)
     either = links.select(F.col("name_a").alias("name"), F.col("name_b").alias("other")).unionByName(links.select(F.col("name_b").alias("name"), F.col("name_a").alias("other")))
-    names = either.where("name <> other").join(F.broadcast(top.select("name").distinct()), "name", "left_semi").groupBy("name").agg(F.slice(F.array_sort(F.collect_set("other")), 1, related).alias("related"))
+    names = either.where("name <> other").join(F.broadcast(top.select("name").distinct()), "name", "left_semi").distinct()
+    first = names.withColumn("_r", F.row_number().over(Window.partitionBy("name").orderBy("other"))).where(F.col("_r") <= related)
+    names = first.groupBy("name").agg(F.array_sort(F.collect_list("other")).alias("related"))  # related rows at most
     return top.join(names, "name", "left").withColumn("related", F.coalesce("related", F.array().cast("array<string>")))
 
 
@@ -121,7 +170,7 @@ def overlap(entities: DataFrame, modules: list[str]) -> DataFrame:
 
     The type is that of the first row by time, and each module's last definition is kept.
     """
-    asked = modules[:10]
+    asked = _asked(modules)
     rows = of_types(entities, None, asked)
     per_module = rows.groupBy("name", "module_id").agg(
         F.min(F.struct("created_at", "event_id", "label")).alias("_first"), F.max_by("definition", F.struct("created_at", "event_id")).alias("definition")
@@ -137,7 +186,7 @@ def overlap(entities: DataFrame, modules: list[str]) -> DataFrame:
 
 def jaccard_matrix(entities: DataFrame, modules: list[str]) -> DataFrame:
     """``a, b, jaccard`` for all pairs of ten modules at most. Counts of shared names come from a self-join on the name."""
-    asked = modules[:10]
+    asked = _asked(modules)
     sets = of_types(entities, None, asked).select("module_id", "name").distinct()
     sizes = sets.groupBy("module_id").agg(F.count(F.lit(1)).alias("n"))
     common = sets.select(F.col("module_id").alias("a"), "name").join(sets.select(F.col("module_id").alias("b"), "name"), "name").groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))

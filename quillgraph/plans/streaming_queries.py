@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.graph import settled
+from ..operators.graph import shared_folder
 from ..streaming import telemetry as s
 from .registry import query
 
@@ -26,13 +26,16 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 
 
 def _finished(df: DataFrame, mode: str) -> DataFrame:
-    """The rows of a stream that has run through all there is. The memory sink holds a summary, which is then kept as a checkpoint."""
-    name = f"stream_{uuid.uuid4().hex}"
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """The rows of a stream that has run through all there is, from files in the shared folder; progress is kept there too."""
+    base = f"{shared_folder(df.sparkSession)}/stream-{uuid.uuid4().hex}"
+    rows = f"{base}/rows"
+    writer = df.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/progress").trigger(availableNow=True)
+    if mode == "append":
+        q = writer.format("parquet").start(rows)
+    else:  # a batch is the whole result
+        q = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(rows)).start()
     q.awaitTermination()
-    out = settled(df.sparkSession.table(name))
-    df.sparkSession.catalog.dropTempView(name)
-    return out
+    return df.sparkSession.read.schema(df.schema).parquet(rows)
 
 
 @query("r01_stream_latest_state", "SELECT DISTINCT ON (user_id) user_id, ts, event_type FROM events ORDER BY user_id, ts DESC, event_type DESC")
@@ -53,7 +56,7 @@ def _(spark, d):
 
 @query("r03_stream_restarting_limit")
 def _(spark, d):
-    return _finished(s.restarting_limit(_stream(spark, d), "event_type", "ts", 3600, 3), "append").groupBy("event_type", "allowed").agg(F.count(F.lit(1)).alias("n"))
+    return _finished(s.restarting_limit(_stream(spark, d), "user_id", "ts", 3600, 3), "append").groupBy("user_id", "allowed").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("r06_stream_deduplicated", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")

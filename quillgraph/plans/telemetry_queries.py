@@ -96,6 +96,32 @@ def _(spark, d):
     return m.low_quality(feedback(spark, d), 0.45).withColumn("queries", F.array_join("queries", "|"))
 
 
+_ENTRIES = f"""entries AS (SELECT feedback_type AS kind, substr(repeat(query || ' ', 40), 1, 500) AS query, result_id, ts,
+  CASE feedback_type WHEN 'explicit' THEN coalesce(relevance_score >= 0.5, false) WHEN 'answer' THEN coalesce(helpful, false) ELSE clicked OR dwell_time_ms > 5000 END AS is_positive FROM feedback)"""
+
+
+def _entries(spark, d):
+    rows = feedback(spark, d).withColumn("query", F.repeat(F.concat("query", F.lit(" ")), 40))
+    parts = [m.feedback_entries(rows.where(F.col("feedback_type") == kind), kind) for kind in ("explicit", "answer", "implicit")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("s25_feedback_entries", f"WITH {FEEDBACK}, {_ENTRIES} SELECT kind AS feedback_type, query, result_id, ts, is_positive FROM entries")
+def _(spark, d):
+    return _entries(spark, d).select("feedback_type", "query", "result_id", "ts", "is_positive")
+
+
+@query("s25_feedback_links", f"WITH {FEEDBACK}, {_ENTRIES}, n AS (SELECT DISTINCT 'r' || s_suppkey AS id FROM supplier) SELECT result_id AS dst_id, count(DISTINCT (kind, query, ts)) AS entries FROM entries WHERE result_id IN (SELECT id FROM n) GROUP BY 1")
+def _(spark, d):
+    results = t(spark, d, "supplier").select(F.concat(F.lit("r"), F.col("s_suppkey").cast("string")).alias("id"))
+    return m.feedback_links(_entries(spark, d), results).groupBy("dst_id").agg(F.count(F.lit(1)).alias("entries"))
+
+
+@query("w10_recent", "SELECT event_id AS id, ts FROM events ORDER BY ts DESC NULLS LAST, event_id LIMIT 10")
+def _(spark, d):
+    return m.recent(t(spark, d, "events").select(F.col("event_id").alias("id"), "ts"))
+
+
 @query("j20_result_labels", f"WITH {FEEDBACK}, {GRAPH}, r AS (SELECT DISTINCT result_id FROM feedback) SELECT result_id, coalesce(label, 'Unknown') AS label FROM r LEFT JOIN nodes ON id = 's' || (substr(result_id, 2)::INT * 3)")
 def _(spark, d):
     results = feedback(spark, d).select("result_id").distinct()

@@ -391,16 +391,46 @@ def _(spark, d):
     return export.json_records(roles.nodes(spark, d), roles.edges(spark, d))
 
 
-@query("s21_export_graphml")
+def _xml(text: str) -> str:
+    return f"replace(replace(replace(replace({text}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;')"
+
+
+_ENDS = "src_id || '|' || dst_id || '|' || type"
+
+
+@query("s21_export_graphml", f"""WITH {GRAPH} SELECT 1 AS part, id, '<node id="' || id || '"><data key="name">' || {_xml("name")} || '</data><data key="type">' || label || '</data></node>' AS line FROM nodes
+  UNION ALL SELECT 2, {_ENDS}, '<edge source="' || src_id || '" target="' || dst_id || '"><data key="kind">' || type || '</data></edge>' FROM edges
+  UNION ALL SELECT 0, '', '<?xml version="1.0" encoding="UTF-8"?><graphml xmlns="http://graphml.graphdrawing.org/xmlns"><key id="name" for="node" attr.name="name" attr.type="string"/><key id="type" for="node" attr.name="type" attr.type="string"/><key id="kind" for="edge" attr.name="kind" attr.type="string"/><graph edgedefault="directed">'
+  UNION ALL SELECT 3, '', '</graph></graphml>'""")
 def _(spark, d):
     return export.graphml_lines(roles.nodes(spark, d), roles.edges(spark, d))
 
 
-@query("s21_export_gexf")
+@query("s21_export_gexf", f"""WITH {GRAPH} SELECT 1 AS part, id, '<node id="' || id || '" label="' || {_xml("name")} || '"/>' AS line FROM nodes
+  UNION ALL SELECT 3, {_ENDS}, '<edge source="' || src_id || '" target="' || dst_id || '" label="' || type || '"/>' FROM edges
+  UNION ALL SELECT 0, '', '<?xml version="1.0" encoding="UTF-8"?><gexf xmlns="http://gexf.net/1.3" version="1.3"><graph defaultedgetype="directed"><nodes>'
+  UNION ALL SELECT 2, '', '</nodes><edges>' UNION ALL SELECT 4, '', '</edges></graph></gexf>'""")
 def _(spark, d):
     return export.gexf_lines(roles.nodes(spark, d), roles.edges(spark, d))
 
 
+@query("u01_union_of_scans", "SELECT n_name AS name, n_regionkey % 2 AS kind FROM nation UNION SELECT r_name, r_regionkey % 2 FROM region")
+def _(spark, d):
+    return graph.union_distinct([t(spark, d, "nation").select(F.col("n_name").alias("name"), (F.col("n_regionkey") % 2).alias("kind")), t(spark, d, "region").select(F.col("r_name").alias("name"), (F.col("r_regionkey") % 2).alias("kind"))])
+
+
+@query("u08_distinct_ids", "SELECT DISTINCT id FROM (SELECT l_partkey AS id FROM lineitem UNION ALL SELECT p_partkey FROM part UNION ALL SELECT nullif(s_suppkey, 3) FROM supplier) WHERE id IS NOT NULL")
+def _(spark, d):
+    three = F.when(F.col("s_suppkey") != 3, F.col("s_suppkey"))
+    return graph.distinct_ids([t(spark, d, "lineitem").select(F.col("l_partkey").alias("id")), t(spark, d, "part").select(F.col("p_partkey").alias("id")), t(spark, d, "supplier").select(three.alias("id"))])
+
+
+@query("a24_batches_merged", "SELECT kind, count(*) AS n, sum(k)::BIGINT AS total FROM (SELECT o_orderstatus AS kind, o_orderkey AS k FROM orders UNION ALL SELECT l_linestatus, l_partkey FROM lineitem) GROUP BY 1")
+def _(spark, d):
+    batches = [t(spark, d, "orders").select(F.col("o_orderstatus").alias("kind"), F.col("o_orderkey").alias("k")), t(spark, d, "lineitem").select(F.col("l_linestatus").alias("kind"), F.col("l_partkey").alias("k"))]
+    return graph.union_all(batches).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("total"))
+
+
 @query("entity_ids", "SELECT DISTINCT event_type || ' ' AS name, 'entity_' || substr(md5(lower(trim(event_type)) || ':m1'), 1, 16) AS id FROM events")
 def _(spark, d):
     e = t(spark, d, "events").select(F.concat("event_type", F.lit(" ")).alias("name")).distinct()

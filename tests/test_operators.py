@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import sys
 import zipfile
 from datetime import UTC, date, datetime
 
@@ -329,5 +330,99 @@ def test_streams(spark, tmp_path):
     start = spark.createDataFrame([("j", "ready", None), ("z", "old", None)], df.schema)
     q = streaming.upserting(stream.dropDuplicates(["id"]), str(tmp_path / "out"), lambda: start).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
-    out = {r.id: r.status for r in spark.read.parquet(str(tmp_path / "out" / "v0")).collect()}
+    out = {r.id: r.status for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert out == {"j": "ready", "z": "old", "k": "running"}
+
+
+def test_feedback_is_appended_once_and_linked(spark, tmp_path):
+    rows = [("q" * 900, "r1", "s", "2024-01-01", 0.5, None, None, None), ("b", "r9", "s", "2024-01-02", 0.4, None, None, None), ("c", None, "s", "2024-01-03", None, None, None, None)]
+    df = spark.createDataFrame(rows, "query string, result_id string, session_id string, ts string, relevance_score double, helpful boolean, clicked boolean, dwell_time_ms long")
+    entries = telemetry.feedback_entries(df, "explicit")
+    assert [r.id for r in entries.collect()] == [r.id for r in telemetry.feedback_entries(df, "explicit").collect()]
+    nodes = spark.createDataFrame([("r1",), ("r1",), ("r2",)], "id string")
+    for _ in range(2):
+        telemetry.append_feedback(entries, nodes, str(tmp_path / "sink"))
+    got = spark.read.parquet(str(tmp_path / "sink" / "feedback")).collect()
+    assert len(got) == 6 and {(len(r["query"]), r.is_positive) for r in got} == {(500, True), (1, False)} and len({r.id for r in got}) == 3
+    links = spark.read.parquet(str(tmp_path / "sink" / "links")).distinct().collect()
+    assert [(r.dst_id, r.type) for r in links] == [("r1", "FEEDBACK_FOR")] and links[0].src_id in {r.id for r in got}
+    told = spark.createDataFrame([(None, None, None), (True, False, 5000), (False, True, None), (False, False, 5001)], "helpful boolean, clicked boolean, dwell_time_ms long").withColumns({"query": F.lit("q"), "relevance_score": F.lit(0.9)})
+    assert [r.is_positive for r in telemetry.feedback_entries(told, "answer").collect()] == [False, True, False, False]
+    assert [r.is_positive for r in telemetry.feedback_entries(told, "implicit").collect()] == [False, False, True, True]
+    with pytest.raises(ValueError):
+        telemetry.feedback_entries(df, "other")
+    times = spark.createDataFrame([(f"{i:02}", i // 2 if i else None) for i in range(30)], "id string, ts int")
+    assert [r.id for r in telemetry.recent(times).collect()] == ["28", "29", "26", "27", "24", "25", "22", "23", "20", "21"]
+
+
+def test_trend_requests_are_checked():
+    fine = trends.checked_request("trending", start="2024-01-01", end=datetime(2024, 2, 1), limit=100, min_growth=0.0)
+    assert fine["start"] == datetime(2024, 1, 1) and trends.checked_request("evolution", granularity="semester", start=None) == {"granularity": "semester"}
+    bad = [
+        ("frequency", {"limit": 0}), ("frequency", {"limit": 501}), ("trending", {"limit": 101}), ("trending", {"min_growth": 10.1}), ("trending", {"min_growth": -0.1}),
+        ("trending", {"start": "2024-01-02", "end": "2024-01-02"}), ("emerging", {"limit": 101}), ("evolution", {"granularity": "year"}), ("comparison", {"a": "m", "b": "m"}),
+        ("overlap", {"modules": ["m", "m"]}), ("other", {}), ("emerging", {"since": "yesterday"}),
+    ]
+    for what, parameters in bad:
+        with pytest.raises(ValueError):
+            trends.checked_request(what, **parameters)
+    with pytest.raises(ValueError):
+        trends.overlap(None, [f"m{i}" for i in range(11)])
+
+
+def test_embeddings_updates_backup_and_paths(spark, tmp_path):
+    nodes = spark.createDataFrame([("a", [1.0]), ("b", None)], "id string, embedding array<double>")
+    got = store.put_embeddings(nodes, spark.createDataFrame([("b", [2.0, 3.0]), ("z", [9.0])], nodes.schema))
+    assert {r.id: r.embedding for r in got.collect()} == {"a": [1.0], "b": [2.0, 3.0]}
+    table, missed = store.update_existing(spark.createDataFrame([("a", 1, "x")], "id string, n int, s string"), spark.createDataFrame([("a", None, "y"), ("q", 2, "z")], "id string, n int, s string"))
+    assert [tuple(r) for r in table.collect()] == [("a", 1, "y")] and [r.id for r in missed.collect()] == ["q"]
+    store.backup({"nodes": nodes}, str(tmp_path / "b"))
+    back = store.restore(spark, str(tmp_path / "b"), ["nodes"])
+    assert {r.id for r in back["nodes"].collect()} == {"a", "b"} and store.wipe(back)["nodes"].count() == 0
+    tables = {
+        "departments": spark.createDataFrame([("d",)], "id string"), "semesters": spark.createDataFrame([("t", "d")], "id string, department_id string"),
+        "subjects": spark.createDataFrame([("s", "t")], "id string, semester_id string"), "modules": spark.createDataFrame([("m", "s")], "id string, subject_id string"),
+    }
+    assert hierarchy.path_exists(tables, "d", "t", "s", "m").first().exists and not hierarchy.path_exists(tables, "d", "t", "x", "m").first().exists
+    assert not hierarchy.path_exists(tables, "d", "t", "s", "nowhere").first().exists
+    statement = "CREATE TABLE IF NOT EXISTS ddl_probe (id string) USING parquet"
+    quality.apply_ddl(spark, [statement])
+    assert not spark.catalog.tableExists("ddl_probe")
+    quality.apply_ddl(spark, [statement], dry_run=False)
+    assert spark.catalog.tableExists("ddl_probe") and len(quality.ddl_script()) >= 5
+    spark.sql("DROP TABLE ddl_probe")
+
+
+def test_pdf_pages_are_joined_by_blank_lines(monkeypatch):
+    class Page:
+        def __init__(self, text):
+            self.text = text
+
+        def extract_text(self):
+            return self.text
+
+    class Reader:
+        def __init__(self, data):
+            self.pages = [Page(t) for t in (*data.read().decode().split("|"), None)]
+
+    monkeypatch.setitem(sys.modules, "pypdf", type(sys)("pypdf"))
+    sys.modules["pypdf"].PdfReader = Reader
+    assert documents.pdf_text(b"one|two") == "one\n\ntwo\n\n"
+    monkeypatch.setitem(sys.modules, "pypdf", None)
+    with pytest.raises(ValueError):
+        documents.pdf_text(b"one")
+
+
+def test_ranges_and_evictions_need_no_global_order(spark):
+    rows = spark.createDataFrame([(f"i{i}", i % 3, i) for i in range(12)], "id string, a int, b int")
+    got = hierarchy.selected_range(rows, ["a", "b"], "i7", "i3").collect()
+    shown = sorted(range(12), key=lambda i: (i % 3, i))
+    first, last = sorted((shown.index(7), shown.index(3)))
+    assert {r.id for r in got} == {f"i{i}" for i in shown[first : last + 1]}
+
+
+def test_capitalised_terms_and_sentences_in_plain_python(spark):
+    text = "The Neural Network of Paris met Anna Smith. A CPU, Über Alles Here; And iPhone Neural Network"
+    assert one(spark, x.capitalised_terms(F.lit(text))) == ["Neural Network", "Paris", "Anna Smith", "CPU", "Über Alles", "Here"]
+    assert x.split_sentences("Dr. Smith went home. He was tired.") == ["Dr. Smith went home.", "He was tired."]
+    assert x.normalised_text("ﬁne\u00a0 \x07text\u3000end") == "fine text end"
