@@ -7,6 +7,7 @@ one text; the public functions at the end are the UDFs to use with ``explode``.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
 import pandas as pd
 from pyspark.sql import Column
@@ -118,14 +119,14 @@ def entity_chunks(text: str, entities: list[str], around: int = 400, merge_gap:
     characters to ``least`` words, split over ``most`` words; gaps of ``fill_gap`` words or more are chunked on their own. A chunk carries the
     entities that occur in it; the primary one has the longest name.
     """
-    lower = text.lower()
     names = [e for e in dict.fromkeys(entities) if e and e.strip()]
-    hits = sorted((m.start(), m.end()) for e in names for m in re.finditer(re.escape(e.lower()), lower)) if names else []
+    hits = sorted((m.start(), m.end()) for e in names for m in re.finditer(re.escape(e), text, re.IGNORECASE))  # in the text itself: lower-casing can change its length
     ends = [m.end() for m in _SENTENCE_END.finditer(text)]
 
     def widened(a: int, b: int) -> tuple[int, int]:
         low, high = max(0, a - around), min(len(text), b + around)
-        return max((x for x in ends if x <= low), default=0), min((x for x in ends if x >= high), default=len(text))
+        before, after = bisect_right(ends, low), bisect_left(ends, high)
+        return ends[before - 1] if before else 0, ends[after] if after < len(ends) else len(text)
 
     spans: list[list[int]] = []
     for a, b in (widened(*h) for h in hits):

@@ -5,9 +5,12 @@ A collection is a table, a subcollection is equality of the foreign key, and a "
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# The names of the collections and of their parents' keys.
 LEVELS = ("departments", "semesters", "subjects", "modules", "notes")
 PARENT_KEY = {"semesters": "department_id", "subjects": "semester_id", "modules": "subject_id", "notes": "module_id"}
 Tables = dict[str, DataFrame]
@@ -45,7 +48,8 @@ def note_counts(tables: Tables) -> DataFrame:
 def tree(tables: Tables, depth: int = 5) -> DataFrame:
     """One row a department with nested children, bottom up: four joins, each on an aggregate of the level below.
 
-    Depth 1 gives departments only, 2 their semesters, and 3 or more everything.
+    Depth 1 gives departments only, 2 their semesters, and 3 or more everything. A row holds all that lies below a department, so this is for
+    trees that one display can hold; ``tree_rows`` gives the same nodes at any size.
     """
     departments = tables["departments"].select("id", label("departments").alias("label"))
     if depth <= 1:
@@ -73,6 +77,26 @@ def tree(tables: Tables, depth: int = 5) -> DataFrame:
     return departments.join(top, "id", "left").select("id", "label", "children")
 
 
+def tree_rows(tables: Tables) -> DataFrame:
+    """``level, id, label, path, place``: one row for each node of the tree; nodes with a broken chain are left out.
+
+    ``path`` lists the ids from the department to the node. Siblings stand in order of ``place`` (numbers; notes newest first), subjects of their name, and then of id.
+    """
+    places = {"semesters": F.col("semester_number").cast("long"), "modules": F.col("module_number").cast("long"), "notes": -F.unix_micros(F.col("created_at").cast("timestamp"))}
+    out, above = [], None
+    for number, name in enumerate(LEVELS):
+        parent, place = PARENT_KEY.get(name), places.get(name, F.lit(None).cast("long"))
+        rows = tables[name].select("id", label(name).alias("label"), place.alias("place"), *([F.col(parent).alias("_up")] if parent else []))
+        if above is None:
+            rows = rows.withColumn("path", F.array("id"))
+        else:
+            up = above.select(F.col("id").alias("_up"), F.col("path").alias("_path"))
+            rows = rows.join(up, "_up").withColumn("path", F.concat("_path", F.array("id")))
+        above = rows
+        out.append(rows.select(F.lit(number).alias("level"), "id", "label", "path", "place"))
+    return reduce(DataFrame.unionByName, out)
+
+
 def keep_subjects(tables: Tables, subject_ids: DataFrame) -> Tables:
     """The tree without subjects outside the set (column ``id``) and without ancestors that then have none."""
     kept = dict(tables)

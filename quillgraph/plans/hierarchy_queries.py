@@ -44,6 +44,15 @@ def _(spark, d):
     return h.note_counts(_tables(spark, d))
 
 
+@query("h02_tree_rows", f"""{H}, t AS (SELECT semesters.*, d.id AS d FROM semesters JOIN departments d ON d.id = department_id), s AS (SELECT subjects.*, d, t.id AS t FROM subjects JOIN t ON t.id = semester_id),
+  m AS (SELECT modules.*, d, t, s.id AS s FROM modules JOIN s ON s.id = subject_id), n AS (SELECT notes.*, d, t, s, m.id AS m FROM notes JOIN m ON m.id = module_id)
+  SELECT 0 AS level, id, name AS label, id AS path, NULL::BIGINT AS place FROM departments UNION ALL SELECT 1, id, semester_number || ' - ' || name, d || '/' || id, semester_number FROM t
+  UNION ALL SELECT 2, id, code || ' - ' || name, concat_ws('/', d, t, id), NULL FROM s UNION ALL SELECT 3, id, 'Module ' || module_number || ' - ' || name, concat_ws('/', d, t, s, id), module_number FROM m
+  UNION ALL SELECT 4, id, title, concat_ws('/', d, t, s, m, id), -epoch_us(created_at::TIMESTAMP) FROM n""")
+def _(spark, d):
+    return h.tree_rows(_tables(spark, d)).withColumn("path", F.array_join("path", "/"))
+
+
 @query("h02_tree", f"""{H}, n AS (SELECT module_id, string_agg(id, ';' ORDER BY created_at DESC, id) AS c FROM notes GROUP BY 1),
   m AS (SELECT subject_id, string_agg(id || '[' || coalesce(n.c, '') || ']', ',' ORDER BY module_number, id) AS c FROM modules LEFT JOIN n ON n.module_id = id GROUP BY 1),
   s AS (SELECT semester_id, md5(string_agg(id || '(' || coalesce(m.c, '') || ')', ',' ORDER BY name, id)) AS c FROM subjects LEFT JOIN m ON m.subject_id = id GROUP BY 1)

@@ -426,3 +426,10 @@ def test_capitalised_terms_and_sentences_in_plain_python(spark):
     assert one(spark, x.capitalised_terms(F.lit(text))) == ["Neural Network", "Paris", "Anna Smith", "CPU", "Über Alles", "Here"]
     assert x.split_sentences("Dr. Smith went home. He was tired.") == ["Dr. Smith went home.", "He was tired."]
     assert x.normalised_text("ﬁne\u00a0 \x07text\u3000end") == "fine text end"
+
+
+def test_entity_chunks_find_names_where_they_stand():
+    text = "\u0130" * 50 + " Start. " + "filler words here. " * 60 + "The Neural Net is here. " + "more filler now. " * 60 + "End."
+    chunks = chunking.entity_chunks(text, ["neural net"])
+    about = [c for c in chunks if "neural net" in c["entities"]]
+    assert about and all("Neural Net" in c["text"] for c in about)
