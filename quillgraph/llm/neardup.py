@@ -302,7 +302,8 @@ def grouped(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_i
     # an original shares more buckets than its copies share among each other
     support = members.groupBy("id").agg((F.least(F.sum("g"), F.lit(1 << 30)) * (1 << 32) + F.pmod(F.xxhash64("id"), F.lit(1 << 32))).alias("support"))
     hubs = written(members.join(support, "id").groupBy("bucket").agg(F.max_by("id", "support").alias("hub")), "hubs")
-    wanted = written(classes.join(members.select("id").distinct(), "id", "left_semi").select("id", "least.doc_id", "least.h1", "least.h2"), "candidates")
+    candidates = written(classes.join(members.select("id").distinct(), "id", "left_semi").select("id", "n", "registers", "least"), "candidates")
+    wanted = candidates.select("id", "least.doc_id", "least.h1", "least.h2")
     rows = docs.select(*_row_key(key, text), F.col(text).alias("t"))
     texts = written(rows.alias("d").join(wanted.alias("w"), _same_row("d", "w")).select("w.id", "d.t"), "texts")
     if texts.count() > wanted.count():  # a repeated row has its text repeated
@@ -311,7 +312,7 @@ def grouped(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_i
     # first one hub for each class: the one it shares most buckets with
     met = members.join(hubs, "bucket").where("id <> hub").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("shared"))
     first = met.groupBy("id").agg(F.max_by("hub", F.struct("shared", -F.col("hub"))).alias("hub"))
-    tested = written(_estimated(first.select(F.col("hub").alias("a"), F.col("id").alias("b")), classes, percent), "pairs")
+    tested = written(_estimated(first.select(F.col("hub").alias("a"), F.col("id").alias("b")), candidates, percent), "pairs")
     links = written(_verified(tested, texts, size, percent), "confirmed")
     found = written(components(links), "components")
 
@@ -319,7 +320,7 @@ def grouped(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_i
     rest = written(_mixed_only(_placed(members, found)).select("id", "component").distinct(), "rest")
     before = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = _prefix_pairs(rest, texts, size, percent).join(before, ["a", "b"], "left_anti")
-    pairs = written(_estimated(pairs, classes, percent), "pairs")
+    pairs = written(_estimated(pairs, candidates, percent), "pairs")
     more = written(_verified(pairs, texts, size, percent), "confirmed")
     if not more.isEmpty():
         found = written(components(links.unionByName(more)), "components")
