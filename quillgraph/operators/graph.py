@@ -1,12 +1,13 @@
 """Graph operators over ``nodes (id, label, name, module_id)`` and ``edges (src_id, dst_id, type, confidence)``.
 
 Traversals are frontier joins: each round joins the frontier with the edges, and depth is at most four. Results of a round are
-cut off from their lineage by a checkpoint in the session's shared folder.
+cut off from their lineage by a table in the session's shared folder.
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -32,9 +33,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` as a reliable checkpoint: later rounds and lost executors read it instead of repeating what led to it."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """``df`` as a table in the shared folder: later rounds and lost executors read it instead of repeating what led to it.
+
+    Written once; a checkpoint would compute ``df`` a second time.
+    """
+    path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
