@@ -29,6 +29,7 @@ def _headings(*words: str) -> tuple[str, ...]:
     return tuple(rf"(?im)^[#\s\d.]*{w}\b" for w in words)
 
 
+# The kinds of documents, the names of their sections, what these focus on and which are required. The patterns are our own.
 TEMPLATES = (
     Template("lecture_notes", _headings("lecture", "course", "week", "chapter", "learning objectives", "professor", "lesson"), (
         Section("Introduction", _headings("introduction", "overview", "background", "motivation"), ("Topic",), True),
