@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, htmltext, langid, media, mixing, neardup, packing, shards, topk, urlfilter
+from . import audit, chat, htmltext, langid, media, mixing, neardup, packing, shards, topk, urlfilter
 
 QUERIES = {
     "op1_exact_topk": topk.query,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_minhash_dedup": neardup.query,
     "op9_mixing": mixing.query,
     "op10_language_id": langid.query,
+    "op13_filter_audit": audit.query,
 }
 
 ORACLES = {
     "op1_exact_topk": topk.ORACLE,
     "op4_chat_formatting": chat.ORACLE,
+    "op13_filter_audit": audit.ORACLE,
 }
