@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audit, chat, htmltext, langid, media, mixing, neardup, packing, shards, topk, urlfilter
+from . import audit, chat, htmltext, langid, lexical, media, mixing, neardup, packing, shards, topk, urlfilter
 
 QUERIES = {
     "op1_exact_topk": topk.query,
@@ -15,11 +15,13 @@ QUERIES = {
     "op8_minhash_dedup": neardup.query,
     "op9_mixing": mixing.query,
     "op10_language_id": langid.query,
+    "op11_lexical_search": lexical.query,
     "op13_filter_audit": audit.query,
 }
 
 ORACLES = {
     "op1_exact_topk": topk.ORACLE,
     "op4_chat_formatting": chat.ORACLE,
+    "op11_lexical_search": lexical.ORACLE,
     "op13_filter_audit": audit.ORACLE,
 }
