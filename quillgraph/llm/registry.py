@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audit, chat, htmltext, langid, lexical, media, mixing, neardup, packing, shards, topk, urlfilter
+from . import audit, chat, htmltext, langid, lexical, media, mixing, neardup, packing, privacy, shards, topk, urlfilter
 
 QUERIES = {
     "op1_exact_topk": topk.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_mixing": mixing.query,
     "op10_language_id": langid.query,
     "op11_lexical_search": lexical.query,
+    "op12_pii": privacy.query,
     "op13_filter_audit": audit.query,
 }
 
