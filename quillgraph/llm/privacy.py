@@ -197,3 +197,36 @@ def sanitised(docs: DataFrame, text: str = "text", **options) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find(table(spark, sf_dir, "documents"), ["doc_id"])).select("row.doc_id", *[f"n_{k}" for k in KINDS[:4]], "base_sha256", "spans")
+
+
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+raw AS (
+  SELECT r, 0 AS kind, string_split_regex(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS g, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS v FROM d
+  UNION ALL SELECT r, 1, string_split_regex(t, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)'), regexp_extract_all(t, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)') FROM d
+  UNION ALL SELECT r, 2, string_split_regex(t, '[0-9](?:[\x20-]?[0-9])+'), regexp_extract_all(t, '[0-9](?:[\x20-]?[0-9])+') FROM d
+  UNION ALL SELECT r, 3, string_split_regex(t, '\+[0-9][\x20().0-9-]+[0-9]'), regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]') FROM d
+  UNION ALL SELECT r, -1, string_split_regex(t, '\p{L}[\p{L}\p{M}\p{N}]{2,}'), regexp_extract_all(t, '\p{L}[\p{L}\p{M}\p{N}]{2,}') FROM d),
+m AS (SELECT r, kind, generate_subscripts(v, 1) AS i, unnest(g[1:len(v)]) AS gap, unnest(v) AS v FROM raw WHERE len(v) > 0),
+pos AS (SELECT *, regexp_replace(v, '[^0-9]', '', 'g') AS digits, (sum(length(gap) + length(v)) OVER (PARTITION BY r, kind ORDER BY i))::BIGINT AS e FROM m),
+base AS (SELECT r, kind, e - length(v) AS s, e, kind || ':' || CASE kind WHEN 0 THEN lower(v) WHEN 1 THEN v ELSE digits END AS who FROM pos
+  WHERE CASE kind WHEN 0 THEN true WHEN 1 THEN list_max([x::HUGEINT FOR x IN string_split(v, '.')]) <= 255 WHEN 3 THEN len(digits) BETWEEN 10 AND 15
+    WHEN 2 THEN len(digits) BETWEEN 14 AND 19 AND list_sum([CASE WHEN i % 2 = 0 THEN substr(reverse(digits), i + 1, 1)::INT
+      ELSE 2 * substr(reverse(digits), i + 1, 1)::INT - CASE WHEN substr(reverse(digits), i + 1, 1)::INT > 4 THEN 9 ELSE 0 END END FOR i IN range(len(digits))]) % 10 = 0 ELSE false END),
+free AS (SELECT r, s, e, word, row_number() OVER (PARTITION BY r ORDER BY s) AS idx FROM (SELECT r, e - length(v) AS s, e, lower(v) AS word FROM pos WHERE kind = -1 AND r IN (SELECT r FROM base)) x
+  WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = x.r AND b.s < x.e AND x.s < b.e)),
+placed AS (SELECT b.r, b.who, (SELECT count(*) FROM free f WHERE f.r = b.r AND f.s < b.s) AS before FROM base b),
+near AS (SELECT DISTINCT p.r, who, word FROM placed p JOIN free f ON f.r = p.r AND f.idx > p.before - 10 AND f.idx <= p.before + 10),
+pairs AS (SELECT who, word, count(*) AS n_et FROM near JOIN d USING (r) GROUP BY who, word HAVING count(DISTINCT t) >= 2),
+n_e AS (SELECT who, count(DISTINCT r) AS n_e FROM base GROUP BY who),
+n_t AS (SELECT lower(v) AS word, count(DISTINCT r) AS n_t FROM pos WHERE kind = -1 GROUP BY ALL),
+n AS (SELECT count(*)::DOUBLE AS n FROM d),
+told AS (SELECT who, word, CASE WHEN x >= 0.9 THEN 5 ELSE 4 END AS kind
+  FROM (SELECT who, word, round(ln(n_et * n / (n_e * n_t)) / ln(n / n_e), 9) AS x FROM pairs JOIN n_e USING (who) JOIN n_t USING (word), n WHERE n_e < n) y WHERE x >= 0.75),
+more AS (SELECT f.r, max(told.kind) AS kind, f.s, f.e FROM free f JOIN told USING (word) JOIN (SELECT DISTINCT r, who FROM base) h ON h.r = f.r AND h.who = told.who GROUP BY f.r, f.s, f.e),
+spans AS (SELECT r, kind, s, e FROM base UNION ALL SELECT r, kind, s, e FROM more),
+named AS (SELECT *, ['email', 'ip', 'card', 'phone', 'generalised', 'removed'][1 + kind] || ':' || s || ':' || e AS x FROM spans)
+SELECT doc_id, count(*) FILTER (kind = 0) AS n_email, count(*) FILTER (kind = 1) AS n_ip, count(*) FILTER (kind = 2) AS n_card, count(*) FILTER (kind = 3) AS n_phone,
+  sha256(coalesce(string_agg(x, ',' ORDER BY s, kind, e) FILTER (kind < 4), '')) AS base_sha256, coalesce(string_agg(x, ',' ORDER BY s, kind, e), '') AS spans
+FROM d LEFT JOIN named USING (r) GROUP BY r, doc_id
+"""

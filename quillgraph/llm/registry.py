@@ -24,5 +24,6 @@ ORACLES = {
     "op1_exact_topk": topk.ORACLE,
     "op4_chat_formatting": chat.ORACLE,
     "op11_lexical_search": lexical.ORACLE,
+    "op12_pii": privacy.ORACLE,
     "op13_filter_audit": audit.ORACLE,
 }
