@@ -1,16 +1,16 @@
 """HTML extraction by line-block distribution.
 
 Markup is stripped to lines, one for each block element. A line's weight is the length of its text without white space and
-without link text. Weights are summed over a sliding window of lines; the text surges where the sum rises over a threshold and
-dives where it falls to nothing, and what lies between is the main text. That search decides on every page; markup only changes weights:
+without link text. Weights are summed over a sliding window of lines; the text surges where a window's sum rises over a threshold and
+dives where it falls again, and what lies between is the main text. Markup never decides by itself which lines are text; it takes whole containers out and changes weights:
 
 * a line in a container that cannot be main text (navigation, footers, asides, forms, page headers, and elements whose class, id or role names
-  an advert, notice, menu, sidebar or reader comments) has no weight and no place; inside an article only containers with a class or role that is such a
-  name as a whole;
-* a line in an article or main element counts with all its text, links included, and with ``SURGE`` more, so that the text surges at its first line and
-  cannot dive before its last, however short its paragraphs are;
-* where such lines have at least half of the page's text, all others keep a ``FAINT`` part of their weight, and the text dives as soon as the sum
-  is under the threshold again: beside an article only a block that is long for itself is text.
+  an advert, notice, menu, sidebar or reader comments) has no weight and no place. Inside an article fewer names count, as parts of a class, so that
+  text is not lost to common words: ``STRONG`` ones, whole names in ``NARROW``, and whole ids in ``IDS`` (other ids are made from titles);
+* a line in an article or main element counts with all its text, links included, and with a ``LIFT`` part of the threshold more. One such line is below the threshold
+  unless it is long; three short ones in a row are above it. So short paragraphs stand as long as a window of them is text, and a stray one is not;
+* where such lines have at least half of the page's text (a marked page), all others keep a ``FAINT`` part of their weight, and the text dives as soon as no
+  window that covers a line is over the threshold: beside an article only a block that is long for itself is text. On other pages it dives where a window is empty.
 
 Between surge and dive a line without weight is left out if others like it stand beside it (a list of links); one alone between lines of text stays.
 
@@ -36,8 +36,8 @@ from ._shared import table
 
 WINDOW = 3
 SURGE = 86
-#: What is left of the weight of lines beside an article.
-FAINT = 0.05
+#: What is left of the weight of lines beside an article, and what a line inside has more, as a part of the threshold.
+FAINT, LIFT = 0.05, 0.4
 
 # Element names of the HTML standard.
 BLOCKS = frozenset(
@@ -66,10 +66,14 @@ NAMES = frozenset(
 
 #: Whole classes or roles that mark a container inside an article as something else.
 NARROW = frozenset(
-    "ad ads advert advertisement adsbygoogle ad-slot ad-container sponsored promo promoted cookie-notice cookie-banner cookie-consent newsletter-signup "
+    "ad ads advert advertisement adsbygoogle ad-slot ad-container ad-box ad-unit ad-wrapper ad-block sponsored promo promoted cookie-notice cookie-banner cookie-consent newsletter-signup "
     "share-buttons social-share sharing-buttons related-posts related-articles recommended-articles breadcrumb breadcrumbs pagination "
     "comments comment-list comments-area comment-form disqus_thread navigation complementary".split()
 )
+#: What marks such a container as the first or last part of a class or role.
+STRONG = frozenset("comments comment replies cookie cookies consent gdpr sidebar banner advert adverts advertisement advertising sponsored newsletter".split())
+#: Whole ids that mark one; other ids come from titles.
+IDS = frozenset("comments comment-list disqus_thread respond sidebar newsletter cookie-banner cookie-notice cookie-bar related-posts".split())
 #: Where the narrow names are looked for inside an article.
 CONTAINERS = frozenset("div section aside ul ol dl table".split())
 #: Never containers: outside of an article the narrow names alone mark them.
@@ -117,12 +121,16 @@ def _is_narrow(attributes: str) -> bool:
     return any(word in NARROW for kind, *found in _MARKS.findall(attributes) if kind.lower() != "id" for word in "".join(found).lower().split())
 
 
+def _has_id(attributes: str) -> bool:
+    return any(kind.lower() == "id" and "".join(found).strip().lower() in IDS for kind, *found in _MARKS.findall(attributes))
+
+
 def _left_out(name: str, attributes: str, inside: bool) -> bool:
     """Whether an element that may hold main text by its name is marked as something else."""
     if name in HEADINGS or name in ("html", "body"):
         return False
     if inside:
-        return name in CONTAINERS and _is_narrow(attributes)
+        return name in CONTAINERS and (_is_narrow(attributes) or _is_marked(attributes, STRONG, ids=False) or _has_id(attributes))
     if name in TEXTS:
         return _is_narrow(attributes)
     return _is_marked(attributes, ids=name != "section")  # a section's id is made from its title
@@ -214,24 +222,25 @@ def lines(page: str) -> list[Line]:
 
 def weighed(found: list[Line], surge: float = SURGE) -> tuple[list[float], bool]:
     """The lines' weights, and whether the page's text lies in marked elements."""
-    own = [max(0, len("".join(x.text.split())) - x.linked) for x in found]
+    full = [len("".join(x.text.split())) for x in found]
+    own = [max(0, n - x.linked) for x, n in zip(found, full, strict=True)]
     inside = sum(w for x, w in zip(found, own, strict=True) if x.main)
     marked = any(x.main for x in found) and 2 * inside >= sum(own)
-    return [surge + len(x.text) if x.main else w * (FAINT if marked else 1) for x, w in zip(found, own, strict=True)], marked
+    return [LIFT * surge + n if x.main else w * (FAINT if marked else 1) for x, n, w in zip(found, full, own, strict=True)], marked
 
 
 def spans(weights: list[float], window: int = WINDOW, surge: float = SURGE, marked: bool = False) -> list[tuple[int, int]]:
     """Half-open spans of lines between surge and dive points of the windowed sums."""
     sums = [sum(weights[i : i + window]) for i in range(len(weights))]
     threshold = min(surge, max(sums, default=0) / 2)
-    low = threshold if marked else 0
     found, at = [], 0
     while at < len(sums):
-        if weights[at] > low and sums[at] > threshold:
+        if (marked or weights[at] > 0) and sums[at] > threshold:
             start = at
-            while at < len(sums) and sums[at] > low:
+            while at < len(sums) and sums[at] > (threshold if marked else 0):
                 at += 1
-            found.append((start, at))
+            # the last window that is over the threshold is text to its end
+            found.append((start, min(len(sums), at + window - 1) if marked else at))
         else:
             at += 1
     return found
@@ -240,13 +249,13 @@ def spans(weights: list[float], window: int = WINDOW, surge: float = SURGE, mark
 def main_text(page: str | None, window: int = WINDOW, surge: float = SURGE) -> str:
     found = lines(page or "")
     weights, marked = weighed(found, surge)
-    kept = []
+    kept: dict[int, str] = {}
     for first, stop in spans(weights, window, surge, marked):
         for i in range(first, stop):
             around = [weights[j] > 0 for j in (i - 1, i + 1) if first <= j < stop]
             if found[i].main or weights[i] > (surge if marked else 0) or not marked and not weights[i] and around == [True, True]:
-                kept.append(found[i].text)
-    return "\n\n".join(kept)
+                kept[i] = found[i].text
+    return "\n\n".join(kept.values())
 
 
 def extract(df: DataFrame, keep: list[str], html: str = "html") -> DataFrame:

@@ -386,6 +386,32 @@ def test_no_text_of_the_page_is_lost(page, text):
     assert htmltext.main_text(page.replace("LONG", long)) == text.replace("LONG", long)
 
 
+@pytest.mark.parametrize("aside", [
+    "<section id='comments'><h2>Comments</h2><p>Nice one!</p></section>", "<div class='user-comments'><p>I agree</p></div>", "<div class='cookie-bar'>We use cookies</div>",
+    "<div class='ad-banner'><p>Buy now</p></div>", "<div class='sidebar'><p>More</p></div>", "<ul class='share-buttons'><li>Share</li></ul>", "<div role='complementary'>x</div>",
+    "<div class='articleComments'><p>First!</p></div>", "<form><p>Your mail</p></form>", "<div class='post newsletter-signup'>Join</div>",
+])
+@pytest.mark.parametrize("element", ["article", "main"])
+def test_what_is_no_article_inside_an_article_goes(element, aside):
+    page = f"<{element}><h1>T</h1><p>one</p>{aside}<p>two</p><div class='no-sidebar with-comments'><p>three</p></div></{element}>"
+    assert htmltext.main_text(page) == "T\n\none\n\ntwo\n\nthree"
+
+
+def test_windows_decide_on_marked_pages():
+    body = "".join(f"<p>{' '.join(WORDS)}</p>" for _ in range(4))
+    beside = "".join(f"<div>beside {i}</div>" for i in range(4))
+    page = f"<article><h1>Title</h1>{body}<p>so</p><p>he</p><p>said</p></article>{beside}<article><p>stray</p></article>{beside}"
+    long = ["Title", *[" ".join(WORDS)] * 4]
+    by_window = {w: htmltext.main_text(page, window=w).split("\n\n") for w in (1, 2, 3, 12)}
+    assert by_window[3] == [*long, "so", "he", "said"]  # a short line needs short lines beside it
+    assert by_window[1] == long[1:]  # on their own short lines are not text
+    assert by_window[2] == [*long, "so"]
+    assert by_window[12] == [*long, "so", "he", "said", "stray"]  # a wide window still has the article's end in it
+    # the threshold decides, too: three lines of which none is long are text or not by their sum
+    few = f"<article>{body * 30}</article>{beside}<article><p>{'a' * 20}</p><p>{'b' * 20}</p></article>"
+    assert "a" * 20 in htmltext.main_text(few, surge=40) and "a" * 20 not in htmltext.main_text(few, surge=400)
+
+
 def test_main_text_of_the_pages_equals_their_articles(spark):
     import html
 
