@@ -4,7 +4,8 @@
    excess is shared again by weight, until none is above. That fixed point is a water level: with the sources in order
    of ``limit / weight``, running sums give the level directly.
 2. Quotas: equal blocks of words go to the sources by highest quotients ``target / (2 k + 1)``, and each source's
-   blocks to its shards in the same way, by the shards' sizes. Rounding to the nearest block gives a correct apportionment
+   blocks to its shards in the same way, by the shards' sizes. Sources of one scale (targets within a factor of ``SCALE``) share blocks of one size, the ``SCALE``-th part of
+   the least such target or one word, so that small sources beside large ones come as near to their targets. Rounding to the nearest block gives a correct apportionment
    for some total near the wanted one; the few blocks that are missing (or too many) then follow from the next (or
    last) quotients. The number of candidate quotients is linear in the number of parties.
 3. Selection: a shard's documents stand in seeded order as one stream of words; its quota takes whole passes over the
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 from ._shared import CHUNK, WORD, chunked, grouped_rows, table, written
 
 WEIGHTS = (5, 2, 1)
-#: About so many blocks in all: a block is the millionth part of all words, or one word.
-BLOCKS = 1_000_000
+#: A source has between so many blocks and the square of that, or blocks of one word.
+SCALE = 1000
 #: Rows a shard of a source has on average: so many, or more where the cells would become more than ``MAX_CELLS``.
 SHARD_ROWS, MAX_CELLS = 2048, 20_000
 KEY = ["doc_id", "source", "size", "h"]
@@ -118,17 +119,18 @@ def _placed(rows: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
 
 
 def planned(
-    groups: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = 3, seed: int = 17, blocks: int = BLOCKS,
+    groups: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = 3, seed: int = 17, scale: int = SCALE,
     shard_rows: int = SHARD_ROWS, max_cells: int = MAX_CELLS, chunk: int = CHUNK,
 ) -> Plan:
     """Targets, quotas and cuts for what ``sized`` gives."""
     stats = groups.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("source_rows"))
     aimed = targets(stats.select("source", "source_size"), weights, max_repeats)
-    total = F.sum("source_size").over(Window.partitionBy())
-    # seats: a number for all, so that each source's target is a whole number of blocks but for rounding
-    block = F.greatest(F.lit(1), F.floor(total / blocks)).cast("long")
-    seats = aimed.withColumn("block", block).withColumn("_seats", F.round(F.sum("target").over(Window.partitionBy()) / F.col("block")).cast("long"))
-    by_source = apportion(seats.withColumn("_all", F.lit(0)), ["_all"], ["source"], "target", "_seats", "quota").drop("_all", "_seats")
+    # seats: a number for each scale, so that each source's target is a whole number of blocks but for rounding
+    level = F.floor(F.ln(F.greatest(F.col("target"), F.lit(1.0))) / F.ln(F.lit(float(scale))) + 1e-9).cast("int")
+    block = F.greatest(F.lit(1.0), F.pow(F.lit(float(scale)), F.col("_scale") - 1)).cast("long")
+    seats = aimed.withColumn("_scale", level).withColumn("block", block)
+    seats = seats.withColumn("_seats", F.round(F.sum("target").over(Window.partitionBy("_scale")) / F.col("block")).cast("long"))
+    by_source = apportion(seats, ["_scale"], ["source"], "target", "_seats", "quota").drop("_scale", "_seats")
     rows_a_shard = F.greatest(F.lit(float(shard_rows)), F.sum("source_rows").over(Window.partitionBy()) / max_cells)
     counted = stats.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_rows") / rows_a_shard)).cast("long"))
     sources = by_source.alias("a").join(counted.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.*", "b.shards")

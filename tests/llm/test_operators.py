@@ -650,6 +650,21 @@ def test_mixing_reaches_targets(spark):
     assert rows(mixing.mix(mixing.sized(df.limit(0)))) == []
 
 
+def test_small_sources_beside_large_ones_reach_their_targets(spark):
+    # sizes as the plan sees them: 60 million words, 3 words, and scales between
+    groups = [(i, "large", 6000, i, 10_000) for i in range(1)] + [(9, "tiny", 3, 1, 1), (10, "small", 7, 2, 30), (11, "mid", 500, 3, 90), (12, None, 1, 4, 1), (13, "empty", 0, 5, 4)]
+    groups += [(100 + i, f"s{i:02}", 10 ** (i % 5) + i, i, 1) for i in range(40)]
+    df = spark.createDataFrame(groups, "doc_id long, source string, size long, h long, n long")
+    size, taken, target = Counter(), Counter(), {}
+    for r in mixing.with_taken(df, mixing.planned(df)).collect():
+        size[r.source] += r["size"] * r.n
+        taken[r.source] += r.taken * r.n
+        target[r.source] = r.target
+        assert 0 <= r.taken <= 3 * r["size"]
+    assert size["tiny"] == 3 and target["tiny"] == 9 == taken["tiny"]
+    assert all(abs(taken[s] - target[s]) <= max(1, 0.01 * target[s]) for s in size)
+
+
 def test_apportionment_equals_highest_quotients(spark):
     import heapq
 
