@@ -14,7 +14,7 @@ The queries come in chunks of a bounded size, which are sent to every task; bloc
 each query over all its blocks. What is shuffled is each row once, on packing, and k scores for each task and query.
 
 Defined results: vectors that are null, or hold null or non-finite components, take no part, nor do rows without id; rows that
-repeat an id count once (the smallest vector); vectors of different lengths have no product; equal scores rank by smaller id; a
+repeat an id are different rows: each is a candidate, and each that is asked is a query by itself, whose own row alone is no candidate; vectors of different lengths have no product; equal scores rank by smaller id; a
 query finds fewer than k rows if there are fewer; the empty table gives an empty table; other columns are ignored. Scores
 are exact; where floating point could round (sums of 2**53 or more) whole numbers of any length are used, and scores beyond 64 bits end there.
 """
@@ -27,7 +27,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import table, written
@@ -36,49 +36,48 @@ from ._shared import table, written
 QUERY_ROWS, BLOCK_ROWS, TASK_BLOCKS = 2048, 4096, 4
 #: Bytes of query blocks that are sent to every task at once (about); with TASK_BLOCKS they bound the pairs of blocks that a task holds.
 CHUNK_BYTES = 8 << 20
-_BLOCK = "dim int, ids binary, vectors binary"
+_BLOCK = "dim int, ids binary, rows binary, vectors binary"
 
 
-def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """``id, v`` with one row per id, finite components only."""
+def usable(df: DataFrame, key: str, vector: str, asked: Column) -> DataFrame:
+    """``id, v, row, asked``: rows of finite components, each with a number of its own; written, so that the numbers stay."""
     v = F.col(vector).cast("array<double>")
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = df.select(F.col(key).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & ~bad)
-    return rows.groupBy("id").agg(F.min("v").alias("v"))
+    rows = df.select(F.col(key).cast("long").alias("id"), v.alias("v"), F.coalesce(asked, F.lit(False)).alias("asked"))
+    rows = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & ~bad)
+    return written(rows.withColumn("row", F.monotonically_increasing_id()), "topk-usable")
 
 
 def blocks(rows: DataFrame, size: int, scale: float) -> DataFrame:
-    """Packs ``id, v`` to blocks of ``size`` rows of one length, with components ``floor(scale * x)``."""
+    """Packs ``id, v, row`` to blocks of ``size`` rows of one length, with components ``floor(scale * x)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[int, list] = {}
 
         def block(dim: int, parts: list) -> pa.RecordBatch:
-            ids = np.concatenate([p[0] for p in parts])
-            vectors = np.concatenate([p[1] for p in parts])
-            columns = [pa.array([dim], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([vectors.tobytes()], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, names=["dim", "ids", "vectors"])
+            arrays = [np.concatenate([p[i] for p in parts]).tobytes() for i in range(3)]
+            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), *(pa.array([a], pa.binary()) for a in arrays)], names=["dim", "ids", "rows", "vectors"])
 
         for batch in batches:
-            ids, lists = batch.column(0).to_numpy(), batch.column(1)
+            ids, lists, numbers = batch.column(0).to_numpy(), batch.column(1), batch.column(2).to_numpy()
             lengths = np.diff(lists.offsets.to_numpy())
             flat, starts = lists.values.to_numpy(), lists.offsets.to_numpy()[:-1]
             for dim in np.unique(lengths).tolist():
                 at = np.flatnonzero(lengths == dim)
                 values = np.floor(scale * flat[starts[at][:, None] + np.arange(dim)])
                 parts = waiting.setdefault(dim, [])
-                parts.append((ids[at].astype("<i8"), values.astype("<f8")))
+                parts.append((ids[at].astype("<i8"), numbers[at].astype("<i8"), values.astype("<f8")))
                 if sum(len(p[0]) for p in parts) >= size:
-                    all_ids, all_values = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-                    whole = len(all_ids) // size * size
-                    for k in range(0, whole, size):
-                        yield block(dim, [(all_ids[k : k + size], all_values[k : k + size])])
-                    waiting[dim] = [(all_ids[whole:], all_values[whole:])]
+                    whole = [np.concatenate([p[i] for p in parts]) for i in range(3)]
+                    n = len(whole[0]) // size * size
+                    for k in range(0, n, size):
+                        yield block(dim, [tuple(a[k : k + size] for a in whole)])
+                    waiting[dim] = [tuple(a[n:] for a in whole)]
         for dim, parts in waiting.items():
             if sum(len(p[0]) for p in parts):
                 yield block(dim, parts)
 
-    return rows.select("id", "v").mapInArrow(run, _BLOCK)
+    return rows.select("id", "v", "row").mapInArrow(run, _BLOCK)
 
 
 class Found(NamedTuple):
@@ -88,7 +87,7 @@ class Found(NamedTuple):
     depth: int  # how many entries of each list were read
 
 
-def _order(x: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _order(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each component as a sorted list: row numbers and values, dim x n, ascending."""
     order = np.argsort(x, axis=0, kind="stable").T
     return np.ascontiguousarray(order), np.take_along_axis(x.T, order, axis=1)
@@ -126,22 +125,26 @@ def _search_one(x: np.ndarray, ids: np.ndarray, order: np.ndarray, values: np.nd
         entry = weight * values[used, np.where(down, n - depth, depth - 1)] - worst
 
 
-def no_random_access(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, floors: np.ndarray | None = None) -> list[Found]:
+def no_random_access(
+    ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, floors: np.ndarray | None = None, rows: np.ndarray | None = None, order: tuple | None = None
+) -> list[Found]:
     """Every row of the block that can be among a query's k best, best first, at most k.
 
-    ``floors``: scores that a query's k best have elsewhere already; it is raised to what this block shows.
+    ``floors``: scores that a query's k best have elsewhere already; it is raised to what this block shows. ``rows``: numbers by which queries know their
+    own row (the ids, if none are given). ``order``: the block's sorted lists, if they are known.
     """
+    rows = ids if rows is None else rows
     floors = np.full(len(q), -np.inf) if floors is None else floors
     limits = np.iinfo(np.int64)
     if float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(1, x.shape[1]) >= 2.0**53:
         whole = [[int(v) for v in row] for row in x.tolist()]
         found = []
         for ident, weights in zip(query_ids.tolist(), q.tolist(), strict=True):
-            sums = [(max(limits.min, min(limits.max, sum(v * int(w) for v, w in zip(row, weights, strict=True)))), i) for row, i in zip(whole, ids.tolist(), strict=True) if i != ident]
+            sums = [(max(limits.min, min(limits.max, sum(v * int(w) for v, w in zip(row, weights, strict=True)))), i) for row, i, n in zip(whole, ids.tolist(), rows.tolist(), strict=True) if n != ident]
             found += [Found(ident, i, score, len(ids)) for score, i in sorted(sums, key=lambda s: (-s[0], s[1]))[:k]]
         return found
-    order, values = _order(x, ids)
-    places = {ident: at for at, ident in enumerate(ids.tolist())}
+    order, values = order or _order(x)
+    places = {number: at for at, number in enumerate(rows.tolist())}
     found = []
     for at, ident in enumerate(query_ids.tolist()):
         left, scores, depth = _search_one(x, ids, order, values, places.get(ident, -1), q[at], k, floors[at])
@@ -158,59 +161,62 @@ def _best_of_task(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         floors: dict[bytes, np.ndarray] = {}
         best: dict[int, list[tuple[int, int]]] = {}
+        names: dict[int, int] = {}
+        last, order = b"", None
         for batch in batches:
-            for q_dim, q_ids, q_vectors, ids, vectors in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                query_ids, row_ids = np.frombuffer(q_ids, "<i8"), np.frombuffer(ids, "<i8")
-                floor = floors.setdefault(q_ids, np.full(len(query_ids), -np.inf))
-                x, q = np.frombuffer(vectors, "<f8").reshape(len(row_ids), q_dim), np.frombuffer(q_vectors, "<f8").reshape(len(query_ids), q_dim)
-                for f in no_random_access(row_ids, x, query_ids, q, k, floor):
+            for q_dim, q_ids, q_rows, q_vectors, ids, rows, vectors in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                queries, numbers = np.frombuffer(q_rows, "<i8"), np.frombuffer(ids, "<i8")
+                names.update(zip(queries.tolist(), np.frombuffer(q_ids, "<i8").tolist(), strict=True))
+                floor = floors.setdefault(q_rows, np.full(len(queries), -np.inf))
+                x, q = np.frombuffer(vectors, "<f8").reshape(len(numbers), q_dim), np.frombuffer(q_vectors, "<f8").reshape(len(queries), q_dim)
+                if rows != last:  # blocks of queries follow each other for one block of rows
+                    last, order = rows, _order(x)
+                for f in no_random_access(numbers, x, queries, q, k, floor, np.frombuffer(rows, "<i8"), order):
                     best.setdefault(f.query, []).append((-f.score, f.row))
-                for ident in query_ids.tolist():
-                    if len(best.get(ident, ())) > k:
-                        best[ident] = sorted(best[ident])[:k]
-        flat = [(query, row, -score) for query, found in best.items() for score, row in found]
+                for number in queries.tolist():
+                    if len(best.get(number, ())) > k:
+                        best[number] = sorted(best[number])[:k]
+        flat = [(number, names[number], row, -score) for number, found in best.items() for score, row in found]
         for first in range(0, len(flat), 65_536):
             columns = list(zip(*flat[first : first + 65_536], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["q_row", "query_id", "vec_id", "score"])
 
     return run
 
 
-def search(df: DataFrame, queries: DataFrame, k: int, scale: float = 256.0, key: str = "vec_id", vector: str = "embedding", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """``query_id, rank, vec_id, score``: each query's k best rows of ``df``, but for the row of its own id."""
-    rows, asked = usable(df, key, vector), usable(queries, key, vector)
+def search(df: DataFrame, asked: Column, k: int, scale: float = 256.0, key: str = "vec_id", vector: str = "embedding", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """``query_id, rank, vec_id, score``: of each row for which ``asked`` holds the k best other rows."""
+    rows = usable(df, key, vector, asked)
     row_blocks = written(blocks(rows, BLOCK_ROWS, scale), "topk-rows")
     row_blocks = row_blocks.repartition(max(1, -(-row_blocks.count() // TASK_BLOCKS)))  # packing may leave few splits
-    query_blocks = written(blocks(asked, QUERY_ROWS, scale), "topk-queries")
-    size = query_blocks.agg(F.coalesce(F.sum(F.octet_length("vectors") + F.octet_length("ids")), F.lit(0))).first()[0]
+    query_blocks = written(blocks(rows.where("asked"), QUERY_ROWS, scale), "topk-queries")
+    size = query_blocks.agg(F.coalesce(F.sum(F.octet_length("vectors") + 2 * F.octet_length("ids")), F.lit(0))).first()[0]
     chunks = max(1, -(-size // chunk_bytes))
     parts = []
     for chunk in range(chunks):
-        mine = query_blocks.where(F.pmod(F.xxhash64("ids"), F.lit(chunks)) == chunk).select(
-            F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")
-        )
+        mine = query_blocks.where(F.pmod(F.xxhash64("rows"), F.lit(chunks)) == chunk).select(*[F.col(c).alias(f"q_{c}") for c in query_blocks.columns])
         pairs = row_blocks.join(F.broadcast(mine), F.col("dim") == F.col("q_dim"))  # about chunk_bytes: checked above
-        parts.append(written(pairs.select("q_dim", "q_ids", "q_vectors", "ids", "vectors").mapInArrow(_best_of_task(k), "query_id long, vec_id long, score long"), "topk-part"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        pairs = pairs.select("q_dim", "q_ids", "q_rows", "q_vectors", "ids", "rows", "vectors")
+        parts.append(written(pairs.mapInArrow(_best_of_task(k), "q_row long, query_id long, vec_id long, score long"), "topk-part"))
+    best = Window.partitionBy("q_row").orderBy(F.desc("score"), "vec_id")
     ranked = reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(best))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return search(rows, rows.where(F.col("vec_id") % 50 == 0), k=5)
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
 ORACLE = """
 WITH ok AS (
-  SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
+  SELECT row_number() OVER () AS n, vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
   WHERE embedding IS NOT NULL AND NOT coalesce(list_bool_or([x IS NULL OR NOT isfinite(x) FOR x IN embedding]), false)
 ), scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id,
+  SELECT q.n, q.vec_id AS query_id, c.vec_id,
          list_sum([p[1] * p[2] FOR p IN list_zip(q.v, c.v)])::BIGINT AS score
-  FROM ok q JOIN ok c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+  FROM ok q JOIN ok c ON q.vec_id % 50 = 0 AND c.n <> q.n AND c.vec_id IS NOT NULL
 ), ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored
+  SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
