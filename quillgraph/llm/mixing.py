@@ -154,8 +154,11 @@ def planned(
     return Plan(sources, written(every, "mix-cuts"), max_repeats, seed, chunk)
 
 
-def with_taken(groups: DataFrame, plan: Plan) -> DataFrame:
-    """``groups`` (``KEY, n`` and more) with ``source_size, target, taken`` and ``n``, the number of rows that give so much."""
+def with_taken(groups: DataFrame, plan: Plan, *more: str) -> DataFrame:
+    """``groups`` (``KEY, n`` and more) with ``source_size, target, taken`` and ``n``, the number of rows that give so much.
+
+    A group over ``plan.chunk`` rows gives several rows, for its chunks; ``more`` may name ``chunk``, and ``first``, the chunk's rows that come before these.
+    """
     placed = _placed(chunked(groups, "n", "chunk", plan.chunk), plan.sources, plan.seed)
     cells = plan.cells.withColumnRenamed("source", "cell_source").withColumnRenamed("shard", "cell_shard")
     both = placed.join(cells, F.col("source").eqNullSafe(F.col("cell_source")) & (F.col("shard") == F.col("cell_shard")))
@@ -166,8 +169,10 @@ def with_taken(groups: DataFrame, plan: Plan) -> DataFrame:
     part = F.when(at_cut, F.pmod(F.col("cut_words"), size)).otherwise(0).cast("long")
     some = (part > 0).cast("long")
     kinds = F.array(*[F.struct(t.cast("long").alias("taken"), k.cast("long").alias("n")) for t, k in ((base + size, full), (base + part, some), (base, n - full - some))])
-    out = both.withColumn("_kind", F.explode(F.filter(kinds, lambda x: x["n"] > 0)))
-    return out.select(*[c for c in groups.columns if c != "n"], "source_size", "target", "_kind.taken", "_kind.n")
+    before = F.array(F.lit(0).cast("long"), full, full + some)
+    kinds = F.zip_with(kinds, before, lambda x, b: F.struct(x["taken"].alias("taken"), x["n"].alias("n"), b.alias("first")))
+    out = both.withColumn("_kind", F.explode(F.filter(kinds, lambda x: x["n"] > 0))).withColumn("first", F.col("_kind.first"))
+    return out.select(*[c for c in groups.columns if c != "n"], "source_size", "target", "_kind.taken", "_kind.n", *more)
 
 
 def mix(groups: DataFrame, **options) -> DataFrame:

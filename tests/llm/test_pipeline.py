@@ -97,3 +97,30 @@ def test_each_row_is_mixed_by_its_own_size(spark, folder):
     taken = mixing.mix(mixing.sized(docs)).where("doc_id is null").collect()
     assert all(n <= 3 * size[name] for name, n in got.items())
     assert sorted((size[name], n) for name, n in got.items()) == sorted((r["size"], r.taken) for r in taken if r.taken)
+
+
+def test_alike_rows_keep_their_own_columns(spark, folder):
+    rows = [(5, "r " * 7, "s0", f"L{i}") for i in range(25)] + [(None, "q " * 3, "s1", f"M{i % 4}") for i in range(12)] + [(i, "x " * 50, "s1", "N") for i in range(100, 160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lic string").repartition(5)
+    out = [(r.doc_id, r.lic, len(r.text.split())) for r in corpus_pipeline.mix(spark, docs, folder).collect()]
+    got, expected = {}, {}
+    for ident, lic, n in out:
+        got.setdefault(ident, {}).setdefault(lic, []).append(n)
+    for ident, text, _, lic in rows:
+        expected.setdefault(ident, {}).setdefault(lic, []).append(len(text.split()))
+    mixed = mixing.mix(mixing.sized(docs)).collect()
+    for ident in (5, None):
+        taken = sum(r.taken for r in mixed if r.doc_id == ident)
+        assert sum(sum(x) for x in got[ident].values()) == taken and set(got[ident]) <= set(expected[ident])
+        assert all(sum(n) <= 3 * sum(expected[ident][lic]) for lic, n in got[ident].items())
+    assert len(got[5]) == 25 and len(got[None]) == 4  # more is taken of each source than one pass over it, so no row is left out
+
+
+def test_shares_of_large_groups_go_by_chunks(spark):
+    docs = spark.createDataFrame([(1, "a b c", "s", i) for i in range(60)] + [(2, "d e", "s", i) for i in range(9)], "doc_id long, text string, source string, n long").repartition(4)
+    groups = mixing.sized(docs)
+    plan = mixing.planned(groups, chunk=7)
+    rows = docs.select(F.struct("*").alias("_row"), "doc_id", "source", mixing.n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("h"))
+    each = corpus_pipeline._each_of(rows, groups, plan).collect()
+    assert sorted((r._row.doc_id, r._row.n) for r in each) == sorted((r.doc_id, r.n) for r in docs.collect())
+    assert sorted((r.doc_id, r.taken) for r in each) == sorted((r.doc_id, r.taken) for r in mixing.mix(groups, chunk=7).collect())
