@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as v
-from .graph import connected_components
+from . import vector_index
+from .graph import connected_components, settled, shared_folder
 
 #: Rows of a group of vectors that are compared at once.
 BLOCK_ROWS = 1024
@@ -36,32 +41,54 @@ def hybrid(df: DataFrame, query: list[float], terms: list[str], k: int, vector_w
 def similar_pairs(df: DataFrame, threshold: float, block: list[str] | None = None, embedding: str = "embedding", key: str = "id", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``a, b, score`` of pairs a < b with a cosine of at least the threshold, within each block (all rows form one if none is given).
 
-    Unit vectors are dealt to groups of about ``block_rows``; every pair of groups is one task's work, a matrix product of two groups. So no task holds
-    more than two groups, whatever a block's size. The number of comparisons grows with the square of a block's rows: give blocks where there are any.
+    Without blocks the vectors are indexed by cells, and only cells that may hold such a pair meet (``vector_index``); vectors that have no clusters
+    at all still meet all others. With blocks, a block of more than ``block_rows`` is dealt to groups of about so many, of which every pair is one task's
+    work, and small blocks are dealt to tasks together. No task holds more than two groups.
     """
-    kind = df.schema[key].dataType.simpleString()
-    rows = df.where((F.size(embedding) > 0) & F.col(key).isNotNull()).select(F.col(key).alias("id"), v.unit(F.col(embedding)).alias("u"), *(block or []))
-    groups = max(1, -(-rows.count() // block_rows))
-    others = F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))
-    spread = rows.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(groups))).withColumn("o", F.explode(others))
-    spread = spread.withColumns({"lo": F.least("g", "o"), "hi": F.greatest("g", "o")})
+    rows = df.where((F.size(embedding) > 0) & F.col(key).isNotNull())
+    if not block:
+        spark = df.sparkSession
+        found = []
+        for dim in sorted(r.n for r in rows.select(F.size(embedding).alias("n")).distinct().collect()):  # lengths, of which there are few
+            index = vector_index.build(rows, f"{shared_folder(spark)}/pairs-{uuid.uuid4().hex}", dim, embedding=embedding, key=key)
+            found.append(vector_index.close_pairs(index, spark, threshold))
+        kind = df.schema[key].dataType.simpleString()
+        return reduce(DataFrame.unionByName, found, spark.createDataFrame([], f"a {kind}, b {kind}, score double")) if len(found) != 1 else found[0]
+    return _pairs_in_blocks(rows.select(F.col(key).alias("id"), v.unit(F.col(embedding)).alias("u"), *block), threshold, block, block_rows)
+
+
+def _pairs_in_blocks(rows: DataFrame, threshold: float, block: list[str], block_rows: int) -> DataFrame:
+    kind = rows.schema["id"].dataType.simpleString()
+    sizes = settled(rows.groupBy(*block).agg(F.count(F.lit(1)).alias("n")))
+    tasks = max(1, -(-(sizes.where(F.col("n") <= block_rows).agg(F.sum("n")).first()[0] or 0) // block_rows))
+    same = reduce(and_, [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in block])
+    counted = rows.alias("r").join(sizes.alias("s"), same).select("r.*", F.ceil(F.col("n") / block_rows).cast("long").alias("groups"))
+    counted = counted.withColumn("g", F.pmod(F.xxhash64("id"), F.col("groups")))
+    # a large block: each row goes once to every group it meets. Small ones: a hash of the block says to which task they go
+    alone = F.array(F.struct(F.lit(-1).cast("long").alias("lo"), F.pmod(F.xxhash64(*block), F.lit(tasks)).alias("hi")))
+    others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1), lambda o: F.struct(F.least("g", o).alias("lo"), F.greatest("g", o).alias("hi")))
+    spread = counted.withColumn("x", F.explode(F.when(F.col("groups") == 1, alone).otherwise(others))).withColumns({"lo": F.col("x.lo"), "hi": F.col("x.hi")})
+    spread = spread.withColumn("part", F.when(F.col("lo") < 0, F.lit(None)).otherwise(F.xxhash64(*block))).select("part", "lo", "hi", "g", "id", "u", *block)
 
     def meet(two: pd.DataFrame) -> pd.DataFrame:
-        found = []
+        found = [pd.DataFrame({"a": two["id"].iloc[:0], "b": two["id"].iloc[:0], "score": np.empty(0)})]
+        one_group = two["lo"].iloc[0] == two["hi"].iloc[0] or two["lo"].iloc[0] < 0
         two = two.sort_values("id", ignore_index=True)
-        for _, same in two.groupby(two["u"].map(len)):
-            ids, g, u = same["id"].to_numpy(), same["g"].to_numpy(), np.stack(same["u"].to_list())
-            one_group = same["lo"].iloc[0] == same["hi"].iloc[0]
+        for _, alike in two.groupby([*(two[c].astype(object) for c in block), two["u"].map(len)], sort=False, dropna=False):
+            if len(alike) < 2:
+                continue
+            ids, g, u = alike["id"].to_numpy(), alike["g"].to_numpy(), np.stack(alike["u"].to_list())
             for first in range(0, len(u), 512):
                 i, j = np.nonzero(u[first : first + 512] @ u.T >= threshold - 1e-9)
                 i += first
-                met = (i < j) & (one_group | (g[i] != g[j]))  # two rows of one group meet in that group's own task
+                met = (ids[i] < ids[j]) & (one_group | (g[i] != g[j]))  # two rows of one group meet in that group's own task
                 i, j = i[met], j[met]
-                score = np.cumsum(u[i] * u[j], axis=1)[:, -1]
-                found.append(pd.DataFrame({"a": ids[i], "b": ids[j], "score": score})[score >= threshold])
-        return pd.concat(found, ignore_index=True)  # a group has rows, so there is a part at least
+                if len(i):
+                    score = np.cumsum(u[i] * u[j], axis=1)[:, -1]
+                    found.append(pd.DataFrame({"a": ids[i], "b": ids[j], "score": score})[score >= threshold])
+        return pd.concat(found[1:] or found, ignore_index=True)
 
-    return spread.groupBy("lo", "hi", *(block or [])).applyInPandas(meet, f"a {kind}, b {kind}, score double")
+    return spread.groupBy("part", "lo", "hi").applyInPandas(meet, f"a {kind}, b {kind}, score double")
 
 
 def merged_entities(entities: DataFrame, pairs: DataFrame, contexts: int | None = None, sum_mentions: bool = True) -> tuple[DataFrame, DataFrame]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from .. import model
 from ..functions import chunking as c
 from ..functions import text as x
 from ..functions import vectors as v
-from ..operators import graph, layout, quality, templates
+from ..operators import graph, layout, quality, templates, vector_index
 from ..operators import similarity as sim
 from ..sources import export
 from . import roles
@@ -200,6 +201,27 @@ def _(spark, d):
     return sim.nearest(_vectors(spark, d), _QUERY, 10, 3).withColumn("score", F.round("score", 8))
 
 
+_RANKED = "SELECT query_id, rank::INT AS rank, id, round(score, 8) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) x WHERE rank <= 10"
+
+
+def _indexed(spark, d):
+    return vector_index.build(_vectors(spark, d), f"{graph.shared_folder(spark)}/vector-index-{uuid.uuid4().hex}", 64, label="label")
+
+
+def _asked(spark, d):
+    return _vectors(spark, d).where("id % 100 = 0").select(F.col("id").alias("query_id"), "embedding")
+
+
+@query("v02_indexed_nearest", f"WITH {_EMB}, s AS (SELECT b.vec_id AS query_id, a.vec_id AS id, {_COS} AS score FROM emb a, emb b WHERE b.vec_id % 100 = 0) {_RANKED}")
+def _(spark, d):
+    return vector_index.search(_indexed(spark, d), _asked(spark, d), 10).rows.withColumn("score", F.round("score", 8))
+
+
+@query("v02_indexed_nearest_of_label", f"WITH {_EMB}, s AS (SELECT b.vec_id AS query_id, a.vec_id AS id, {_COS} AS score FROM emb a, emb b WHERE b.vec_id % 100 = 0 AND a.label = 3) {_RANKED}")
+def _(spark, d):
+    return vector_index.search(_indexed(spark, d), _asked(spark, d), 10, label="3").rows.withColumn("score", F.round("score", 8))
+
+
 @query("v03_hybrid", f"""WITH {_EMB}, b AS (SELECT {_QUERY}::DOUBLE[] AS e), s AS (SELECT vec_id AS id, 0.7 * ({_COS}) + 0.3 * ((label % 2 = 0)::INT + 1) / 2.0 AS score FROM emb a, b) SELECT id, round(score, 8) AS score FROM s WHERE score >= 0.2 ORDER BY s.score DESC, id LIMIT 20""")
 def _(spark, d):
     rows = _vectors(spark, d).withColumn("text", F.when(F.col("label") % 2 == 0, "an even label").otherwise("an odd label"))
