@@ -12,7 +12,7 @@ from .. import model
 from ..functions import chunking as c
 from ..functions import text as x
 from ..functions import vectors as v
-from ..operators import graph, layout, quality, templates, vector_index
+from ..operators import fulltext, graph, layout, quality, templates, vector_index
 from ..operators import similarity as sim
 from ..sources import export
 from . import roles
@@ -228,6 +228,42 @@ def _(spark, d):
     return sim.hybrid(rows, _QUERY, ["label", "EVEN"], 20, min_score=0.2).withColumn("score", F.round("score", 8))
 
 
+_STOP = ", ".join(f"'{w}'" for w in fulltext.STOP_WORDS)
+_BM25 = rf"""tok AS (SELECT r, d, regexp_replace(w, '[''’]s$', '') AS w FROM (SELECT r, d, unnest(regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\p{{L}}\p{{N}}]+(?:[''’][\p{{L}}\p{{N}}]+)*')) AS w
+    FROM (SELECT doc_id AS r, true AS d, text FROM documents UNION ALL SELECT item_id, false, text FROM benchmark) u) x WHERE w NOT IN ({_STOP})),
+  stem AS (SELECT r, d, CASE WHEN regexp_matches(w, 'ies$') AND NOT regexp_matches(w, '[ea]ies$') THEN regexp_replace(w, 'ies$', 'y') WHEN regexp_matches(w, 'es$') AND NOT regexp_matches(w, '[aeo]es$') THEN regexp_replace(w, 's$', '')
+    WHEN regexp_matches(w, 's$') AND NOT regexp_matches(w, '[us]s$') THEN regexp_replace(w, 's$', '') ELSE w END AS term FROM tok),
+  len AS (SELECT doc_id AS r, (SELECT count(*) FROM stem WHERE stem.r = doc_id AND d) AS n FROM documents), mean AS (SELECT count(*)::DOUBLE AS docs, avg(n) AS mean FROM len),
+  tf AS (SELECT r, term, count(*) AS tf FROM stem WHERE d GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), q AS (SELECT r AS query_id, term, count(*)::DOUBLE AS weight FROM stem WHERE NOT d GROUP BY ALL),
+  bm AS (SELECT query_id, tf.r AS id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * weight * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))), 9) AS score FROM q JOIN tf USING (term) JOIN df USING (term) JOIN len ON len.r = tf.r, mean GROUP BY ALL)"""
+
+
+def _texts_indexed(spark, d):
+    return fulltext.build(t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), f"{graph.shared_folder(spark)}/text-index-{uuid.uuid4().hex}")
+
+
+def _text_queries(spark, d):
+    return fulltext.query_terms(t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
+
+
+@query("v03_bm25", f"WITH {_BM25} SELECT query_id, rank::INT AS rank, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bm) x WHERE rank <= 10")
+def _(spark, d):
+    return fulltext.search(_texts_indexed(spark, d), _text_queries(spark, d), 10).rows.withColumn("score", F.round("score", 6))
+
+
+@query("v03_hybrid_search", f"""WITH {_EMB}, {_BM25}, tt AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bm QUALIFY rank <= 50), tn AS (SELECT query_id, id, score / max(score) OVER (PARTITION BY query_id) AS t FROM tt),
+  vv AS (SELECT b.vec_id AS query_id, a.vec_id AS id, {_COS} AS v FROM emb a, emb b WHERE b.vec_id IN (SELECT item_id FROM benchmark) QUALIFY row_number() OVER (PARTITION BY b.vec_id ORDER BY {_COS} DESC, a.vec_id) <= 50),
+  s AS (SELECT coalesce(tn.query_id, vv.query_id) AS query_id, coalesce(tn.id, vv.id) AS id, round(0.7 * coalesce(v, 0) + 0.3 * coalesce(t, 0), 9) AS score FROM tn FULL JOIN vv ON tn.query_id = vv.query_id AND tn.id = vv.id)
+  SELECT query_id, rank::INT AS rank, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s WHERE score >= 0.2) x WHERE rank <= 15""")
+def _(spark, d):
+    """Vectors and texts are of two tables here: a document and an item have the vector of their number, where there is one."""
+    items = t(spark, d, "benchmark").select(F.col("item_id").alias("id"))
+    asked = _vectors(spark, d).join(items, "id", "left_semi").select(F.col("id").alias("query_id"), "embedding")
+    vectors = vector_index.search(_indexed(spark, d), asked, 50).rows
+    texts = fulltext.search(_texts_indexed(spark, d), _text_queries(spark, d), 50).rows
+    return fulltext.combined(texts, vectors, least=0.2).withColumn("score", F.round("score", 6))
+
+
 @query("v04_v05_deterministic_embedding", """WITH s AS (SELECT doc_id, list_sum([unicode(c) FOR c IN string_split(substr(text, 1, 30000), '')])::BIGINT % 997 AS seed, trim(text) AS blank FROM documents)
   SELECT doc_id, (seed % 101) / 100.0::DOUBLE AS first, ((seed + 767) % 101) / 100.0::DOUBLE AS last, 768 AS n FROM s""")
 def _(spark, d):
