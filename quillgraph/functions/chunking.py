@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.mentions import automaton, folded, occurrences
 from .text import split_sentences
 
 PARENT, CHILD, OVERLAP, SHORT = 1500, 800, 200, 400
@@ -120,7 +121,9 @@ def entity_chunks(text: str, entities: list[str], around: int = 400, merge_gap:
     entities that occur in it; the primary one has the longest name.
     """
     names = [e for e in dict.fromkeys(entities) if e and e.strip()]
-    hits = sorted((m.start(), m.end()) for e in names for m in re.finditer(re.escape(e), text, re.IGNORECASE))  # in the text itself: lower-casing can change its length
+    known = tuple(dict.fromkeys(folded(e) for e in names))
+    machine = automaton(known)
+    hits = sorted((start, end) for _, start, end in occurrences(text, machine))  # places in the text itself: folding keeps its length
     ends = [m.end() for m in _SENTENCE_END.finditer(text)]
 
     def widened(a: int, b: int) -> tuple[int, int]:
@@ -151,7 +154,8 @@ def entity_chunks(text: str, entities: list[str], around: int = 400, merge_gap:
         at = b
     chunks = []
     for number, (_, body, kind) in enumerate(out):
-        inside = [e for e in names if e.lower() in body.lower()]
+        there = {known[number] for number, _, _ in occurrences(body, machine)}
+        inside = [e for e in names if folded(e) in there]
         chunks.append({"idx": number, "text": body, "token_count": _n(body), "kind": kind, "entities": inside, "primary_entity": max(inside, key=len, default=None)})
     return chunks
 

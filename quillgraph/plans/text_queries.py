@@ -12,7 +12,7 @@ from .. import model
 from ..functions import chunking as c
 from ..functions import text as x
 from ..functions import vectors as v
-from ..operators import fulltext, graph, layout, quality, templates, vector_index
+from ..operators import fulltext, graph, layout, mentions, names, quality, templates, vector_index
 from ..operators import similarity as sim
 from ..sources import export
 from . import roles
@@ -327,6 +327,39 @@ def _(spark, d):
     return sim.fuzzy_match(mentions, entities)
 
 
+_NAMES = """ents AS (SELECT p_partkey AS id, lower(p_name || ' ' || p_type || ' ' || p_brand) AS n, string_split(lower(p_name || ' ' || p_type || ' ' || p_brand), ' ') AS w FROM part),
+  asked AS (SELECT DISTINCT CASE id % 5 WHEN 0 THEN upper(n) WHEN 1 THEN w[1] || ' ' || w[2] || ' ' || w[3] WHEN 2 THEN 'the ' || n || ' set' WHEN 3 THEN substr(w[2], 1, 2) || substr(w[3], 1, 2) ELSE substr(w[1], 1, 2) || ' ' || substr(w[2], 1, 1) || substr(w[3], 1, 1) || substr(w[4], 1, 1) END AS mention FROM ents
+    UNION SELECT array_to_string([substr(x, 1, 1) FOR x IN w], '') FROM ents),
+  known AS (SELECT n, any_value(w) AS w, max(id) AS id, min(id) AS ord FROM ents GROUP BY n), q AS (SELECT mention, lower(mention) AS m, string_split(lower(mention), ' ') AS v FROM asked)"""
+
+
+@query("j16_resolved_names", f"""WITH {_NAMES}, ruled AS (SELECT mention, id, ord, CASE WHEN n = m THEN 1 WHEN contains(n, m) OR contains(m, n) THEN 2
+    WHEN m = array_to_string([substr(x, 1, 1) FOR x IN w], '') OR len(v) >= 2 AND array_to_string([substr(x, 1, 1) FOR x IN v], '') = array_to_string([substr(x, 1, 1) FOR x IN w], '') THEN 3
+    WHEN len(v) >= 2 AND len(w) >= len(v) AND list_bool_and([starts_with(w[i], v[i]) OR i = len(v) AND v[i] = array_to_string([substr(x, 1, 1) FOR x IN w[i:]], '') FOR i IN range(1, len(v) + 1)]) THEN 4 END AS rule FROM q, known)
+  SELECT DISTINCT ON (mention) mention, id, rule::INT AS rule FROM ruled WHERE rule IS NOT NULL ORDER BY mention, ruled.rule, ord""")
+def _(spark, d):
+    p = t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("name"), F.col("p_partkey").alias("ord"))
+    low = F.lower("name")
+    w = F.split(low, " ")
+    first = lambda i, n: F.substring(F.get(w, F.lit(i)), 1, n)
+    k = F.col("id") % 5
+    written = F.when(k == 0, F.upper("name")).when(k == 1, F.concat_ws(" ", F.slice(w, 1, 3))).when(k == 2, F.concat(F.lit("the "), low, F.lit(" set"))).when(k == 3, F.concat(first(1, 2), first(2, 2))).otherwise(F.concat(first(0, 2), F.lit(" "), first(1, 1), first(2, 1), first(3, 1)))
+    asked = p.select(written.alias("mention")).union(p.select(F.array_join(F.transform(w, lambda x: F.substring(x, 1, 1)), "")))
+    return names.resolve(asked, p)
+
+
+@query("x08_dictionary_mentions", """WITH n AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\\pL{4,}')) AS name FROM benchmark), w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\pL\\pN]+')) AS name FROM documents),
+  m AS (SELECT name, count(*) AS mentions, count(DISTINCT doc_id) AS documents FROM w GROUP BY name), c AS (SELECT name, count(*) AS within FROM n JOIN documents ON contains(lower(text), name) GROUP BY name)
+  SELECT name, coalesce(mentions, 0) AS mentions, coalesce(documents, 0) AS documents, within FROM c LEFT JOIN m USING (name)""")
+def _(spark, d):
+    dictionary = t(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{4,}"), F.lit(0))).alias("name"))
+    texts = t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    whole = mentions.find(texts, dictionary, whole_words=True).groupBy("name").agg(F.count(F.lit(1)).alias("mentions"), F.countDistinct("id").alias("documents"))
+    within = mentions.find(texts, dictionary).groupBy("name").agg(F.countDistinct("id").alias("within"))
+    zero = F.lit(0).cast("long")
+    return within.join(whole, "name", "left").select("name", F.coalesce("mentions", zero).alias("mentions"), F.coalesce("documents", zero).alias("documents"), "within")
+
+
 # --- documents, chunks and entities: orders, order lines and parts ---------------------------------------------------
 
 _ETL = """docs AS (SELECT o_orderkey AS id, (o_orderkey % 6)::INT AS chunk_count, 'm' || (o_custkey % 8) AS module_id FROM orders),
