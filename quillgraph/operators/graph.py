@@ -203,24 +203,43 @@ def levels(nodes: DataFrame, edges: DataFrame, centre: str) -> DataFrame:
 def shortest_path(nodes: DataFrame, edges: DataFrame, source: str, target: str, max_hops: int = 4) -> DataFrame:
     """The shortest undirected path of four edges at most, one row an edge; of equally short ones that whose ids sort first.
 
-    Forward rounds keep, for each newly reached node, the path that sorts first, so a node is expanded once.
+    Both ends are searched in turn, the one with the smaller frontier first, until their frontiers meet. What lies on shortest paths is then found from the
+    meeting nodes outwards, and the path that sorts first among these nodes alone; rounds carry ids, no paths.
     """
-    step = steps(edges)
     spark = edges.sparkSession
-    frontier = spark.createDataFrame([(source, [source])], "id string, path array<string>")
-    seen = before = frontier.select("id")
-    found = frontier.where(F.col("id") == target)
-    for _ in range(min(max_hops, MAX_DEPTH)):
-        if source == target:
+    pairs = both_ways(edges).select("id", "other")
+    sides = [[spark.createDataFrame([(end,)], "id string")] for end in (source, target)]
+    sizes = [1, 1]
+
+    def between(left: DataFrame, right: DataFrame) -> DataFrame:
+        """Of ``left`` what has a neighbour in ``right``."""
+        near = pairs.join(right.withColumnRenamed("id", "other"), "other", "left_semi").select("id").distinct()
+        return settled(left.join(near, "id", "left_semi"))
+
+    layers: list[DataFrame] = []
+    for _ in range(min(max_hops, MAX_DEPTH) if source != target else 0):
+        at = 0 if sizes[0] <= sizes[1] else 1
+        side = sides[at]
+        reached = pairs.join(side[-1], "id", "left_semi").select(F.col("other").alias("id")).distinct()
+        side.append(settled(reached.join(union_all(side[-2:]), "id", "left_anti")))  # older frontiers are no neighbours of the last
+        sizes[at] = side[-1].count()
+        meeting = settled(sides[0][-1].join(sides[1][-1], "id", "left_semi"))
+        if not meeting.isEmpty():
+            layers = [meeting]
+            for frontier in sides[0][-2::-1]:
+                layers.insert(0, between(frontier, layers[0]))
+            for frontier in sides[1][-2::-1]:
+                layers.append(between(frontier, layers[-1]))
             break
-        # what was reached before the last two rounds is no neighbour of this frontier
-        nearer = frontier.join(step, "id").join(seen.withColumnRenamed("id", "other"), "other", "left_anti")
-        paths = nearer.groupBy("other").agg(F.min(F.concat("path", F.array("other"))).alias("path"))
-        frontier = settled(paths.select(F.col("other").alias("id"), "path"))
-        found = frontier.where(F.col("id") == target)
-        if not found.isEmpty() or frontier.isEmpty():
+        if not sizes[at]:
             break
-        seen, before = before.unionByName(frontier.select("id")), frontier.select("id")
+    found = spark.createDataFrame([], "path array<string>")
+    if layers:
+        best = layers[-1].select("id", F.array("id").alias("path"))
+        for layer in layers[-2::-1]:
+            on = pairs.join(layer, "id", "left_semi").join(best.withColumnRenamed("id", "other"), "other")
+            best = settled(on.groupBy("id").agg(F.min("path").alias("path")).select("id", F.concat(F.array("id"), "path").alias("path")))
+        found = best.select("path")
     hops = found.select("path", F.posexplode(F.slice("path", 1, F.size("path") - 1)).alias("step", "a"))
     ends = hops.select("a", F.element_at("path", F.col("step") + 2).alias("b"), "step", (F.size("path") - 1).alias("hops"))
     # of parallel edges the one with the highest weight, and then confidence, stands for the step
@@ -249,6 +268,58 @@ def subgraph(nodes: DataFrame, edges: DataFrame, seeds: list[str], depth: int =
     return far, induced(walked, far)
 
 
+def paths(nodes: DataFrame, edges: DataFrame, seeds: list[str], depth: int = 2, modules: list[str] | None = None, limit: int = 100) -> DataFrame:
+    """``seed, rank, hops, steps, used``: for each seed its first ``limit`` undirected paths of up to ``depth`` edges without a repeated edge.
+
+    Paths are ordered by length, then step by step by node, type and direction, so that the limit always chooses the same ones. Their far end is one of ``nodes`` (of the
+    modules, or of none, if modules are given); what lies between may be anything that the edges touch. ``steps`` holds ``other, type, is_outgoing``, ``used`` the edges.
+
+    Without modules edges are those between ``nodes``. Every path then counts, so a seed's frontier never needs more than ``limit`` paths, and of a node's edges
+    only the first ``limit + depth`` can ever be chosen. With modules a path may only count once it is longer: all are carried on, up to the depth of four.
+    """
+    depth = max(1, min(depth, MAX_DEPTH))
+    far = nodes if modules is None else nodes.where(F.col("module_id").isin(*modules) | F.col("module_id").isNull())
+    far = far.select(F.col("id").alias("end")).distinct()
+    kept = induced(edges, nodes) if modules is None else edges
+    ways = both_ways(kept.select("src_id", "dst_id", "type", F.lit(None).cast("double").alias("confidence")).distinct()).where(F.col("is_outgoing") | (F.col("id") != F.col("other")))
+    step = F.struct("other", "type", "is_outgoing")
+    edge = F.when(F.col("is_outgoing"), F.struct(F.col("id").alias("src_id"), F.col("other").alias("dst_id"), "type")).otherwise(F.struct(F.col("other").alias("src_id"), F.col("id").alias("dst_id"), "type"))
+    ways = ways.select("id", F.col("other").alias("next"), step.alias("step"), edge.alias("edge"))
+    if modules is None:
+        first = Window.partitionBy("id").orderBy("step")
+        ways = ways.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= limit + depth).drop("_r")
+    ways = settled(ways)
+    spark = edges.sparkSession
+    start = spark.createDataFrame([(x,) for x in dict.fromkeys(seeds)], "seed string").join(nodes.select(F.col("id").alias("seed")).distinct(), "seed", "left_semi")
+    step_type, edge_type = (ways.schema[c].dataType.simpleString() for c in ("step", "edge"))
+    frontier = start.select("seed", F.col("seed").alias("end"), F.expr(f"cast(array() as array<{step_type}>)").alias("steps"), F.expr(f"cast(array() as array<{edge_type}>)").alias("used"))
+    left = start.withColumn("left", F.lit(limit))
+    found = []
+    for hops in range(1, depth + 1):
+        longer = frontier.join(ways, F.col("end") == F.col("id")).where(~F.array_contains("used", F.col("edge")))
+        longer = longer.select("seed", F.col("next").alias("end"), F.concat("steps", F.array("step")).alias("steps"), F.concat("used", F.array("edge")).alias("used")).join(left, "seed")
+        counted = longer if modules is None else longer.join(far, "end", "left_semi")
+        order = Window.partitionBy("seed").orderBy("steps")
+        chosen = settled(counted.withColumn("n", F.row_number().over(order)).where(F.col("n") <= F.col("left")))
+        found.append(chosen.select("seed", (F.lit(limit) - F.col("left") + F.col("n")).cast("int").alias("rank"), F.lit(hops).alias("hops"), "steps", "used"))
+        if hops == depth:
+            break
+        frontier = (chosen if modules is None else settled(longer)).select("seed", "end", "steps", "used")
+        taken = chosen.groupBy("seed").agg(F.count(F.lit(1)).alias("taken"))
+        left = settled(left.join(taken, "seed", "left").select("seed", (F.col("left") - F.coalesce("taken", F.lit(0))).cast("int").alias("left")).where("left > 0"))
+        if left.isEmpty():
+            break
+    return union_all(found)
+
+
+def path_subgraph(nodes: DataFrame, edges: DataFrame, seeds: list[str], depth: int = 2, modules: list[str] | None = None, limit: int = 100) -> tuple[DataFrame, DataFrame]:
+    """The distinct nodes and edges (``src_id, dst_id, type``) of the seeds' first paths."""
+    chosen = settled(paths(nodes, edges, seeds, depth, modules, limit))
+    touched = chosen.select("seed", F.explode("steps.other").alias("id"))
+    ids = touched.select("id").unionByName(touched.select(F.col("seed").alias("id"))).distinct()
+    return nodes.join(ids, "id", "left_semi"), chosen.select(F.explode("used").alias("e")).select("e.*").distinct()
+
+
 def preview(nodes: DataFrame, edges: DataFrame, module: str, types: list[str] | None = None, limit: int = 100) -> tuple[DataFrame, DataFrame]:
     """The first entities of a module and their edges, numbered for display."""
     from ..model import ANALYTIC_TYPES

@@ -131,6 +131,24 @@ def _(spark, d):
     return g.subgraph(nodes(spark, d), edges(spark, d), ["p5"], 2, ["m1", "m4"])[0]
 
 
+_WALKS = f"""WITH RECURSIVE {GRAPH}, e AS (SELECT DISTINCT src_id, dst_id, type FROM edges WHERE src_id IN (SELECT id FROM nodes) AND dst_id IN (SELECT id FROM nodes)),
+  ways AS (SELECT src_id AS id, dst_id AS other, type, true AS o, {{'a': src_id, 'b': dst_id, 't': type}} AS e FROM e UNION ALL SELECT dst_id, src_id, type, false, {{'a': src_id, 'b': dst_id, 't': type}} FROM e WHERE src_id <> dst_id),
+  walk AS (SELECT id AS seed, id AS fin, []::STRUCT(other VARCHAR, type VARCHAR, o BOOLEAN)[] AS names, []::STRUCT(a VARCHAR, b VARCHAR, t VARCHAR)[] AS used, 0 AS hops FROM ways WHERE id IN ('p5', 's7') GROUP BY id
+    UNION ALL SELECT seed, other, list_append(names, {{'other': other, 'type': type, 'o': o}}), list_append(used, e), hops + 1 FROM walk JOIN ways ON ways.id = fin WHERE hops < 2 AND NOT list_contains(used, e))"""
+
+
+@query("g04_paths", f"""{_WALKS}, r AS (SELECT seed, row_number() OVER (PARTITION BY seed ORDER BY hops, names)::INT AS rank, hops, names FROM walk WHERE hops > 0) SELECT seed, rank, hops::INT AS hops, array_to_string([x.other || '|' || x.type || '|' || x.o FOR x IN names], ' ') AS path FROM r WHERE rank <= 100""")
+def _(spark, d):
+    p = g.paths(nodes(spark, d), edges(spark, d), ["p5", "s7"], 2)
+    return p.select("seed", "rank", "hops", F.array_join(F.transform("steps", lambda x: F.concat_ws("|", x["other"], x["type"], x["is_outgoing"].cast("string"))), " ").alias("path"))
+
+
+@query("g04_path_subgraph_of_modules", f"""{_WALKS}, r AS (SELECT seed, names, used, row_number() OVER (PARTITION BY seed ORDER BY hops, names) AS rank FROM walk JOIN nodes ON nodes.id = fin WHERE hops > 0 AND module_id IN ('m1', 'm4'))
+  SELECT DISTINCT x.a AS src_id, x.b AS dst_id, x.t AS type FROM (SELECT unnest(used) AS x FROM r WHERE rank <= 100) y""")
+def _(spark, d):
+    return g.path_subgraph(nodes(spark, d), edges(spark, d), ["p5", "s7"], 2, ["m1", "m4"])[1]
+
+
 @query("g06_neighbourhood_edges", f"""WITH {GRAPH}, {_BOTH}, {_STEP}, {_levels('p5', 2)} SELECT DISTINCT src_id, dst_id, type FROM edges JOIN s2 a ON a.id = src_id JOIN s2 b ON b.id = dst_id WHERE least(a.hops, b.hops) < 2""")
 def _(spark, d):
     return g.subgraph(nodes(spark, d), edges(spark, d), ["p5"], 2)[1]
