@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import shared_folder
+from ..streaming import jobs
 from ..streaming import telemetry as s
+from ..streaming.merge_log import MergeLog
 from .registry import query
+from .roles import t
 
 
 def _stream(spark: SparkSession, d: str) -> DataFrame:
@@ -62,3 +66,34 @@ def _(spark, d):
 @query("r06_stream_deduplicated", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def _(spark, d):
     return _finished(s.deduplicated(_stream(spark, d), "event_id", "ts").groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), "complete")
+
+
+_TERMINAL = "CASE event_type WHEN 'click' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'running' END"
+
+
+def _job_rows(events: DataFrame, ident: str) -> DataFrame:
+    status = F.when(F.col("event_type") == "click", "completed").when(F.col("event_type") == "error", "failed").otherwise("running")
+    return events.select(F.col(ident).cast("string").alias("id"), status.alias("status"), F.col("ts").alias("updated_at"))
+
+
+@query("r02_stream_job_store", f"""WITH j AS (SELECT DISTINCT ON (user_id) user_id::VARCHAR AS id, {_TERMINAL} AS status, ts AS updated_at FROM events ORDER BY user_id, ts DESC, {_TERMINAL} DESC)
+  SELECT id, status, updated_at FROM j WHERE status = 'running' OR updated_at + INTERVAL 6 HOUR > (SELECT max(ts) FROM events) - INTERVAL 1 MINUTE""")
+def _(spark, d):
+    changes = _finished(jobs.job_changes(_job_rows(_stream(spark, d), "user_id"), 6 * 3600), "append")
+    return jobs.store(changes).withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz"))
+
+
+@query("r06_merge_log", """WITH l AS (SELECT DISTINCT ON (user_id, event_id % 4) user_id AS id, event_id % 4 AS b, CASE event_type WHEN 'purchase' THEN 'ready' ELSE event_type END AS status, value FROM events ORDER BY user_id, event_id % 4, ts DESC, event_id DESC),
+  r AS (SELECT *, min(CASE WHEN status = 'ready' THEN b END) OVER (PARTITION BY id) AS ready, min(b) OVER (PARTITION BY id) AS first FROM l)
+  SELECT DISTINCT ON (id) id, status, value, first::INT AS created_by, b::INT AS updated_by FROM r WHERE ready IS NULL OR b <= ready ORDER BY id, b DESC""")
+def _(spark, d):
+    """The events in four deliveries, each made twice, with the log folded between; a delivery's number stands for its time."""
+    events = t(spark, d, "events").select(F.col("user_id").alias("id"), F.when(F.col("event_type") == "purchase", "ready").otherwise(F.col("event_type")).alias("status"), "value", "ts", "event_id")
+    log = MergeLog(spark, f"{shared_folder(spark)}/merge-{uuid.uuid4().hex}", events.schema, order=("ts", "event_id"))
+    begin = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    for number in (0, 0, 1, 2, 1, 2, 3, 3):
+        log.append(events.where(F.pmod("event_id", F.lit(4)) == number), number, begin + timedelta(days=number))
+        if number == 1:
+            log.compact()
+    day = lambda c: F.date_diff(F.col(c), F.lit(begin.date())).cast("int")
+    return log.table().select("id", "status", "value", day("created_at").alias("created_by"), day("updated_at").alias("updated_by"))
