@@ -4,8 +4,8 @@ Vectors are packed to blocks of rows. In a block every component is a sorted lis
 weights and upwards for its negative ones. All lists are read step by step to the same depth. A row that was met in some lists has a lower bound (what was
 read of it, and the last entry of every other list) and an upper bound (what was read, and the entry at which every other list stands); a row that was met
 in none has at most the sum of the entries at which the lists stand. Reading stops as soon as the k-th best lower bound, in this block or from blocks
-read before, is above what an unmet row can have, and only a few of the met rows can still reach it; their final scores are then
-resolved from the stored rows. A block whose first entries together stay below the k-th best is not read at all.
+read before, is above what an unmet row can have. The final scores of the met rows whose upper bound reaches it are then resolved from the stored rows. Where blocks before
+have set that score, the depth at which the lists' entries fall under it is known beforehand, and they are read to it at once. A block whose first entries together stay below the k-th best is not read at all.
 
 How deep this reads depends on the data. Where a few components decide (vectors of uneven length, or components that rise and fall together) a small part
 of the lists is enough; for components that are independent and alike, in dozens of dimensions, the bounds meet only near the lists' ends.
@@ -93,36 +93,50 @@ def _order(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(order), np.take_along_axis(x.T, order, axis=1)
 
 
-def _search_one(x: np.ndarray, ids: np.ndarray, order: np.ndarray, values: np.ndarray, own: int, q: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray, int]:
+def _search_one(x: np.ndarray, order: np.ndarray, values: np.ndarray, own: int, q: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray, int]:
     """Rows that can be among the k best of query ``q``, their scores, and the depth read. ``own``: a row that takes no part, or -1."""
-    n = len(ids)
-    used = np.flatnonzero(q)
-    weight, down = q[used], q[used] > 0
-    worst = weight * np.where(down, values[used, 0], values[used, -1])
-    base, depth = worst.sum(), 0
-    gained, seen = np.zeros(n), np.zeros((n, len(used)), dtype=bool)
-    column = np.arange(len(used))[:, None]
-    entry = weight * np.where(down, values[used, -1], values[used, 0]) - worst  # what the next entry of each list adds to the least
-    while True:
-        unmet = base + entry.sum()
-        met = np.flatnonzero(seen.any(axis=1)) if depth < n else np.arange(n)
-        met = met[met != own]
-        lower = base + gained[met]
-        if len(met) >= k:
-            floor = max(floor, np.partition(lower, len(met) - k)[len(met) - k])
-        if depth == n or unmet < floor:
-            upper = lower + (entry.sum() - seen[met] @ entry)
-            alive = met[upper >= floor]  # equal bounds stay: an equal score may win by its id
-            if depth == n or len(alive) <= 4 * k:
-                return alive, x[alive] @ q, depth
-        step = min(n - depth, max(32, depth // 2))
-        near = np.arange(depth, depth + step)
-        at = np.where(down[:, None], n - 1 - near, near)
-        rows = order[used[:, None], at]
-        gained += np.bincount(rows.ravel(), weights=(weight[:, None] * values[used[:, None], at] - worst[:, None]).ravel(), minlength=n)
-        seen[rows, column] = True
-        depth += step
-        entry = weight * values[used, np.where(down, n - depth, depth - 1)] - worst
+    n = len(x)
+    rising, falling = np.flatnonzero(q > 0), np.flatnonzero(q < 0)  # lists that are read from their upper and from their lower end
+    w_rising, w_falling = q[rising, None], q[falling, None]
+    worst_rising, worst_falling = w_rising * values[rising, :1], w_falling * values[falling, -1:]
+    base = worst_rising.sum() + worst_falling.sum()
+
+    def entries(depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """What the next entry of each list adds to the least."""
+        return w_rising * values[rising, n - 1 - depth, None] - worst_rising, w_falling * values[falling, depth, None] - worst_falling
+
+    def unmet(depth: int) -> float:
+        return base + sum(float(e.sum()) for e in entries(depth)) if depth < n else -np.inf
+
+    def read(first: int, last: int, less: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """For each row the sum over its entries from ``first`` to ``last`` of what they add, ``less`` taken from each."""
+        rows = np.concatenate([order[rising, n - last : n - first].ravel(), order[falling, first:last].ravel()])
+        gains = [w_rising * values[rising, n - last : n - first] - (worst_rising + less[0]), w_falling * values[falling, first:last] - (worst_falling + less[1])]
+        return np.bincount(rows, weights=np.concatenate([g.ravel() for g in gains]), minlength=n)
+
+    known, gained, depth, none = floor > -np.inf, np.zeros(n), 0, (0.0, 0.0)
+    while depth < n and not unmet(depth) < floor:
+        # entries sink with the depth: the first depth at which no unmet row can have the floor
+        low, high = depth + 1, n
+        while low < high:
+            middle = (low + high) // 2
+            low, high = (low, middle) if unmet(middle) < floor else (middle + 1, high)
+        if known:
+            depth = low
+            break
+        step = min(low, max(32, 2 * depth))  # what is met raises the floor meanwhile
+        gained += read(depth, step, none)
+        depth = step
+        lower = base + np.delete(gained, own) if own >= 0 else base + gained
+        if len(lower) >= k:
+            floor = max(floor, np.partition(lower, len(lower) - k)[len(lower) - k])
+    if depth == 0:
+        return np.empty(0, np.int64), np.empty(0), 0
+    left = entries(depth) if depth < n else none
+    upper = base + sum(float(np.sum(e)) for e in left) + read(0, depth, left)
+    alive = np.flatnonzero(upper >= floor - 1e-6 * max(1.0, abs(base)))  # equal bounds stay: an equal score may win by its id
+    alive = alive[alive != own]
+    return alive, x[alive] @ q, depth
 
 
 def no_random_access(
@@ -146,8 +160,13 @@ def no_random_access(
     order, values = order or _order(x)
     places = {number: at for at, number in enumerate(rows.tolist())}
     found = []
+    part = n // 8 if (n := len(ids)) >= 8 * 8 * k else 0
+    start = _order(x[:part]) if part and np.isneginf(floors).any() else None
     for at, ident in enumerate(query_ids.tolist()):
-        left, scores, depth = _search_one(x, ids, order, values, places.get(ident, -1), q[at], k, floors[at])
+        if start and np.isneginf(floors[at]):  # a query without a score to beat has a look at a part of the block first
+            left, scores, _ = _search_one(x[:part], *start, places[ident] if places.get(ident, part) < part else -1, q[at], k, -np.inf)
+            floors[at] = np.partition(scores, -k)[-k] if len(scores) >= k else -np.inf
+        left, scores, depth = _search_one(x, order, values, places.get(ident, -1), q[at], k, floors[at])
         best = np.lexsort((ids[left], -scores))[:k]
         found += [Found(ident, int(ids[left[b]]), int(scores[b]), depth) for b in best]
         if len(best) == k:
