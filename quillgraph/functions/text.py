@@ -10,10 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Words before which a full stop ends no sentence.
-ABBREVIATIONS = frozenset(
-    "dr. mr. mrs. ms. prof. sr. jr. st. vs. etc. e.g. i.e. cf. al. fig. eq. no. vol. pp. ed. eds. inc. ltd. co. corp. dept. univ. approx.".split()
-)
+# Abbreviations that end no sentence.
+ABBREVIATIONS = frozenset("dr mr mrs ms prof sr jr vs etc inc ltd corp eg ie al fig vol no pp ed rev gen col lt capt sgt ph st ave blvd".split())
 STOP_WORDS = frozenset("the this that these those and but for with from into over under about after before when where which while what there their they then than".split())
 
 # Typographic characters and what stands for them in plain output.
@@ -166,17 +164,15 @@ def normalised_text(text: str | None) -> str | None:
 
 
 def split_sentences(text: str | None) -> list[str]:
-    """Word by word: a sentence ends at ``.!?`` unless the word is an abbreviation or number, or a lower-case word follows a full stop."""
+    """Word by word: a sentence ends at ``.!?`` unless the word is an abbreviation or a decimal number, or a lower-case word follows a full stop."""
     found, open_words = [], []
     tokens = (text or "").split()
     for word, after in zip(tokens, [*tokens[1:], ""], strict=False):
         open_words.append(word)
-        if word[-1] in ".!?":
-            stop = word[-1] == "."
-            if stop and (word.lower() in ABBREVIATIONS or _NUMBER.match(word) or after[:1].islower()):
-                continue
-            found.append(" ".join(open_words))
-            open_words = []
+        if word[-1] not in ".!?" or word.rstrip(".!?,;:").lower() in ABBREVIATIONS or _NUMBER.match(word.rstrip(".!?")) or word[-1] == "." and after[:1].islower():
+            continue
+        found.append(" ".join(open_words))
+        open_words = []
     return [*found, " ".join(open_words)] if open_words else found
 
 

@@ -48,11 +48,20 @@ def _(spark, d):
     return _docs(spark, d).select("doc_id", x.chunk_label(F.col("text")).alias("label"))
 
 
-@query("x14_json_salvage", """SELECT event_id, event_type AS first, (regexp_extract(props, '([0-9]+)', 1)::INT) AS k FROM events""")
+_NOISY = """SELECT event_id, regexp_extract(props, '([0-9]+)', 1)::INT AS k, event_type FROM events"""
+
+
+@query("x14_json_salvage", f"""SELECT event_id, CASE k % 5 WHEN 0 THEN event_type WHEN 1 THEN 'a [b' WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE event_type || '"' END AS first, CASE WHEN k % 3 = 2 THEN NULL ELSE k END AS k FROM ({_NOISY}) n""")
 def _(spark, d):
-    e = t(spark, d, "events")
-    noisy = F.concat(F.lit('Labels: [["'), F.col("event_type"), F.lit('"], ["x"]] and ```json\n'), F.col("props"), F.lit("\n``` done"))
-    return e.select("event_id", F.get(F.get(x.salvage_array(F.regexp_extract(noisy, r"(?s)(.*)```json", 1)), F.lit(0)), F.lit(0)).alias("first"), F.variant_get(x.salvage_object(noisy), "$.k", "int").alias("k"))
+    """Arrays and objects amid prose, in fences or not, some cut off; what cannot be read has no value."""
+    e = t(spark, d, "events").withColumn("n", F.get_json_object("props", "$.k").cast("int"))
+    kind, quoted = F.lit(None), F.concat(F.lit('"'), F.col("event_type"), F.lit('"'))
+    arrays = [F.concat(F.lit("Labels: [["), quoted, F.lit(', "x"]] done.')), F.lit('Sure!\n```json\n[["a [b", "c]"]]\n```\nHope it helps'), F.concat(F.lit("[["), quoted, F.lit(', "un')), F.lit("nothing here"), F.concat(F.lit('x [["'), F.col("event_type"), F.lit('\\""], []]'))]
+    objects = [F.concat(F.lit("Here: "), F.col("props"), F.lit(" ok")), F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n``` done")), F.concat(F.lit("{ broken "), F.col("event_type"))]
+    for i, text in enumerate(arrays):
+        kind = F.when(F.col("n") % 5 == i, text).otherwise(kind)
+    thing = F.when(F.col("n") % 3 == 0, objects[0]).when(F.col("n") % 3 == 1, objects[1]).otherwise(objects[2])
+    return e.select("event_id", F.get(F.get(x.salvage_array(kind), F.lit(0)), F.lit(0)).alias("first"), F.variant_get(x.salvage_object(thing), "$.k", "int").alias("k"))
 
 
 @query("x16_stub_entities", f"""WITH w AS (SELECT doc_id, {_WORDS}[1:50] AS w FROM documents) SELECT doc_id, array_to_string([y FOR y IN w IF length(y) > 5 AND regexp_full_match(y, '\\pL+')][1:5], ',') AS names FROM w""")
@@ -79,12 +88,18 @@ def _(spark, d):
     return _docs(spark, d).select("doc_id", F.md5(x.summary(F.col("text"), "brief")).alias("summary_md5"))
 
 
-@query("x31_labelled_sections", "SELECT event_id, event_type || ' happened' AS summary, 2 AS points FROM events")
+@query("x31_labelled_sections", f"""SELECT event_id, CASE WHEN k % 4 = 3 THEN NULL ELSE event_type || ' happened' || CASE WHEN k % 4 = 1 THEN chr(10) || 'and more' ELSE '' END END AS summary, CASE WHEN k % 4 = 2 THEN 0 ELSE k % 3 END AS points FROM ({_NOISY}) n""")
 def _(spark, d):
+    """Answers with labels in other orders and cases, texts of several lines, missing sections, and no, one or two bullets."""
     names = ("SUMMARY", "KEY_POINTS", "KEY_ENTITIES")
-    made = F.concat(F.lit("SUMMARY: "), "event_type", F.lit(" happened\nKEY_POINTS:\n- one\n* two\nKEY_ENTITIES:\n- "), "event_type")
-    rows = t(spark, d, "events").select("event_id", made.alias("r"))
-    return rows.select("event_id", x.labelled_section(F.col("r"), names[0], names).alias("summary"), F.size(x.bullets(x.labelled_section(F.col("r"), names[1], names))).alias("points"))
+    e = t(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    kind = F.col("k") % 4
+    bullets = F.concat(F.when(F.col("k") % 3 >= 1, "- one\n").otherwise(""), F.when(F.col("k") % 3 == 2, "* two\n").otherwise(""))
+    told = F.concat("event_type", F.lit(" happened"), F.when(kind == 1, "\nand more").otherwise(""))
+    points, summary = F.concat(F.lit("KEY_POINTS:\n"), bullets), F.concat(F.lit("SUMMARY: "), told, F.lit("\n"))
+    made = F.when(kind == 0, F.concat(F.lit("Of course.\n"), summary, points, F.lit("KEY_ENTITIES:\n- x"))).when(kind == 1, F.concat(points, summary)).when(kind == 2, F.concat(F.lit("summary: "), told)).otherwise(F.concat(F.lit("KEY_ENTITIES:\n- y\n"), points))
+    rows = e.select("event_id", made.alias("r"))
+    return rows.select("event_id", F.nullif(x.labelled_section(F.col("r"), names[0], names), F.lit("")).alias("summary"), F.coalesce(F.size(x.bullets(x.labelled_section(F.col("r"), names[1], names))), F.lit(0)).alias("points"))
 
 
 @query("x33_plain_x34_filename", """SELECT doc_id, md5(regexp_replace(replace(replace(text, '’', ''''), '–', '-'), '[^\\x{00}-\\x{FF}]', '?', 'g')) AS plain_md5, substr(regexp_replace(source || ' of/file', '[^A-Za-z0-9]', '_', 'g'), 1, 50) || '_' || doc_id AS filename FROM documents""")
@@ -101,7 +116,13 @@ def _(spark, d):
 # --- what SQL cannot express: stateful chunkers, pinned by tests ----------------------------------------------------
 
 
-@query("x02_sentences")
+_ABBREVIATIONS = ", ".join(f"'{a}'" for a in sorted(x.ABBREVIATIONS))
+
+
+@query("x02_sentences", rf"""WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents), u AS (SELECT doc_id, unnest(w) AS w, unnest(list_append(w[2:], '')) AS after, unnest(range(len(w))) = len(w) - 1 AS last FROM w),
+  b AS (SELECT doc_id, last, regexp_matches(w, '[.!?]$') AND lower(regexp_replace(w, '[.!?,;:]+$', '')) NOT IN ({_ABBREVIATIONS}) AND NOT regexp_matches(regexp_replace(w, '[.!?]+$', ''), '^[0-9]+\.[0-9]*$')
+    AND NOT (regexp_matches(w, '\.$') AND regexp_matches(after, '^\p{{Ll}}')) AS stop FROM u), c AS (SELECT doc_id, count(*) FILTER (stop OR last) AS n FROM b GROUP BY doc_id)
+  SELECT doc_id, coalesce(n, 0)::INT AS sentences FROM documents LEFT JOIN c USING (doc_id)""")
 def _(spark, d):
     return _docs(spark, d).select("doc_id", F.size(x.sentences("text")).alias("sentences"))
 
