@@ -193,6 +193,54 @@ def _(spark, d):
     return templates.sections(_forms(spark, d), "o_orderkey", case)
 
 
+_LINES = (
+    ("Lecture 3", 6, (0,)), ("Introduction", 2, (0,)), ("Key concepts", 3, (0,)), ("Week 2", 12, (0,)), ("Abstract", 6, (1,)), ("Methods", 4, (1,)), ("Results", 5, (0, 1)), ("References", 6, (1,)), ("Meeting minutes", 6, (2,)), ("Attendees: all", 6, (2,)),
+    ("Agenda", 4, (2,)), ("Action items", 3, (2,)), ("Lab report", 6, (3,)), ("Objective", 6, (3,)), ("Procedure", 2, (1,)), ("Materials", 9, (3, 6)), ("Case study", 6, (4,)), ("Background", 2, (0,)), ("Problem: late", 3, (1,)), ("Solution", 3, (0,)),
+    ("Order of parts", 6, (5, 4)), ("Shipping notes", 5, (0, 2, 4)), ("the customer had an order of some size, and wanted it soon", 1, (0,)),
+)
+_MANY_FORMS = "SELECT o_orderkey, concat_ws(chr(10), " + ", ".join(f"CASE WHEN o_orderkey % {m} IN ({', '.join(map(str, r))}) THEN '{line}' END" for line, m, r in _LINES) + ") AS text FROM orders"
+_ORDER_SHEET = templates.Template("order_sheet", (r"(?im)^order of\b", r"(?im)^shipping\b"), (
+    templates.Section("Order", (r"(?im)^order\b",), ("Topic",), True), templates.Section("Shipping", (r"(?im)^shipping\b", r"(?im)^delivery\b"), ("Concept",), False),
+))
+
+
+def _many_forms(spark, d):
+    k = F.col("o_orderkey")
+    return t(spark, d, "orders").select("o_orderkey", F.concat_ws("\n", *[F.when((k % m).isin(*r), line) for line, m, r in _LINES]).alias("text"))
+
+
+def _detection_sql(known) -> str:
+    """The scores of all templates, from their patterns, and what ``detect`` makes of them."""
+    hit = lambda p: f"regexp_matches(text, '{p}')::INT"
+
+    def share(sections) -> str:
+        return f"({' + '.join('greatest(' + ', '.join(hit(p) for p in s.patterns) + ', 0)' for s in sections)}) / {len(sections)}.0::DOUBLE" if sections else "1.0::DOUBLE"
+
+    scores = []
+    for i, x in enumerate(known):
+        hits = " + ".join(hit(p) for p in x.patterns)
+        part = f"0.4::DOUBLE * least(2.0 * ({hits}) / {len(x.patterns)}, 1.0::DOUBLE) + 0.6::DOUBLE * (0.7::DOUBLE * {share([s for s in x.sections if s.required])} + 0.3::DOUBLE * {share([s for s in x.sections if not s.required])})"
+        scores.append(f"{{'s': -round({part}, 9), 'i': {i}, 'n': '{x.name}'}}")
+    return f"""WITH f AS ({_MANY_FORMS}), r AS (SELECT o_orderkey, length(text) < 50 AS short, list_sort([{', '.join(scores)}]) AS r FROM f),
+      n AS (SELECT *, CASE WHEN NOT short AND -r[1].s > 0.3 THEN r[1].n ELSE 'generic' END AS template, round(CASE WHEN short THEN 0 WHEN -r[1].s > 0.3 THEN -r[1].s ELSE 0.2 END, 4)::DOUBLE AS score FROM r)
+      SELECT o_orderkey, template, score, array_to_string([x.n FOR x IN r IF x.n <> template][1:3], ',') AS alternatives FROM n"""
+
+
+@query("x18_all_templates", _detection_sql(templates.TEMPLATES))
+def _(spark, d):
+    return templates.detect(_many_forms(spark, d), "o_orderkey").withColumn("alternatives", F.array_join("alternatives", ","))
+
+
+@query("x18_registered_templates", _detection_sql((*templates.TEMPLATES, _ORDER_SHEET)))
+def _(spark, d):
+    """A template that a user adds to the table takes part in all that follows."""
+    path = f"{graph.shared_folder(spark)}/templates-{uuid.uuid4().hex}"
+    templates.create_table(spark, path)
+    templates.add_template(spark, path, _ORDER_SHEET)
+    known = templates.read_templates(spark, path)
+    return templates.detect(_many_forms(spark, d), "o_orderkey", templates=known).withColumn("alternatives", F.array_join("alternatives", ","))
+
+
 @query("x20_template_quality", """SELECT o_orderkey, round(greatest(0.0, least(1.0, 0.4 * greatest(0.0, (o_orderkey % 6) / 6.0::DOUBLE - 0.1 * (o_orderkey % 3)) + 0.3 * least((o_custkey % 15) / 10.0::DOUBLE, 1.0) + 0.3 * 0.8)), 6) AS quality FROM orders""")
 def _(spark, d):
     k = F.col("o_orderkey")
