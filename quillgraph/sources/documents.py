@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .pdf import page_texts
+
 ENCODINGS = ("utf-8", "latin-1", "cp1252", "utf-16")
 EXTENSIONS = ("txt", "md", "docx", "pdf")
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -63,12 +65,8 @@ def _paragraph(p: ElementTree.Element) -> str:
 
 
 def pdf_text(data: bytes) -> str:
-    """The pages' texts with blank lines between; needs an optional library."""
-    try:
-        from pypdf import PdfReader
-    except ImportError as e:
-        raise ValueError("reading PDF needs the optional library pypdf") from e
-    return "\n\n".join(page.extract_text() or "" for page in PdfReader(io.BytesIO(data)).pages)
+    """The texts of the pages that have any, with blank lines between."""
+    return "\n\n".join(text for text in page_texts(data) if text.strip())
 
 
 def parsed(extension: str, data: bytes) -> dict:

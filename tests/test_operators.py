@@ -394,22 +394,11 @@ def test_embeddings_updates_backup_and_paths(spark, tmp_path):
 
 
 def test_pdf_pages_are_joined_by_blank_lines(monkeypatch):
-    class Page:
-        def __init__(self, text):
-            self.text = text
-
-        def extract_text(self):
-            return self.text
-
-    class Reader:
-        def __init__(self, data):
-            self.pages = [Page(t) for t in (*data.read().decode().split("|"), None)]
-
-    monkeypatch.setitem(sys.modules, "pypdf", type(sys)("pypdf"))
-    sys.modules["pypdf"].PdfReader = Reader
-    assert documents.pdf_text(b"one|two") == "one\n\ntwo\n\n"
-    monkeypatch.setitem(sys.modules, "pypdf", None)
-    with pytest.raises(ValueError):
+    monkeypatch.setattr(documents, "page_texts", lambda data: data.decode().split("|"))
+    assert documents.pdf_text(b"one|two") == "one\n\ntwo"
+    assert documents.pdf_text(b"one| |two|") == "one\n\ntwo"  # pages without text leave no gap
+    monkeypatch.undo()
+    with pytest.raises(ValueError, match="no PDF"):
         documents.pdf_text(b"one")
 
 
