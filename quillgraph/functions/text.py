@@ -129,12 +129,36 @@ def stub_entities(text: Column) -> Column:
 
 
 def capitalised_terms(text: Column, limit: int = 20) -> Column:
-    """Runs of one or two capitalised words of three letters or more, no stop words, each once and in order."""
+    """Runs of one or two capitalised words of three letters or more, no stop words, each once and in order. Punctuation is no part of them, other than in ``first_terms``."""
     stops = "|".join(sorted(w.capitalize() for w in STOP_WORDS))
     runs = F.regexp_extract_all(text, F.lit(rf"(?<!\p{{L}})(?!(?:{stops})(?!\p{{L}}))(\p{{Lu}}\p{{L}}{{2,}}(?: \p{{Lu}}\p{{L}}+)?)"), 1)
     return F.slice(F.array_distinct(runs), 1, limit)
 
 
+# Words that begin no term.
+COMMON_WORDS = ("the", "and", "for", "with", "that")
+
+
+def first_terms(text: Column, limit: int = 20) -> Column:
+    """The first ``limit`` terms: a capitalised word of three characters or more that is not common, with the next word if that is capitalised too.
+
+    A word that has been part of a term begins no other. One fold over the words, which remembers no more than the terms' words.
+    """
+    all_words = words(text)
+    pairs = F.zip_with(all_words, F.slice(all_words, 2, F.greatest(F.size(all_words) - 1, F.lit(0))), lambda w, after: F.struct(w.alias("w"), F.coalesce(after, F.lit("")).alias("after")))
+    begins = F.filter(pairs, lambda p: (F.length(p["w"]) >= 3) & p["w"].rlike(r"^\p{Lu}") & ~F.lower(p["w"]).isin(*COMMON_WORDS))
+    none = F.array().cast("array<string>")
+
+    def take(state: Column, p: Column) -> Column:
+        two = p["after"].rlike(r"^\p{Lu}")
+        term = F.when(two, F.concat_ws(" ", p["w"], p["after"])).otherwise(p["w"])
+        seen = F.concat(state["seen"], F.when(two, F.array(p["w"], p["after"])).otherwise(F.array(p["w"])))
+        full = F.size(state["terms"]) >= limit
+        return F.when(full | F.array_contains(state["seen"], p["w"]), state).otherwise(F.struct(F.concat(state["terms"], F.array(term)).alias("terms"), seen.alias("seen")))
+
+    return F.aggregate(begins, F.struct(none.alias("terms"), none.alias("seen")), take, lambda state: state["terms"])
+
+
 def triggered_entities(text: Column, triggers: dict[str, str]) -> Column:
     """Entities whose trigger word occurs in the text, in the order given."""
     found = [F.when(F.lower(text).contains(word), F.lit(name)) for word, name in triggers.items()]

@@ -158,9 +158,13 @@ def _(spark, d):
     return p.select("doc_id", "idx", x.n_tokens(F.col("p.text")).alias("tokens"), F.md5("p.description").alias("description_md5"))
 
 
-@query("x15_capitalised_terms")
+@query("x15_capitalised_terms", f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents), u AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS w, unnest(list_append(w[2:], '')) AS after FROM w),
+  c AS MATERIALIZED (SELECT doc_id, w, CASE WHEN regexp_matches(after, '^\\p{{Lu}}') THEN after END AS after, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i FROM u WHERE length(w) >= 3 AND regexp_matches(w, '^\\p{{Lu}}') AND lower(w) NOT IN ({", ".join(f"'{y}'" for y in x.COMMON_WORDS)})),
+  f AS (SELECT doc_id, 0::BIGINT AS i, []::VARCHAR[] AS terms, []::VARCHAR[] AS seen FROM documents UNION ALL
+    SELECT f.doc_id, c.i, CASE WHEN list_contains(seen, c.w) THEN terms ELSE list_append(terms, concat_ws(' ', c.w, c.after)) END, CASE WHEN list_contains(seen, c.w) THEN seen ELSE list_concat(seen, [c.w, coalesce(c.after, c.w)]) END FROM f JOIN c ON c.doc_id = f.doc_id AND c.i = f.i + 1 WHERE len(terms) < 20)
+  SELECT doc_id, array_to_string(max_by(terms, i), '|') AS terms FROM f GROUP BY doc_id""")
 def _(spark, d):
-    return _docs(spark, d).select("doc_id", F.array_join(x.capitalised_terms(F.col("text")), "|").alias("terms"))
+    return _docs(spark, d).select("doc_id", F.array_join(x.first_terms(F.col("text")), "|").alias("terms"))
 
 
 @query("x26_extraction_batches")
@@ -241,6 +245,21 @@ def _(spark, d):
     return templates.detect(_many_forms(spark, d), "o_orderkey", templates=known).withColumn("alternatives", F.array_join("alternatives", ","))
 
 
+def _sections_sql(known) -> str:
+    parts = []
+    for x in known:
+        hits = ", ".join(f"CASE WHEN {' OR '.join(f"regexp_matches(content, '{p}')" for p in y.patterns)} THEN {{'o': {i}, 's': '{y.name}', 'c': {0.9 if y.required else 0.8}::DOUBLE}} END" for i, y in enumerate(x.sections))
+        parts.append(f"""SELECT '{x.name}' AS template, f.o_orderkey, coalesce(h.s, '{x.sections[0].name}') AS section, coalesce(h.start, 0)::INT AS start, coalesce(lead(h.start) OVER (PARTITION BY f.o_orderkey ORDER BY h.start, h.o), f.n)::INT AS "end", coalesce(h.c, 0.5) AS confidence
+          FROM f LEFT JOIN (SELECT o_orderkey, s.s, s.o, any_value(s.c) AS c, min(line) AS start FROM (SELECT o_orderkey, line, unnest([{hits}]) AS s FROM l) u WHERE s IS NOT NULL GROUP BY o_orderkey, s.s, s.o) h USING (o_orderkey)""")
+    return f"WITH d AS ({_MANY_FORMS}), f AS (SELECT o_orderkey, len(string_split(text, chr(10))) AS n FROM d), l AS (SELECT o_orderkey, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM d) " + " UNION ALL ".join(parts)
+
+
+@query("x19_sections_of_all_templates", _sections_sql(templates.TEMPLATES))
+def _(spark, d):
+    forms = _many_forms(spark, d)
+    return graph.union_all([templates.sections(forms, "o_orderkey", y).withColumn("template", F.lit(y.name)) for y in templates.TEMPLATES])
+
+
 @query("x20_template_quality", """SELECT o_orderkey, round(greatest(0.0, least(1.0, 0.4 * greatest(0.0, (o_orderkey % 6) / 6.0::DOUBLE - 0.1 * (o_orderkey % 3)) + 0.3 * least((o_custkey % 15) / 10.0::DOUBLE, 1.0) + 0.3 * 0.8)), 6) AS quality FROM orders""")
 def _(spark, d):
     k = F.col("o_orderkey")

@@ -40,14 +40,18 @@ def over_limit(requests: DataFrame, key: str, time_column: str, seconds: int = 6
     return counted.where(F.col("requests") > limit).select(key, F.col("w.start").alias("window_start"), "requests")
 
 
-def restarting_limit(requests: DataFrame, key: str, time_column: str, seconds: int = 60, limit: int = 60) -> DataFrame:
+def restarting_limit(requests: DataFrame, key: str, time_column: str, seconds: int = 60, limit: int = 60, delay: str = "1 minute") -> DataFrame:
     """``key, ts, allowed``: windows that begin with the first request after the last one ended; state is two numbers a key.
 
-    Rows of one micro-batch are taken in order of time: of a key's rows only the times are held, as eight bytes each.
+    A key's state is dropped when the watermark has passed its window's end, so that keys that never come again take no place; rows later than the watermark
+    are dropped. Rows of one micro-batch are taken in order of time: of a key's rows only the times are held, as eight bytes each.
     """
     schema = f"{key} string, ts timestamp, allowed boolean"
 
     def judge(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         start, used = state.get if state.exists else (None, 0)
         times = np.sort(np.concatenate([f["ts"].to_numpy("datetime64[us]").astype(np.int64) for f in frames]))
         allowed = []
@@ -57,10 +61,11 @@ def restarting_limit(requests: DataFrame, key: str, time_column: str, seconds: i
             used += 1
             allowed.append(used <= limit)
         state.update((start, used))
+        state.setTimeoutTimestamp(max(int((start + seconds) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: str(group[0]), "ts": times.astype("datetime64[us]"), "allowed": allowed})
 
-    typed = requests.select(F.col(key).cast("string").alias(key), F.col(time_column).cast("timestamp").alias("ts"))
-    return typed.groupBy(key).applyInPandasWithState(judge, schema, "start double, used long", "append", GroupStateTimeout.NoTimeout)
+    typed = requests.select(F.col(key).cast("string").alias(key), F.col(time_column).cast("timestamp").alias("ts")).withWatermark("ts", delay)
+    return typed.groupBy(key).applyInPandasWithState(judge, schema, "start double, used long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def expiring_jobs(events: DataFrame, ttl: str = "300 seconds", terminal: tuple[str, ...] = ("completed", "failed")) -> DataFrame:
@@ -95,7 +100,8 @@ def deduplicated(events: DataFrame, key: str, time_column: str, delay: str = "1
 def upserting(stream: DataFrame, path: str, initial: Callable[[], DataFrame], key: str = "id", buckets: int = 64) -> DataStreamWriter:
     """Upserts each micro-batch into the table under ``path``, which lies in ``buckets`` parts by a hash of the key.
 
-    Only the parts that a batch has keys for are read and written again; a batch that is repeated upserts the same rows once more.
+    Only the parts that a batch has keys for are read and written again; a batch that is repeated upserts the same rows once more. Parts are replaced in place: readers may see some
+    of a batch, and a driver that is lost meanwhile leaves them to the repeated batch. ``merge_log`` has neither; this is for a plain table that others read.
     ``initial`` gives the table before the first batch. Rows of a batch with status ``ready`` in the table are skipped.
     """
     part = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")

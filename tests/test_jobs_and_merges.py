@@ -127,3 +127,25 @@ def test_a_stream_that_restarts_merges_each_batch_once(spark, tmp_path):
         run(fail_at=1)
     run()
     assert seen == [0, 1, 1, 2] and {r[0] for r in rows_of(log)} == {"a", "k0", "k1", "k2"} and len(log._listed("commits")) == 3
+
+
+def test_windows_restart_with_the_first_request_after_their_end(spark, tmp_path):
+    from quillgraph.streaming import telemetry
+
+    schema = "who string, ts timestamp"
+    batches = [[("a", at(s)) for s in (0, 1, 2, 59, 60, 61)] + [("b", at(5))], [("a", at(s)) for s in (100, 130, 131)], [("c", at(5000))], [("a", at(5001)), ("b", at(5002)), ("b", at(5003)), ("b", at(5004)), ("b", at(5005))]]
+    source = tmp_path / "in"
+    import os
+
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
+        newest = max(source.glob("part-*"), key=lambda p: p.stat().st_mtime_ns)
+        os.utime(newest, (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+    q = telemetry.restarting_limit(stream, "who", "ts", 60, 3).writeStream.option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).format("parquet").start(str(tmp_path / "out"))
+    q.awaitTermination()
+    refused = sorted((r.who, r.ts) for r in spark.read.parquet(str(tmp_path / "out")).where("not allowed").collect())
+    # a: a window from 0 (59 is its fourth), one from 60 (60, 61, 100), one from 130; b: one from 5, whose state is gone by then, and one from 5002
+    assert refused == [("a", at(59)), ("b", at(5005))]
+    progress = q.recentProgress
+    assert min(p["stateOperators"][0]["numRowsTotal"] for p in progress if p["batchId"] >= 2 and p["stateOperators"]) <= 2

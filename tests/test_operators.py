@@ -413,7 +413,10 @@ def test_ranges_and_evictions_need_no_global_order(spark):
 def test_capitalised_terms_and_sentences_in_plain_python(spark):
     text = "The Neural Network of Paris met Anna Smith. A CPU, Über Alles Here; And iPhone Neural Network"
     assert one(spark, x.capitalised_terms(F.lit(text))) == ["Neural Network", "Paris", "Anna Smith", "CPU", "Über Alles", "Here"]
+    assert one(spark, x.first_terms(F.lit(text))) == ["Neural Network", "Paris", "Anna Smith.", "CPU, Über", "Alles Here;"]
+    assert one(spark, x.first_terms(F.lit(text), 2)) == ["Neural Network", "Paris"] and one(spark, x.first_terms(F.lit(None).cast("string"))) == []
     assert x.split_sentences("Dr. Smith went home. He was tired.") == ["Dr. Smith went home.", "He was tired."]
+    assert x.split_sentences("See fig. 2! Rev. Ott has 1.5. More at 3. No? yes vs. no.") == ["See fig. 2!", "Rev. Ott has 1.5. More at 3.", "No? yes vs. no."]
     assert x.normalised_text("ﬁne\u00a0 \x07text\u3000end") == "fine text end"
 
 
