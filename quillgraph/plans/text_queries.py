@@ -132,13 +132,43 @@ def _(spark, d):
     return _docs(spark, d).select("doc_id", F.md5(x.normalise("text")).alias("text_md5"), F.md5(x.normalise_query("text")).alias("query_md5"))
 
 
-@query("x06_parent_child_chunks")
+def _packing(name: str, units: str, size: int, overlap: int) -> str:
+    """CTEs: of ``units`` (k, i from 1, n words) the groups ``name`` (k, g, s, e) of at most ``size`` words, each but the first with the units before it of up to ``overlap`` words."""
+    return f"""{name}_p AS (SELECT k, i, n, (sum(n) OVER (PARTITION BY k ORDER BY i))::BIGINT AS p FROM {units}), {name}_l AS MATERIALIZED (SELECT k, list(p ORDER BY i) AS ps, list(n ORDER BY i) AS ns FROM {name}_p GROUP BY k),
+  {name} AS (SELECT k, 1::BIGINT AS g, 1::BIGINT AS s, greatest(1, len([x FOR x IN ps IF x <= {size}]))::BIGINT AS e FROM {name}_l UNION ALL
+    SELECT k, g + 1, s2, greatest(f, len([x FOR x IN ps IF x - coalesce(ps[s2 - 1], 0) <= {size}])) FROM (SELECT k, g, e + 1 AS f, ps,
+      greatest(s, least(e + 1, 1 + len([x FOR x IN list_prepend(0, ps[1:e]) IF x < ps[e] - least({overlap}, {size} - ns[e + 1])]))) AS s2 FROM {name} JOIN {name}_l USING (k) WHERE e < len(ps)) y)"""
+
+
+def _pieces(name: str, units: str, size: int) -> str:
+    """CTE: ``units`` (k, i, w, a list of words, and their text) in order, those of more than ``size`` words cut to so many: k, i, w, n, text."""
+    return f"""{name} AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY i, j) AS i, w, len(w) AS n, CASE WHEN m > {size} THEN array_to_string(w, ' ') ELSE text END AS text FROM (SELECT k, i, len(w) AS m, text, unnest(range(1, greatest(1, len(w)) + 1, {size})) AS j, unnest([w[y : y + {size} - 1] FOR y IN range(1, greatest(1, len(w)) + 1, {size})]) AS w FROM {units}) z)"""
+
+
+_PARAGRAPHS = f"para AS (SELECT k, i, trim(text, ' ' || chr(9) || chr(13)) AS text, {_WORDS.replace("coalesce(text, '')", "text")} AS w FROM (SELECT doc_id AS k, unnest(string_split(coalesce(text, ''), chr(10))) AS text, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents) x WHERE trim(text, ' ' || chr(9) || chr(13)) <> '')"
+
+
+def _sentences_sql(name: str, source: str) -> str:
+    """CTE: the sentences of ``source`` (k, w, all words) in order: k, i, w."""
+    return rf"""{name}_u AS (SELECT k, unnest(w) AS w, unnest(list_append(w[2:], '')) AS after, unnest(range(1, len(w) + 1)) AS pos FROM {source}),
+  {name}_b AS (SELECT k, pos, w, regexp_matches(w, '[.!?]$') AND lower(regexp_replace(w, '[.!?,;:]+$', '')) NOT IN ({_ABBREVIATIONS}) AND NOT regexp_matches(regexp_replace(w, '[.!?]+$', ''), '^[0-9]+\.[0-9]*$') AND NOT (regexp_matches(w, '\.$') AND regexp_matches(after, '^\p{{Ll}}')) AS stop FROM {name}_u),
+  {name}_n AS (SELECT k, pos, w, coalesce(sum(stop::INT) OVER (PARTITION BY k ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS i FROM {name}_b), {name} AS (SELECT k, i, list(w ORDER BY pos) AS w, string_agg(w, ' ' ORDER BY pos) AS text FROM {name}_n GROUP BY k, i)""".replace("\\\\", "\\")
+
+
+@query("x06_parent_child_chunks", f"""WITH RECURSIVE {_PARAGRAPHS}, many AS (SELECT k, count(*) > 1 AS many FROM para GROUP BY k), whole AS (SELECT k, flatten(list(w ORDER BY i)) AS w FROM para GROUP BY k), {_sentences_sql("sent", "whole")},
+  base AS (SELECT k, i, w, text FROM para JOIN many USING (k) WHERE many UNION ALL SELECT k, i, w, text FROM sent JOIN many USING (k) WHERE NOT many), {_pieces("unit", "base", 1500)}, {_packing("parent", "unit", 1500, 200)},
+  bodies AS MATERIALIZED (SELECT parent.k AS doc, g, list(text ORDER BY i) AS texts, bool_and(many.many) AS many, flatten(list(w ORDER BY i)) AS w FROM parent JOIN unit ON unit.k = parent.k AND i BETWEEN s AND e JOIN many ON many.k = parent.k GROUP BY parent.k, g),
+  body AS (SELECT doc, g, w, CASE WHEN many THEN array_to_string(texts, chr(10)) ELSE array_to_string(texts, ' ') END AS text FROM bodies),
+  inner_text AS (SELECT doc || '-' || g AS k, w FROM body), {_sentences_sql("cs", "inner_text")}, {_pieces("cu", "cs", 800)}, {_packing("child", "cu", 800, 200)},
+  tail AS (SELECT child.k, g, sum(n) AS words FROM child JOIN cu ON cu.k = child.k AND i BETWEEN s AND e GROUP BY child.k, g), kids AS (SELECT k, (max(g) - CASE WHEN max(g) > 1 AND max_by(words, g) < 400 THEN 1 ELSE 0 END)::INT AS children FROM tail GROUP BY k)
+  SELECT doc AS doc_id, (g - 1)::INT AS idx, len(w)::INT AS token_count, md5(text) AS text_md5, children FROM body JOIN kids ON kids.k = doc || '-' || g""")
 def _(spark, d):
     p = _docs(spark, d).select("doc_id", F.explode(c.parent_child_chunks("text")).alias("p"))
     return p.select("doc_id", "p.idx", "p.token_count", F.md5("p.text").alias("text_md5"), F.size("p.children").alias("children"))
 
 
-@query("x07_section_chunks")
+@query("x07_section_chunks", f"""WITH RECURSIVE {_PARAGRAPHS}, {_pieces("unit", "para", 800)}, {_packing("chunk", "unit", 800, 200)}
+  SELECT chunk.k AS doc_id, 'chunk_' || chunk.k || '_' || (g - 1) AS id, sum(n)::INT AS token_count, 'Document' AS path FROM chunk JOIN unit ON unit.k = chunk.k AND i BETWEEN s AND e GROUP BY chunk.k, g""")
 def _(spark, d):
     p = _docs(spark, d).select("doc_id", F.explode(c.chunk_sections("text")).alias("p"))
     return p.select("doc_id", c.chunk_id(F.col("doc_id").cast("string"), F.col("p.idx")).alias("id"), "p.token_count", F.array_join("p.section_path", "/").alias("path"))
@@ -167,7 +197,8 @@ def _(spark, d):
     return _docs(spark, d).select("doc_id", F.array_join(x.first_terms(F.col("text")), "|").alias("terms"))
 
 
-@query("x26_extraction_batches")
+@query("x26_extraction_batches", f"""WITH RECURSIVE {_PARAGRAPHS}, unit AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY i) AS i, len(w) AS n FROM para), {_packing("batch", "unit", 3000, 200)}
+  SELECT doc_id, coalesce(n, 0)::INT AS batches FROM documents LEFT JOIN (SELECT k, max(g) AS n FROM batch GROUP BY k) b ON k = doc_id""")
 def _(spark, d):
     return _docs(spark, d).select("doc_id", F.size(c.extraction_batches("text")).alias("batches"))
 
