@@ -32,15 +32,16 @@ def scratch_dir(spark: SparkSession) -> str:
     return configured
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back.
+def written(df: DataFrame, name: str, group_mb: int | None = None) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back. ``group_mb``: what a writer holds of its file at once, for rows that are large.
 
     This cuts the lineage: what follows survives the loss of any executor, and a task that is
     repeated reads the same rows again.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/quillgraph-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer if group_mb is None else writer.option("parquet.block.size", group_mb << 20)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

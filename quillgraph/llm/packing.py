@@ -88,7 +88,7 @@ def tokenized(df: DataFrame, key: str, text: str, tokenizer_path: str, end_id: i
                 at = int(ends[-1])
 
     kind = df.schema[key].dataType.simpleString()
-    return written(df.select(key, text).mapInArrow(run, f"part int, local_start long, doc_id {kind}, n long, ids binary"), "tokens")
+    return written(df.select(key, text).mapInArrow(run, f"part int, local_start long, doc_id {kind}, n long, ids binary"), "tokens", group_mb=16)
 
 
 def cut(tokens: DataFrame, length: int) -> DataFrame:
