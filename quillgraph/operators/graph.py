@@ -207,7 +207,7 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, source: str, target: str,
     meeting nodes outwards, and the path that sorts first among these nodes alone; rounds carry ids, no paths.
     """
     spark = edges.sparkSession
-    pairs = both_ways(edges).select("id", "other")
+    pairs = steps(edges)
     sides = [[spark.createDataFrame([(end,)], "id string")] for end in (source, target)]
     sizes = [1, 1]
 
