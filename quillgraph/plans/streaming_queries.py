@@ -58,7 +58,9 @@ def _(spark, d):
     return _finished(s.over_limit(_stream(spark, d), "event_type", "ts", 3600, 3), "complete").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query("r03_stream_restarting_limit")
+@query("r03_stream_restarting_limit", """WITH RECURSIVE o AS MATERIALIZED (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events), r AS (SELECT user_id, i, ts AS start, 1 AS used FROM o WHERE i = 1
+    UNION ALL SELECT o.user_id, o.i, CASE WHEN o.ts >= r.start + INTERVAL 1 HOUR THEN o.ts ELSE r.start END, CASE WHEN o.ts >= r.start + INTERVAL 1 HOUR THEN 1 ELSE used + 1 END FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1)
+  SELECT user_id::VARCHAR AS user_id, used <= 3 AS allowed, count(*) AS n FROM r GROUP BY ALL""")
 def _(spark, d):
     return _finished(s.restarting_limit(_stream(spark, d), "user_id", "ts", 3600, 3), "append").groupBy("user_id", "allowed").agg(F.count(F.lit(1)).alias("n"))
 
