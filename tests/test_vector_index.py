@@ -108,6 +108,6 @@ def test_many_small_blocks_take_few_tasks(spark):
     df = spark.createDataFrame([(i, f"m{i % 2000}", v.tolist()) for i, v in enumerate(x)], "id long, m string, embedding array<double>")
     start = time.time()
     got = {(r.a, r.b) for r in similarity.similar_pairs(df, 0.8, ["m"]).collect()}
-    assert time.time() - start < 60
+    assert time.time() - start < 120  # hours with a Python group for each pair of groups of each block
     u = unit(x)
     assert got == {(i, j) for i in range(2000) for i in range(i, 20_000, 2000) for j in range(i + 2000, 20_000, 2000) if u[i] @ u[j] >= 0.8}
