@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from itertools import product
 
 from pyspark.sql import functions as F
@@ -24,3 +25,25 @@ def test_many_staff_of_a_large_department(spark):
     users = spark.range(20_000).select(F.concat(F.lit("u"), "id").alias("uid"), F.lit("staff").alias("role"), F.lit("d").alias("department_id"), F.array(F.concat(F.lit("r"), "id")).alias("subject_ids"))
     rows = spark.range(20_000).select(F.concat(F.lit("r"), "id").alias("id"), F.concat(F.lit("r"), "id").alias("subject_id"), F.lit("d").alias("department_id"))
     assert [tuple(r) for r in hierarchy.visible_counts(users, rows).groupBy("n").count().collect()] == [(20_000, 20_000)]
+
+
+def test_shapes_of_a_tree_are_those_of_the_nested_one(spark):
+    """Also with ties, missing values, and rows whose parents are not there."""
+    tables = {
+        "departments": spark.createDataFrame([("d1", "One"), ("d2", "Two"), ("d3", "None")], "id string, name string"),
+        "semesters": spark.createDataFrame([(f"t{i}", "s", i % 3, "d1" if i % 2 else "d2") for i in range(7)] + [("lost", "s", 1, "d9")], "id string, name string, semester_number int, department_id string"),
+        "subjects": spark.createDataFrame([(f"s{i}", f"n{i % 5}", "c", None if i % 11 == 0 else f"t{i % 5}") for i in range(60)], "id string, name string, code string, semester_id string"),
+        "modules": spark.createDataFrame([(f"m{i}", "x", None if i % 13 == 0 else i % 4, f"s{i % 70}") for i in range(200)], "id string, name string, module_number int, subject_id string"),
+        "notes": spark.createDataFrame([(f"k{i}", "t", f"m{i % 150}", i % 6) for i in range(500)], "id string, title string, module_id string, t int").withColumn("created_at", F.timestamp_seconds("t")).drop("t"),
+    }
+
+    def text(rows, sep, part):
+        return sep.join(part(r) for r in rows or [])
+
+    def subject(s):
+        return f"{s.id}({text(s.children, ',', lambda m: f'{m.id}[' + text(m.children, ';', lambda n: n.id) + ']')})"
+
+    expected = {d.id: d.children and text(d.children, ",", lambda t: f"{t.id}:" + hashlib.md5(text(t.children, ",", subject).encode()).hexdigest()) for d in hierarchy.tree(tables).collect()}
+    assert {r.id: r.shape for r in hierarchy.tree_shapes(tables).collect()} == expected
+    found = hierarchy.semester_shapes(tables)
+    assert {r.id: r.subjects for r in found.collect()} == {r.semester_id: r["count"] for r in tables["subjects"].where("semester_id is not null").groupBy("semester_id").count().collect()}
