@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
@@ -17,6 +18,8 @@ from .graph import connected_components, settled, shared_folder
 
 #: Rows of a group of vectors that are compared at once.
 BLOCK_ROWS = 1024
+#: Characters of the contexts of merged entities.
+CONTEXT_CHARS = 500
 
 
 def nearest(df: DataFrame, query: list[float], k: int, label: object = None, embedding: str = "embedding", key: str = "id") -> DataFrame:
@@ -45,18 +48,31 @@ def similar_pairs(df: DataFrame, threshold: float, block: list[str] | None = Non
     at all still meet all others. With blocks, a block of more than ``block_rows`` is dealt to groups of about so many, of which every pair is one task's
     work, and small blocks are dealt to tasks together. No task holds more than two groups.
     """
-    rows = df.where((F.size(embedding) > 0) & F.col(key).isNotNull())
     if not block:
-        spark = df.sparkSession
-        found = []
-        for dim in sorted(r.n for r in rows.select(F.size(embedding).alias("n")).distinct().collect()):  # lengths, of which there are few
-            index = vector_index.build(rows, f"{shared_folder(spark)}/pairs-{uuid.uuid4().hex}", dim, embedding=embedding, key=key)
-            found.append(vector_index.close_pairs(index, spark, threshold))
         kind = df.schema[key].dataType.simpleString()
-        return reduce(DataFrame.unionByName, found, spark.createDataFrame([], f"a {kind}, b {kind}, score double")) if len(found) != 1 else found[0]
+        return _by_length(df, lambda index: vector_index.close_pairs(index, df.sparkSession, threshold), f"a {kind}, b {kind}, score double", embedding, key)
+    rows = df.where((F.size(embedding) > 0) & F.col(key).isNotNull())
     return _pairs_in_blocks(rows.select(F.col(key).alias("id"), v.unit(F.col(embedding)).alias("u"), *block), threshold, block, block_rows)
 
 
+def similar_links(df: DataFrame, threshold: float, block: list[str] | None = None, embedding: str = "embedding", key: str = "id") -> DataFrame:
+    """``a, b``: pairs of ``similar_pairs``, enough of them that the same rows hang together; without blocks they are no more than the rows times the tiles they lie in."""
+    if block:
+        return similar_pairs(df, threshold, block, embedding, key).select("a", "b")
+    kind = df.schema[key].dataType.simpleString()
+    return _by_length(df, lambda index: vector_index.close_links(index, df.sparkSession, threshold), f"a {kind}, b {kind}", embedding, key)
+
+
+def _by_length(df: DataFrame, search: Callable[[vector_index.Index], DataFrame], schema: str, embedding: str, key: str) -> DataFrame:
+    """What is found among the vectors of each length."""
+    rows = df.where((F.size(embedding) > 0) & F.col(key).isNotNull()).select(key, embedding)
+    spark = df.sparkSession
+    found = []
+    for dim in sorted(r.n for r in rows.select(F.size(embedding).alias("n")).distinct().collect()):  # lengths, of which there are few
+        found.append(search(vector_index.build(rows, f"{shared_folder(spark)}/pairs-{uuid.uuid4().hex}", dim, embedding=embedding, key=key)))
+    return reduce(DataFrame.unionByName, found, spark.createDataFrame([], schema)) if len(found) != 1 else found[0]
+
+
 def _pairs_in_blocks(rows: DataFrame, threshold: float, block: list[str], block_rows: int) -> DataFrame:
     kind = rows.schema["id"].dataType.simpleString()
     sizes = settled(rows.groupBy(*block).agg(F.count(F.lit(1)).alias("n")))
@@ -101,15 +117,18 @@ def merged_entities(entities: DataFrame, pairs: DataFrame, contexts: int | None
     rows = entities.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     best = F.max_by("id", F.struct(F.coalesce("confidence", F.lit(-1.0)), -F.col("ord")))
     filled = F.when(F.coalesce(F.trim("definition"), F.lit("")) != "", F.col("definition"))
-    told = F.array_sort(F.collect_list(F.when(F.coalesce("context", F.lit("")) != "", F.struct("ord", F.substring("context", 1, 100).alias("c")))))
-    kept = told if contexts is None else F.slice(told, 1, contexts)
+    # so many contexts fill the 500 characters, whatever the component's size
+    most = CONTEXT_CHARS // 6 + 2 if contexts is None else min(contexts, CONTEXT_CHARS // 6 + 2)
+    early = Window.partitionBy("component").orderBy("ord", "_c")
+    told = rows.where(F.coalesce("context", F.lit("")) != "").select("component", "ord", F.substring("context", 1, 100).alias("_c")).withColumn("_r", F.row_number().over(early)).where(F.col("_r") <= most)
+    told = told.groupBy("component").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "_c"))), lambda x: x["_c"]), " ... ").alias("_told"))
     grouped = rows.groupBy("component").agg(
         best.alias("canonical_id"),
         F.min_by(filled, F.when(filled.isNotNull(), F.col("ord"))).alias("_definition"),
-        F.substring(F.array_join(F.transform(kept, lambda x: x["c"]), " ... "), 1, 500).alias("_context"),
         F.sum(F.coalesce("mention_count", F.lit(1))).alias("_mentions"),
         F.count(F.lit(1)).alias("_n"),
     )
+    grouped = grouped.join(told, "component", "left").withColumn("_context", F.substring(F.coalesce("_told", F.lit("")), 1, CONTEXT_CHARS))
     joined = rows.join(grouped, "component")
     aliases = joined.select("id", "canonical_id")
     canonical = joined.where(F.col("id") == F.col("canonical_id")).withColumns({
@@ -125,7 +144,7 @@ def semantic_dedupe(entities: DataFrame, threshold: float = 0.85, block: list[st
     same = entities.select("id", F.col("id").alias("canonical_id"))
     if entities.where(F.size("embedding") > 0).limit(minimum).count() < minimum:
         return entities, same
-    pairs = similar_pairs(entities, threshold, block)
+    pairs = similar_links(entities, threshold, block)
     return merged_entities(entities, pairs, contexts, sum_mentions)
 
 

@@ -29,6 +29,8 @@ from .graph import settled
 
 #: Rows that centroids are fitted on (about), rows of a block, and the most cells there are.
 SAMPLE, BLOCK_ROWS, MAX_CELLS = 16_384, 1024, 4096
+#: Tiles that pairs are searched in, at least, and the most bytes of vectors of one (about): a task holds two.
+TILES, TILE_BYTES = 12, 32_000_000
 #: Queries (about) that meet a block at once.
 CHUNK_QUERIES = 256
 #: Zero vectors have a cell of their own.
@@ -296,33 +298,160 @@ def cell_pairs(index: Index, spark: SparkSession, threshold: float) -> DataFrame
     return cells.select("cell").mapInArrow(run, "cell int, other int")
 
 
+def _tiles(index: Index, spark: SparkSession, threshold: float) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """``cell, first, parts``: the tiles that a cell's blocks are dealt to, and ``tile, lo, hi``: for each tile the pairs of tiles it takes part in.
+
+    Tiles hold about as many rows each, from cells near to each other, and are at least ``TILES``, so that a row goes to so many tasks whatever the number of rows,
+    until a tile holds ``TILE_BYTES``. Only pairs of tiles that some pair of cells needs are there. The driver holds a few numbers for each cell.
+    """
+    sizes = {r.cell: (r.n, r.far) for r in index.cells(spark).groupBy("cell").agg(F.sum("n").alias("n"), F.max("far").alias("far")).collect()}
+    numbers = np.array(sorted(sizes), np.int64)
+    n, far = (np.array([sizes[c][i] for c in numbers.tolist()], np.float64) for i in (0, 1))
+    total, dim = int(n.sum()), index.centroids.shape[1]
+    tiles = max(min(TILES, -(-total // BLOCK_ROWS)), -(-total * dim * 8 // TILE_BYTES), 1)
+    most = -(-total // tiles)
+    at = np.where((numbers >= 0)[:, None], index.centroids[np.maximum(numbers, 0)], 0.0) if len(index.centroids) else np.zeros((len(numbers), dim))
+    left, chain, here = np.ones(len(numbers), bool), [], 0
+    while left.any():  # each cell is followed by the nearest one that is left
+        chain.append(here)
+        left[here] = False
+        here = int(np.argmax(np.where(left, at @ at[here], -np.inf)))
+    spans, tile, filled = {}, 0, 0
+    for c in chain:
+        if filled and filled + n[c] > most:
+            tile, filled = tile + 1, 0
+        spans[c] = (tile, max(1, -(-int(n[c]) // most)))
+        filled += n[c]
+        if spans[c][1] > 1:
+            tile, filled = tile + spans[c][1], 0
+    wanted = set()
+    for c in range(len(numbers)):
+        upper = _most(numbers[c], at[c], far[c], numbers, at, far)
+        for o in np.nonzero(upper[c:] >= threshold)[0] + c:
+            wanted |= {tuple(sorted((spans[c][0] + i, spans[o][0] + j))) for i in range(spans[c][1]) for j in range(spans[o][1])}
+    return [(int(numbers[c]), *span) for c, span in spans.items()], [x for lo, hi in sorted(wanted) for x in {(lo, lo, hi), (hi, lo, hi)}]
+
+
+def _most(cell: int, centre: np.ndarray, far: float, cells: np.ndarray, centres: np.ndarray, fars: np.ndarray) -> np.ndarray:
+    """The most a cosine between a vector of one cell and one of each other cell can be."""
+    least = np.maximum(0.0, np.linalg.norm(centres - centre, axis=1) - fars - far - SLACK)
+    return np.where((cells >= 0) & (cell >= 0), 1.0 - least * least / 2.0, 0.0)
+
+
+def _met(index: Index, spark: SparkSession, threshold: float, run, schema: str) -> DataFrame:
+    """``run`` over the blocks of each pair of tiles that may hold a pair."""
+    cells, pairs = _tiles(index, spark, threshold)
+    spans = spark.createDataFrame(cells, "cell int, first int, parts int")
+    pairs = spark.createDataFrame(pairs, "tile int, lo int, hi int")
+    dealt = index.blocks(spark).join(F.broadcast(spans), "cell").withColumn("tile", (F.col("first") + F.pmod(F.xxhash64("ids"), F.col("parts"))).cast("int"))
+    spread = dealt.join(F.broadcast(pairs), "tile").select("lo", "hi", "tile", "cell", "far", "ids", "vectors")
+    return spread.groupBy("lo", "hi").applyInArrow(run, schema)
+
+
+class _Block(NamedTuple):
+    tile: int
+    cell: int
+    far: float
+    ids: np.ndarray
+    x: np.ndarray
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], dim: int) -> list[_Block]:
+    """Of a pair of tiles, which are bounded."""
+    found = []
+    for batch in batches:
+        tile, cell, far, ids, vectors = (batch.column(name) for name in ("tile", "cell", "far", "ids", "vectors"))
+        for i in range(batch.num_rows):
+            x = np.frombuffer(vectors[i].as_buffer(), "<f8").reshape(-1, dim)
+            found.append(_Block(tile[i].as_py(), cell[i].as_py(), far[i].as_py(), ids[i].values.to_numpy(zero_copy_only=False), x))
+    return found
+
+
+def _meetings(blocks: list[_Block], centroids: np.ndarray, threshold: float) -> Iterator[tuple[int, int]]:
+    """The pairs of blocks, of two tiles or of one, whose bound reaches the threshold."""
+    cells, fars = np.array([b.cell for b in blocks]), np.array([b.far for b in blocks])
+    tiles = np.array([b.tile for b in blocks])
+    centres = np.where((cells >= 0)[:, None], centroids[np.maximum(cells, 0)], 0.0) if len(centroids) else np.zeros((len(cells), centroids.shape[1]))
+    two = len(set(tiles.tolist())) > 1
+    for i in range(len(blocks)):
+        upper = _most(cells[i], centres[i], fars[i], cells, centres, fars)
+        for j in np.nonzero((upper >= threshold) & (np.arange(len(blocks)) >= i) & ((tiles != tiles[i]) | (not two)))[0].tolist():
+            yield i, j
+
+
+def _reaching(x: np.ndarray, y: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of ``x`` and of ``y`` with their cosine, where it reaches the threshold; the sums are in order, so that they do not depend on blocks."""
+    p, q = np.nonzero(x @ y.T >= threshold - 1e-9)
+    for first in range(0, len(p), 16_384):
+        a, b = p[first : first + 16_384], q[first : first + 16_384]
+        score = np.cumsum(x[a] * y[b], axis=1)[:, -1]
+        yield a[score >= threshold], b[score >= threshold], score[score >= threshold]
+
+
 def close_pairs(index: Index, spark: SparkSession, threshold: float) -> DataFrame:
     """``a, b, score``: all pairs of the index, ids ``a < b``, with a cosine of the threshold or more.
 
-    Only blocks of cells whose bound reaches the threshold meet; a task holds two blocks at a time.
+    Only blocks of cells whose bound reaches the threshold meet. A task holds two tiles of a bounded size, and a row goes to at most as many tasks as there are tiles.
     """
-    dim = index.centroids.shape[1]
-    numbered = settled(index.blocks(spark).select("cell", "ids", "vectors", F.monotonically_increasing_id().alias("no")))
-    kind = index.kind
-    a, b = numbered.alias("a"), numbered.alias("b")
-    wanted = settled(cell_pairs(index, spark, threshold))
-    met = wanted.join(a, F.col("a.cell") == wanted["cell"]).join(b, F.col("b.cell") == wanted["other"])
-    met = met.where((wanted["cell"] < wanted["other"]) | (F.col("a.no") <= F.col("b.no")))
+    dim, centroids, kind = index.centroids.shape[1], index.centroids, index.kind
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            types = [batch.schema.field(0).type.value_type] * 2
-            for i in range(batch.num_rows):
-                left, x, right, y, same = (c[i].as_py() for c in batch.columns)
-                x, y = (np.frombuffer(v, "<f8").reshape(-1, dim) for v in (x, y))
-                p, q = np.nonzero(x @ y.T >= threshold - 1e-9)
-                if same:
-                    p, q = p[p < q], q[p < q]
-                score = np.cumsum(x[p] * y[q], axis=1)[:, -1]
-                found = [(min(left[s], right[t]), max(left[s], right[t]), v) for s, t, v in zip(p.tolist(), q.tolist(), score.tolist(), strict=True) if v >= threshold and left[s] != right[t]]
-                for first in range(0, len(found), 65_536):
-                    columns = list(zip(*found[first : first + 65_536], strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [*types, pa.float64()], strict=True)], names=["a", "b", "score"])
-
-    pairs = met.select("a.ids", "a.vectors", F.col("b.ids").alias("ids2"), F.col("b.vectors").alias("vectors2"), (F.col("a.no") == F.col("b.no")).alias("same"))
-    return pairs.mapInArrow(run, f"a {kind}, b {kind}, score double")
+        blocks = _blocks(batches, dim)
+        for i, j in _meetings(blocks, centroids, threshold):
+            left, right = blocks[i], blocks[j]
+            for p, q, score in _reaching(left.x, right.x, threshold):
+                a, b = left.ids[p], right.ids[q]
+                kept = (p < q if i == j else np.ones(len(p), bool)) & (a != b)
+                a, b, score = a[kept], b[kept], score[kept]
+                yield pa.RecordBatch.from_arrays([pa.array(np.where(a < b, a, b)), pa.array(np.where(a < b, b, a)), pa.array(score)], names=["a", "b", "score"])
+
+    return _met(index, spark, threshold, run, f"a {kind}, b {kind}, score double")
+
+
+def close_links(index: Index, spark: SparkSession, threshold: float) -> DataFrame:
+    """``a, b``: of the pairs of ``close_pairs`` so many that the same rows hang together.
+
+    Each task gives the links of a spanning forest of its two tiles, less than one for each of their rows, however many pairs these have. Rows that hang together
+    already are not compared any more.
+    """
+    dim, centroids, kind = index.centroids.shape[1], index.centroids, index.kind
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = _blocks(batches, dim)
+        starts = np.cumsum([0, *(len(b.x) for b in blocks)])
+        root = np.arange(starts[-1])
+        largest = 0
+        for i, j in _meetings(blocks, centroids, threshold):
+            left, right = blocks[i], blocks[j]
+            x_in, y_in = (root[starts[k] : starts[k + 1]] == largest for k in (i, j))
+            found = []
+            # of the pairs only those are left out whose ends both hang together with the largest part
+            for mine, other in ((np.arange(len(left.x)), np.nonzero(~y_in)[0]), (np.nonzero(~x_in)[0], np.nonzero(y_in)[0])):
+                if not len(mine) or not len(other):
+                    continue
+                for p, q, _ in _reaching(left.x[mine], right.x[other], threshold):
+                    p, q = mine[p], other[q]
+                    u, v = starts[i] + p, starts[j] + q
+                    new = root[u] != root[v]
+                    u, v, p, q = u[new], v[new], p[new], q[new]
+                    joined = False
+                    for at in np.unique(np.stack([root[u], root[v]], 1), axis=0, return_index=True)[1].tolist() if len(u) else ():
+                        a, b = int(root[u[at]]), int(root[v[at]])
+                        while root[a] != a:
+                            a = int(root[a])
+                        while root[b] != b:
+                            b = int(root[b])
+                        if a != b:
+                            root[max(a, b)] = min(a, b)
+                            found.append((left.ids[p[at]], right.ids[q[at]]))
+                            joined = True
+                    while joined:
+                        up = root[root]
+                        joined = bool((up != root).any())
+                        root = up
+            if found:
+                largest = int(np.argmax(np.bincount(root)))
+                a, b = (np.array(c, left.ids.dtype) for c in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(np.where(a < b, a, b)), pa.array(np.where(a < b, b, a))], names=["a", "b"])
+
+    return _met(index, spark, threshold, run, f"a {kind}, b {kind}")

@@ -5,9 +5,10 @@ from __future__ import annotations
 import hashlib
 from itertools import product
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from quillgraph.operators import hierarchy
+from quillgraph.operators import graph, hierarchy, similarity, vector_index
 
 
 def test_visible_rows_are_counted_without_listing_them(spark):
@@ -47,3 +48,35 @@ def test_shapes_of_a_tree_are_those_of_the_nested_one(spark):
     assert {r.id: r.shape for r in hierarchy.tree_shapes(tables).collect()} == expected
     found = hierarchy.semester_shapes(tables)
     assert {r.id: r.subjects for r in found.collect()} == {r.semester_id: r["count"] for r in tables["subjects"].where("semester_id is not null").groupBy("semester_id").count().collect()}
+
+
+def test_links_hang_the_same_rows_together(spark, tmp_path, monkeypatch):
+    """Of 1,000 copies, clusters, a zero vector and lone ones; a row goes to a bounded number of tasks."""
+    monkeypatch.setattr(vector_index, "BLOCK_ROWS", 64)
+    rng = np.random.default_rng(4)
+    x = np.vstack([np.tile(rng.normal(size=(1, 8)), (1000, 1)), rng.normal(size=(1500, 8)), np.zeros((1, 8))]).round(4)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    near = u @ u.T >= 0.9
+    index = vector_index.build(df, str(tmp_path / "index"), 8)
+    pairs = vector_index.close_pairs(index, spark, 0.9)
+    assert pairs.count() == (near.sum() - near.trace()) // 2 and pairs.distinct().count() == pairs.count()
+    links = {(r.a, r.b) for r in vector_index.close_links(index, spark, 0.9).collect()}
+    assert all(a < b and near[a, b] for a, b in links)
+    cells, tiles = vector_index._tiles(index, spark, 0.9)
+    assert len({t for t, _, _ in tiles}) <= 2 * vector_index.TILES and len(links) <= len(x) * len({t for t, _, _ in tiles})
+    label = np.arange(len(x))
+    while (least := np.minimum(label, np.where(near, label[None, :], len(x)).min(1))).tolist() != label.tolist():
+        label = least
+    got = {r.id: r.component for r in graph.connected_components(vector_index.close_links(index, spark, 0.9)).collect()}
+    assert [got.get(i, i) for i in range(len(x))] == label.tolist()
+
+
+def test_contexts_of_a_large_component_are_its_first(spark):
+    rows = [(i, "n", None, 0.5, [None, "", f"context {i}", "x"][i % 4], 1, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, name string, definition string, confidence double, context string, mention_count long, ord long")
+    pairs = spark.range(2999).select(F.lit(0).cast("long").alias("a"), (F.col("id") + 1).alias("b"))
+    kept, aliases = similarity.merged_entities(df, pairs)
+    assert [(r.id, r.context, r.mention_count) for r in kept.collect()] == [(0, " ... ".join(r[4] for r in rows if r[4])[:500], 3000)]
+    assert aliases.where("canonical_id = 0").count() == 3000
+    assert similarity.merged_entities(df, pairs, contexts=2)[0].first().context == "context 2 ... x"
