@@ -1,18 +1,22 @@
 """Chunkers: per-document state machines as pandas UDFs that return arrays of chunks.
 
 Sizes are counted in words. Spark splits the documents over tasks; a function sees one document at a time. Helpers are pure Python on
-one text; the public functions at the end are the UDFs to use with ``explode``.
+one text; the UDFs are to be used with ``explode`` on few rows, the operators at the end (``parent_child_rows`` and the like) on tables of any size: a UDF's batch
+of results is held at once, an operator gives chunks on in small slices.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..operators.mentions import automaton, folded, occurrences
 from .text import split_sentences
@@ -243,5 +247,87 @@ def packed(size: int, overlap: int):
     return f
 
 
+# --- operators ----------------------------------------------------------------------------------------------------
+
+#: Characters of chunks (about) that a task holds before it gives them on.
+SLICE_CHARS = 1_000_000
+
+
+def _characters(value: object) -> int:
+    if isinstance(value, str):
+        return len(value)
+    if isinstance(value, (list, tuple, dict)):
+        return sum(map(_characters, value.values() if isinstance(value, dict) else value))
+    return 8
+
+
+def by_slices(df: DataFrame, function: Callable[..., list[tuple]], schema: str) -> DataFrame:
+    """The rows that ``function`` makes of each row's values. What is given on is cut by ``SLICE_CHARS``, so that a task's memory does not grow with its rows."""
+    kinds = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    return df.mapInArrow(lambda batches: _sliced(batches, function, kinds), schema)
+
+
+def _sliced(batches: Iterator[pa.RecordBatch], function: Callable[..., list[tuple]], kinds: pa.Schema) -> Iterator[pa.RecordBatch]:
+    def cut(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, kind.type) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
+
+    rows, held = [], 0
+    for batch in batches:
+        for values in zip(*batch.columns, strict=True):
+            for made in function(*(v.as_py() for v in values)):
+                rows.append(made)
+                held += _characters(made)
+                if held >= SLICE_CHARS or len(rows) == 10_000:
+                    yield cut(rows)
+                    rows, held = [], 0
+    if rows:
+        yield cut(rows)
+
+
+def _chunks(df: DataFrame, fields: dict[str, str], function: Callable[..., list[dict]], key: str, *columns: str | Column) -> DataFrame:
+    """``key`` and the fields of each chunk that ``function`` makes of a row's columns."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def made(ident: object, *values: object) -> list[tuple]:
+        return [(ident, *(c[f] for f in fields)) for c in function(*values)]
+
+    return by_slices(df.select(key, *columns), made, ", ".join([f"{key} {kind}", *(f"{f} {t}" for f, t in fields.items())]))
+
+
+def parent_child_rows(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``key, idx, text, token_count, children``: a row for each parent chunk."""
+    return _chunks(df, {"idx": "int", "text": "string", "token_count": "int", "children": "array<string>"}, lambda t: parents_and_children(t or ""), key, text)
+
+
+def section_rows(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``key, idx, text, token_count, section_path``: a row for each chunk of a section."""
+    return _chunks(df, {"idx": "int", "text": "string", "token_count": "int", "section_path": "array<string>"}, lambda t: section_chunks(t or ""), key, text)
+
+
+def entity_rows(df: DataFrame, key: str, entities: Column, text: str = "text") -> DataFrame:
+    """``key, idx, text, token_count, kind, entities, primary_entity``: a row for each chunk around entities or between."""
+    fields = {"idx": "int", "text": "string", "token_count": "int", "kind": "string", "entities": "array<string>", "primary_entity": "string"}
+    return _chunks(df, fields, lambda t, e: entity_chunks(t or "", e or []), key, text, entities.alias("entities"))
+
+
+def regex_rows(df: DataFrame, key: str, label: Callable[[Column], Column], text: str = "text") -> DataFrame:
+    """``key, idx, text, description``: regex sentence chunks, labelled and then resized."""
+    kind = df.schema[key].dataType.simpleString()
+    parts = by_slices(df.select(key, text), lambda k, t: [(k, regex_sentence_chunks(t or ""))], f"{key} {kind}, chunks array<string>")
+
+    def joined(chunks: list[str], labels: list[str]) -> list[dict]:
+        made = resized([{"text": c, "description": x} for c, x in zip(chunks, labels, strict=True)])
+        return [{"idx": i, **c} for i, c in enumerate(made)]
+
+    return _chunks(parts, {"idx": "int", "text": "string", "description": "string"}, joined, key, "chunks", F.transform("chunks", label).alias("labels"))
+
+
+def batch_rows(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``key, batches``: a row for each document, with the texts of its extraction batches."""
+    kind = df.schema[key].dataType.simpleString()
+    return by_slices(df.select(key, text), lambda k, t: [(k, batches([p.strip() for p in (t or "").split("\n") if p.strip()]))], f"{key} {kind}, batches array<string>")
+
+
 def chunk_id(document_id: Column, idx: Column) -> Column:
     return F.concat(F.lit("chunk_"), document_id, F.lit("_"), idx.cast("string"))

@@ -165,21 +165,20 @@ def _sentences_sql(name: str, source: str) -> str:
   tail AS (SELECT child.k, g, sum(n) AS words FROM child JOIN cu ON cu.k = child.k AND i BETWEEN s AND e GROUP BY child.k, g), kids AS (SELECT k, (max(g) - CASE WHEN max(g) > 1 AND max_by(words, g) < 400 THEN 1 ELSE 0 END)::INT AS children FROM tail GROUP BY k)
   SELECT doc AS doc_id, (g - 1)::INT AS idx, len(w)::INT AS token_count, md5(text) AS text_md5, children FROM body JOIN kids ON kids.k = doc || '-' || g""")
 def _(spark, d):
-    p = _docs(spark, d).select("doc_id", F.explode(c.parent_child_chunks("text")).alias("p"))
-    return p.select("doc_id", "p.idx", "p.token_count", F.md5("p.text").alias("text_md5"), F.size("p.children").alias("children"))
+    return c.parent_child_rows(_docs(spark, d), "doc_id").select("doc_id", "idx", "token_count", F.md5("text").alias("text_md5"), F.size("children").alias("children"))
 
 
 @query("x07_section_chunks", f"""WITH RECURSIVE {_PARAGRAPHS}, {_pieces("unit", "para", 800)}, {_packing("chunk", "unit", 800, 200)}
   SELECT chunk.k AS doc_id, 'chunk_' || chunk.k || '_' || (g - 1) AS id, sum(n)::INT AS token_count, 'Document' AS path FROM chunk JOIN unit ON unit.k = chunk.k AND i BETWEEN s AND e GROUP BY chunk.k, g""")
 def _(spark, d):
-    p = _docs(spark, d).select("doc_id", F.explode(c.chunk_sections("text")).alias("p"))
-    return p.select("doc_id", c.chunk_id(F.col("doc_id").cast("string"), F.col("p.idx")).alias("id"), "p.token_count", F.array_join("p.section_path", "/").alias("path"))
+    p = c.section_rows(_docs(spark, d), "doc_id")
+    return p.select("doc_id", c.chunk_id(F.col("doc_id").cast("string"), F.col("idx")).alias("id"), "token_count", F.array_join("section_path", "/").alias("path"))
 
 
 @query("x08_x09_entity_chunks")
 def _(spark, d):
-    p = _docs(spark, d).select("doc_id", F.explode(c.chunk_around_entities("text", x.stub_entities(F.col("text")))).alias("p"))
-    return p.select("doc_id", "p.idx", "p.kind", "p.token_count", F.size("p.entities").alias("entities"), "p.primary_entity")
+    p = c.entity_rows(_docs(spark, d), "doc_id", x.stub_entities(F.col("text")))
+    return p.select("doc_id", "idx", "kind", "token_count", F.size("entities").alias("entities"), "primary_entity")
 
 
 @query("x10_regex_chunks_x11_resized", rf"""WITH RECURSIVE raw AS (SELECT doc_id AS k, unnest(string_split_regex(coalesce(text, ''), '[.!?]\s+')) AS text, generate_subscripts(string_split_regex(coalesce(text, ''), '[.!?]\s+'), 1) AS i FROM documents),
@@ -195,10 +194,8 @@ def _(spark, d):
   piece AS (SELECT k, h, d, unnest(CASE WHEN len(w) <= 1000 THEN [0] ELSE range(0, len(w) - 100, 900) END) AS a, len(w) AS n FROM joined)
   SELECT k AS doc_id, (row_number() OVER (PARTITION BY k ORDER BY h, a) - 1)::INT AS idx, least(1000, n - a)::INT AS tokens, md5(coalesce(d, '')) AS description_md5 FROM piece""")
 def _(spark, d):
-    parts = _docs(spark, d).select("doc_id", c.chunk_by_regex_sentences("text").alias("chunks"))
-    labels = F.transform("chunks", lambda p: x.chunk_label(p))
-    p = parts.select("doc_id", F.posexplode(c.resize_chunks("chunks", labels)).alias("idx", "p"))
-    return p.select("doc_id", "idx", x.n_tokens(F.col("p.text")).alias("tokens"), F.md5("p.description").alias("description_md5"))
+    p = c.regex_rows(_docs(spark, d), "doc_id", x.chunk_label)
+    return p.select("doc_id", "idx", x.n_tokens(F.col("text")).alias("tokens"), F.md5("description").alias("description_md5"))
 
 
 @query("x15_capitalised_terms", f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents), u AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS w, unnest(list_append(w[2:], '')) AS after FROM w),
@@ -213,7 +210,7 @@ def _(spark, d):
 @query("x26_extraction_batches", f"""WITH RECURSIVE {_PARAGRAPHS}, unit AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY i) AS i, len(w) AS n FROM para), {_packing("batch", "unit", 3000, 200)}
   SELECT doc_id, coalesce(n, 0)::INT AS batches FROM documents LEFT JOIN (SELECT k, max(g) AS n FROM batch GROUP BY k) b ON k = doc_id""")
 def _(spark, d):
-    return _docs(spark, d).select("doc_id", F.size(c.extraction_batches("text")).alias("batches"))
+    return c.batch_rows(_docs(spark, d), "doc_id").select("doc_id", F.size("batches").alias("batches"))
 
 
 # --- templates ------------------------------------------------------------------------------------------------------

@@ -6,8 +6,10 @@ import hashlib
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from quillgraph.functions import chunking
 from quillgraph.operators import graph, hierarchy, similarity, vector_index
 
 
@@ -80,3 +82,24 @@ def test_contexts_of_a_large_component_are_its_first(spark):
     assert [(r.id, r.context, r.mention_count) for r in kept.collect()] == [(0, " ... ".join(r[4] for r in rows if r[4])[:500], 3000)]
     assert aliases.where("canonical_id = 0").count() == 3000
     assert similarity.merged_entities(df, pairs, contexts=2)[0].first().context == "context 2 ... x"
+
+
+def test_chunks_are_given_on_in_slices(spark, monkeypatch):
+    """The operators' chunks are those of the functions, whatever the slices; no batch holds much more than a slice."""
+    monkeypatch.setattr(chunking, "SLICE_CHARS", 20_000)
+    texts = ["One two. Three four!\n" * 900, None, "", "x" * 30_000, "word " * 4000, "Alpha beta. " * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+
+    def expected(function):
+        return [(i, *c.values()) for i, t in enumerate(texts) for c in function(t or "")]
+
+    assert sorted(map(tuple, chunking.parent_child_rows(df, "id").collect())) == sorted(expected(chunking.parents_and_children))
+    assert sorted(map(tuple, chunking.section_rows(df, "id").collect())) == sorted(expected(chunking.section_chunks))
+    found = chunking.entity_rows(df, "id", F.array(F.lit("two"), F.lit("Alpha beta"))).select("id", "idx", "text", "token_count", "kind", "entities", "primary_entity").collect()
+    assert sorted(map(tuple, found), key=lambda r: r[:2]) == expected(lambda t: chunking.entity_chunks(t, ["two", "Alpha beta"]))
+    assert {r.id: r.batches for r in chunking.batch_rows(df, "id").collect()} == {i: chunking.batches([p.strip() for p in (t or "").split("\n") if p.strip()]) for i, t in enumerate(texts)}
+    plain = df.select("id", chunking.chunk_by_regex_sentences("text").alias("c")).select("id", F.posexplode(chunking.resize_chunks("c", F.transform("c", lambda y: F.substring(y, 1, 5)))).alias("idx", "p"))
+    assert sorted(map(tuple, chunking.regex_rows(df, "id", lambda y: F.substring(y, 1, 5)).collect())) == sorted(map(tuple, plain.select("id", "idx", "p.text", "p.description").collect()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000))], names=["id"])
+    slices = list(chunking._sliced(iter([batch]), lambda i: [(i, "y" * 1000)], pa.schema([("id", pa.int64()), ("text", pa.string())])))
+    assert sum(x.num_rows for x in slices) == 1000 and max(x.num_rows for x in slices) == 20
