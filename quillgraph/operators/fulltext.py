@@ -8,7 +8,8 @@ The analyser folds case and accents, drops English stop words and possessives, a
 * ``documents``: one row for each time documents were added: how many, and how long in all.
 
 A search sums what a block's documents can have at most for each query. It scores the few blocks of highest bounds first; only blocks whose
-bound reaches the k-th best score found there are scored after that. So answers are exact, and postings of other blocks are not joined.
+bound reaches the k-th best score found there, for any query, are scored after that. So answers are exact, and postings of other blocks are not joined. Postings are
+shuffled once by block; what queries make of them stays in their tasks but for the scores that reach the k-th best.
 
 Defined results: a text without terms counts as a document of length 0; a row without id is not indexed; rows that repeat an id are different documents; equal scores (to
 ``DIGITS`` decimal places) rank by smaller id; a query finds only documents with one of its terms; terms that a query repeats count as often; weights at or below 0 are dropped.
@@ -99,10 +100,9 @@ def add(index: Index, df: DataFrame, text: str = "text", key: str = "id") -> Non
 
 
 def _add(index: Index, df: DataFrame, text: str, key: str, part: int) -> None:
-    rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast(index.kind).alias("id"), tokens(F.col(text)).alias("tokens"))
-    rows = settled(rows.withColumn("length", F.size("tokens")).withColumn("row", F.monotonically_increasing_id()))
-    words = rows.select("id", "row", "length", F.explode("tokens").alias("token")).withColumn("term", stemmed(F.col("token")))
-    counted = words.groupBy("row", "id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast(index.kind).alias("id"), F.array_sort(F.transform(tokens(F.col(text)), stemmed)).alias("terms"))
+    rows = settled(rows.withColumn("length", F.size("terms")).withColumn("row", F.monotonically_increasing_id()))
+    counted = rows.select("id", "row", "length", F.explode(_counts(F.col("terms"))).alias("c")).select("row", "id", "length", "c.term", "c.tf")
     bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
     shaped = counted.select(F.lit(part).alias("part"), F.floor(F.col("row") / BLOCK_DOCS).cast("long").alias("block"), "row", "id", "term", "tf", "length", bucket.alias("bucket"))
     # a bucket may be split: a frequent term has more postings than one task should write
@@ -114,6 +114,15 @@ def _add(index: Index, df: DataFrame, text: str, key: str, part: int) -> None:
     sums.write.mode("append").parquet(f"{index.path}/documents")
 
 
+def _counts(terms: Column) -> Column:
+    """Each term of a sorted array with its frequency: of a document, so nothing is shuffled."""
+    places = F.sequence(F.lit(0), F.size(terms) - 1)
+    starts = F.filter(places, lambda i: (i == 0) | (F.get(terms, i) != F.get(terms, i - 1)))
+    # the places stand in an array of one, so that they are found once and not for each term
+    counted = F.transform(F.array(starts), lambda s: F.transform(s, lambda at, n: F.struct(F.get(terms, at).alias("term"), (F.coalesce(F.get(s, n + 1), F.size(terms)) - at).cast("long").alias("tf"))))
+    return F.when(F.size(terms) > 0, F.get(counted, F.lit(0)))
+
+
 def query_terms(queries: DataFrame, text: str = "text", key: str = "query_id") -> DataFrame:
     """``query_id, term, weight``: the terms of each query, as often as they occur."""
     words = queries.where(F.col(key).isNotNull()).select(F.col(key).alias("query_id"), F.explode(tokens(F.col(text))).alias("token"))
@@ -150,21 +159,29 @@ def search(index: Index, terms: DataFrame, k: int, seeds: int = SEEDS) -> Found:
     here = index.blocks(spark).where(F.col("bucket").isin(buckets)).join(asked.select("bucket", "term").distinct(), ["bucket", "term"])
     df = here.groupBy("bucket", "term").agg(F.sum("documents").alias("df"))
     weighed = settled(asked.join(df, ["bucket", "term"]).withColumn("idf", F.log1p((F.lit(documents) - F.col("df") + 0.5) / (F.col("df") + 0.5))).drop("df"))
-    tops = here.join(weighed, ["bucket", "term"]).groupBy("query_id", "part", "block").agg((F.sum(gain("most", "shortest")) * (1 + 1e-9)).alias("bound"))
+    # what is summed for each block comes together by block, before it meets the queries: only that is shuffled
+    tops = here.repartition("part", "block").join(weighed, ["bucket", "term"]).groupBy("query_id", "part", "block").agg((F.sum(gain("most", "shortest")) * (1 + 1e-9)).alias("bound"))
     tops = settled(tops)
     highest = Window.partitionBy("query_id").orderBy(F.desc("bound"), "part", "block")
     first = settled(tops.withColumn("_r", F.row_number().over(highest)).where(F.col("_r") <= seeds).drop("_r", "bound"))
 
+    asked_postings = index.postings(spark).where(F.col("bucket").isin(buckets)).join(asked.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi")
+
     def scored(blocks: DataFrame) -> DataFrame:
-        wanted = weighed.join(blocks, "query_id")
-        rows = index.postings(spark).where(F.col("bucket").isin(buckets)).join(wanted, ["bucket", "term", "part", "block"])
-        return settled(rows.groupBy("query_id", "part", "row", "id").agg(F.round(F.sum(gain("tf", "length")), DIGITS).alias("score")))
+        """Of each query and block the documents' scores; postings come together by block, and meet their terms' queries there."""
+        there = asked_postings.join(blocks.select("part", "block").distinct(), ["part", "block"], "left_semi").repartition("part", "block")
+        met = there.join(weighed, ["bucket", "term"])
+        return met.groupBy("query_id", "part", "block", "row", "id").agg(F.round(F.sum(gain("tf", "length")), DIGITS).alias("score"))
 
-    early = scored(first)
+    early = settled(scored(first).join(first, ["query_id", "part", "block"], "left_semi"))
     kth = _ranked(early, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+    kth = settled(kth)
     rest = tops.join(kth, "query_id", "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - 10.0**-DIGITS))
     rest = settled(rest.join(first, ["query_id", "part", "block"], "left_anti").select("query_id", "part", "block"))
-    rows = _ranked(early.unionByName(scored(rest)), k)
+    # a block that one query asks for is scored for all that have its terms: scores below a query's k-th best so far go before anything is shuffled
+    late = scored(rest).join(kth, "query_id", "left").where(F.col("least").isNull() | (F.col("score") >= F.col("least"))).drop("least")
+    late = late.join(first, ["query_id", "part", "block"], "left_anti")
+    rows = _ranked(early.unionByName(late), k)
     return Found(rows.select("query_id", "rank", "id", "score"), first.unionByName(rest))
 
 
