@@ -18,7 +18,10 @@ def document_entities(chunks: DataFrame, mentions: DataFrame) -> DataFrame:
 def document_relations(chunks: DataFrame, mentions: DataFrame, edges: DataFrame) -> DataFrame:
     """How many edges of each type leave a document's entities."""
     found = document_entities(chunks, mentions).withColumnRenamed("entity_id", "src_id")
-    return found.join(edges.select("src_id", "type"), "src_id").groupBy("document_id", "type").agg(F.count(F.lit(1)).alias("n"))
+    # an entity's edges are counted first: a document meets one row for each entity, and its types come together once
+    each = edges.groupBy("src_id", "type").agg(F.count(F.lit(1)).alias("n")).groupBy("src_id").agg(F.collect_list(F.struct("type", "n")).alias("types"))
+    met = found.join(each, "src_id").select("document_id", "types").repartition("document_id").select("document_id", F.explode("types").alias("t"))
+    return met.groupBy("document_id", "t.type").agg(F.sum("t.n").alias("n"))
 
 
 def document_coverage(documents: DataFrame, chunks: DataFrame, mentions: DataFrame) -> DataFrame:

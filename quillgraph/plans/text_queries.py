@@ -514,7 +514,7 @@ def _(spark, d):
 def _(spark, d):
     _, ch, m = _etl(spark, d)
     r = quality.document_relations(ch, m, roles.edges(spark, d))
-    return r.groupBy("type").agg(F.sum("n").alias("n"), F.countDistinct("document_id").alias("documents"))
+    return r.groupBy("type").agg(F.sum("n").alias("n"), F.count("document_id").alias("documents"))  # one row for each document and type
 
 
 @query("j03_document_coverage", f"WITH {_ETL}, c AS (SELECT document_id, count(*) AS n FROM chunks GROUP BY 1), e AS (SELECT document_id, count(DISTINCT entity_id) AS n FROM chunks JOIN mentions ON chunk_id = chunks.id GROUP BY 1) SELECT docs.id AS document_id, chunk_count AS stored, coalesce(c.n, 0) AS chunks, coalesce(e.n, 0) AS entities FROM docs LEFT JOIN c ON c.document_id = docs.id LEFT JOIN e ON e.document_id = docs.id")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillgraph.functions import chunking
-from quillgraph.operators import graph, hierarchy, similarity, vector_index
+from quillgraph.operators import graph, hierarchy, quality, similarity, vector_index
 
 
 def test_visible_rows_are_counted_without_listing_them(spark):
@@ -103,3 +103,14 @@ def test_chunks_are_given_on_in_slices(spark, monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(range(1000))], names=["id"])
     slices = list(chunking._sliced(iter([batch]), lambda i: [(i, "y" * 1000)], pa.schema([("id", pa.int64()), ("text", pa.string())])))
     assert sum(x.num_rows for x in slices) == 1000 and max(x.num_rows for x in slices) == 20
+
+
+def test_edges_are_counted_before_documents_meet_them(spark):
+    """300 documents share an entity of 3,000 edges of two types: 900,000 rows if each met each."""
+    chunks = spark.range(300).select(F.col("id"), F.when(F.col("id") != 7, F.col("id")).alias("document_id"))
+    mentions = spark.range(300).select(F.col("id").alias("chunk_id"), F.lit("e").alias("entity_id"))
+    edges = spark.range(3000).select(F.lit("e").alias("src_id"), F.when(F.col("id") % 3 == 0, "USES").alias("type"))
+    found = quality.document_relations(chunks, mentions, edges)
+    assert sorted(map(str, found.groupBy("type", "n").agg(F.count(F.lit(1)), F.count("document_id")).collect())) == sorted(["Row(type='USES', n=1000, count(1)=300, count(document_id)=299)", "Row(type=None, n=2000, count(1)=300, count(document_id)=299)"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in plan[plan.index("Join") :]
