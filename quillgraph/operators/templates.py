@@ -6,9 +6,11 @@ Templates are a small parameter; users may pass their own. They can also live in
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -107,21 +109,29 @@ def sections(df: DataFrame, key: str, template: Template, text: str = "text") ->
     A section begins at its first matching line and ends where the next one begins. A document without any is one section,
     the template's first, at confidence 0.5.
     """
-    lines = df.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line", "content"))
-    names = F.filter(
-        F.array(*[F.when(F.greatest(*[F.col("content").rlike(p) for p in s.patterns], F.lit(False)), F.lit(s.name)) for s in template.sections]), lambda x: x.isNotNull()
-    )
-    first = lines.select(key, "line", F.explode(names).alias("section")).groupBy(key, "section").agg(F.min("line").alias("start"))
-    total = df.select(key, F.size(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("_n"))
-    rank = F.create_map(*[F.lit(x) for i, s in enumerate(template.sections) for x in (s.name, i)])
-    sure = F.create_map(*[F.lit(x) for s in template.sections for x in (s.name, 0.9 if s.required else 0.8)])
-    w = Window.partitionBy(key).orderBy("start", "_o")
-    found = first.withColumn("_o", rank[F.col("section")]).withColumn("_next", F.lead("start").over(w))
-    joined = total.join(found, key, "left")
-    return joined.select(
-        key, F.coalesce("section", F.lit(template.sections[0].name)).alias("section"), F.coalesce("start", F.lit(0)).alias("start"), F.coalesce("_next", "_n").alias("end"),
-        F.when(F.col("section").isNull(), 0.5).otherwise(sure[F.col("section")]).alias("confidence"),
-    )
+    return sections_of_all(df, key, (template,), text).drop("template")
+
+
+def sections_of_all(df: DataFrame, key: str, templates: tuple[Template, ...], text: str = "text") -> DataFrame:
+    """``sections`` for each of the templates, named ``template``: one pass over the documents, whose lines are read where they lie."""
+    cut = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
+
+    def found(s: Section, order: int, lines: Column) -> Column:
+        """The section's place, if it has one."""
+        hit = F.array_position(F.transform(lines, lambda line: reduce(or_, [line.rlike(p) for p in s.patterns], F.lit(False))), True)
+        return F.when(hit > 0, F.struct((hit - 1).cast("int").alias("start"), F.lit(order).alias("o"), F.lit(s.name).alias("section"), F.lit(0.9 if s.required else 0.8).alias("confidence")))
+
+    def placed(t: Template, lines: Column) -> Column:
+        there = F.array_sort(F.filter(F.array(*[found(s, i, lines) for i, s in enumerate(t.sections)]), lambda x: x.isNotNull()))
+        whole = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("o"), F.lit(t.sections[0].name).alias("section"), F.lit(0.5).alias("confidence")))
+        # what is found stands in an array of one, so that it is found once
+        return F.get(F.transform(F.array(there), lambda x: F.struct(F.lit(t.name).alias("template"), F.size(lines).alias("n"), F.when(F.size(x) > 0, x).otherwise(whole).alias("parts"))), F.lit(0))
+
+    every = F.get(F.transform(F.array(cut), lambda lines: F.array(*[placed(t, lines) for t in templates])), F.lit(0))
+    rows = df.select(key, F.explode(every).alias("_t"))
+    rows = rows.select(key, "_t", F.posexplode("_t.parts").alias("_i", "_p"))
+    ends = F.coalesce(F.get("_t.parts", F.col("_i") + 1)["start"], F.col("_t.n"))
+    return rows.select(key, F.col("_p.section").alias("section"), F.col("_p.start").alias("start"), ends.alias("end"), F.col("_p.confidence").alias("confidence"), F.col("_t.template").alias("template"))
 
 
 def quality(found: Column, total: Column, missing_required: Column, entities: Column, confidence: Column) -> Column:

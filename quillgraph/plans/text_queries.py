@@ -297,8 +297,7 @@ def _sections_sql(known) -> str:
 
 @query("x19_sections_of_all_templates", _sections_sql(templates.TEMPLATES))
 def _(spark, d):
-    forms = _many_forms(spark, d)
-    return graph.union_all([templates.sections(forms, "o_orderkey", y).withColumn("template", F.lit(y.name)) for y in templates.TEMPLATES])
+    return templates.sections_of_all(_many_forms(spark, d), "o_orderkey", templates.TEMPLATES)
 
 
 @query("x20_template_quality", """SELECT o_orderkey, round(greatest(0.0, least(1.0, 0.4 * greatest(0.0, (o_orderkey % 6) / 6.0::DOUBLE - 0.1 * (o_orderkey % 3)) + 0.3 * least((o_custkey % 15) / 10.0::DOUBLE, 1.0) + 0.3 * 0.8)), 6) AS quality FROM orders""")

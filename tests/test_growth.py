@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillgraph.functions import chunking
-from quillgraph.operators import graph, hierarchy, quality, similarity, vector_index
+from quillgraph.operators import graph, hierarchy, quality, similarity, templates, vector_index
 
 
 def test_visible_rows_are_counted_without_listing_them(spark):
@@ -114,3 +114,14 @@ def test_edges_are_counted_before_documents_meet_them(spark):
     assert sorted(map(str, found.groupBy("type", "n").agg(F.count(F.lit(1)), F.count("document_id")).collect())) == sorted(["Row(type='USES', n=1000, count(1)=300, count(document_id)=299)", "Row(type=None, n=2000, count(1)=300, count(document_id)=299)"])
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" in plan[plan.index("Join") :]
+
+
+def test_sections_of_all_templates_take_one_pass(spark):
+    """No shuffle, one read; documents that share a key keep their own sections."""
+    df = spark.createDataFrame([(1, "Background\nx\nProblem: late\nBackground"), (1, "nothing"), (None, None), (2, "Solution\n\nOutcome")], "id long, text string")
+    found = templates.sections_of_all(df, "id", templates.TEMPLATES)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan and "Union" not in plan
+    case = [(r.id, r.section, r.start, r.end, r.confidence) for r in found.where("template = 'case_study'").collect()]
+    assert case == [(1, "Background", 0, 2, 0.9), (1, "Problem", 2, 4, 0.9), (1, "Background", 0, 1, 0.5), (None, "Background", 0, 1, 0.5), (2, "Solution", 0, 2, 0.9), (2, "Outcome", 2, 3, 0.8)]
+    assert {r.template for r in found.collect()} == {t.name for t in templates.TEMPLATES}
