@@ -280,23 +280,34 @@ def paths(nodes: DataFrame, edges: DataFrame, seeds: list[str], depth: int = 2,
     depth = max(1, min(depth, MAX_DEPTH))
     far = nodes if modules is None else nodes.where(F.col("module_id").isin(*modules) | F.col("module_id").isNull())
     far = far.select(F.col("id").alias("end")).distinct()
-    kept = induced(edges, nodes) if modules is None else edges
-    ways = both_ways(kept.select("src_id", "dst_id", "type", F.lit(None).cast("double").alias("confidence")).distinct()).where(F.col("is_outgoing") | (F.col("id") != F.col("other")))
+    kept = edges.select("src_id", "dst_id", "type")
+    known = nodes.select("id").distinct()
     step = F.struct("other", "type", "is_outgoing")
     edge = F.when(F.col("is_outgoing"), F.struct(F.col("id").alias("src_id"), F.col("other").alias("dst_id"), "type")).otherwise(F.struct(F.col("other").alias("src_id"), F.col("id").alias("dst_id"), "type"))
-    ways = ways.select("id", F.col("other").alias("next"), step.alias("step"), edge.alias("edge"))
-    if modules is None:
-        first = Window.partitionBy("id").orderBy("step")
-        ways = ways.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= limit + depth).drop("_r")
-    ways = settled(ways)
+
+    def ways_from(frontier: DataFrame) -> DataFrame:
+        """The different edges at the ends of the frontier's paths: of all others nothing is shuffled or written."""
+        at = frontier.select(F.col("end").alias("id")).distinct()
+        out = kept.join(at.withColumnRenamed("id", "src_id"), "src_id", "left_semi").select(F.col("src_id").alias("id"), F.col("dst_id").alias("other"), "type", F.lit(True).alias("is_outgoing"))
+        back = kept.join(at.withColumnRenamed("id", "dst_id"), "dst_id", "left_semi").select(F.col("dst_id").alias("id"), F.col("src_id").alias("other"), "type", F.lit(False).alias("is_outgoing"))
+        there = out.unionByName(back.where(F.col("id") != F.col("other"))).distinct()
+        if modules is None:
+            there = there.join(known, "id", "left_semi").join(known.withColumnRenamed("id", "other"), "other", "left_semi")
+        there = there.select("id", F.col("other").alias("next"), step.alias("step"), edge.alias("edge"))
+        if modules is None:
+            first = Window.partitionBy("id").orderBy("step")
+            there = there.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= limit + depth).drop("_r")
+        return there
+
     spark = edges.sparkSession
     start = spark.createDataFrame([(x,) for x in dict.fromkeys(seeds)], "seed string").join(nodes.select(F.col("id").alias("seed")).distinct(), "seed", "left_semi")
-    step_type, edge_type = (ways.schema[c].dataType.simpleString() for c in ("step", "edge"))
+    start = settled(start)
+    step_type, edge_type = "struct<other:string,type:string,is_outgoing:boolean>", "struct<src_id:string,dst_id:string,type:string>"
     frontier = start.select("seed", F.col("seed").alias("end"), F.expr(f"cast(array() as array<{step_type}>)").alias("steps"), F.expr(f"cast(array() as array<{edge_type}>)").alias("used"))
     left = start.withColumn("left", F.lit(limit))
     found = []
     for hops in range(1, depth + 1):
-        longer = frontier.join(ways, F.col("end") == F.col("id")).where(~F.array_contains("used", F.col("edge")))
+        longer = frontier.join(ways_from(frontier), F.col("end") == F.col("id")).where(~F.array_contains("used", F.col("edge")))
         longer = longer.select("seed", F.col("next").alias("end"), F.concat("steps", F.array("step")).alias("steps"), F.concat("used", F.array("edge")).alias("used")).join(left, "seed")
         counted = longer if modules is None else longer.join(far, "end", "left_semi")
         order = Window.partitionBy("seed").orderBy("steps")

@@ -125,3 +125,17 @@ def test_sections_of_all_templates_take_one_pass(spark):
     case = [(r.id, r.section, r.start, r.end, r.confidence) for r in found.where("template = 'case_study'").collect()]
     assert case == [(1, "Background", 0, 2, 0.9), (1, "Problem", 2, 4, 0.9), (1, "Background", 0, 1, 0.5), (None, "Background", 0, 1, 0.5), (2, "Solution", 0, 2, 0.9), (2, "Outcome", 2, 3, 0.8)]
     assert {r.template for r in found.collect()} == {t.name for t in templates.TEMPLATES}
+
+
+def test_paths_write_only_what_lies_near_their_seeds(spark, monkeypatch):
+    """A graph of 3,000 edges far from the seed, and three near it."""
+    written = []
+    settled = graph.settled
+    monkeypatch.setattr(graph, "settled", lambda df: (out := settled(df), written.append(out.count()))[0])
+    near = [("a", "b", "USES"), ("b", "c", "USES"), ("c", "a", "EXTENDS")]
+    edges = spark.createDataFrame([*near, *((f"x{i}", f"x{i + 1}", "USES") for i in range(3000))], "src_id string, dst_id string, type string").withColumn("confidence", F.lit(0.5))
+    nodes = spark.createDataFrame([(x, "m1") for x in "abc"] + [(f"x{i}", "m2") for i in range(3001)], "id string, module_id string")
+    for modules in (None, ["m1"]):
+        found = graph.paths(nodes, edges, ["a"], 2, modules)
+        assert [(r.hops, [s.other for s in r.steps]) for r in found.orderBy("rank").collect()] == [(1, ["b"]), (1, ["c"]), (2, ["b", "c"]), (2, ["c", "b"])]
+    assert written and max(written) < 10
