@@ -223,7 +223,8 @@ def search(index: Index, queries: DataFrame, k: int, label: str | None = None, e
         if label is not None:
             blocks = blocks.where(F.col("label") == label)
         groups = wanted.groupBy("cell", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).alias("chunk")).agg(F.collect_list(F.struct("query_id", "u")).alias("asked"))
-        both = blocks.join(groups, "cell").select("ids", "vectors", F.col("asked.query_id").alias("q_ids"), F.col("asked.u").alias("q_vectors"))
+        # vectors that many cells are asked for look small where they lie written, and are not: they never go through the driver
+        both = blocks.join(groups.hint("merge"), "cell").select("ids", "vectors", F.col("asked.query_id").alias("q_ids"), F.col("asked.u").alias("q_vectors"))
         return settled(both.mapInArrow(_best(k, dim, least_cosine), f"query_id {kind}, id {index.kind}, score double"))
 
     first = settled(asked.mapInArrow(pairs(True), schema))

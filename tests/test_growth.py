@@ -139,3 +139,15 @@ def test_paths_write_only_what_lies_near_their_seeds(spark, monkeypatch):
         found = graph.paths(nodes, edges, ["a"], 2, modules)
         assert [(r.hops, [s.other for s in r.steps]) for r in found.orderBy("rank").collect()] == [(1, ["b"]), (1, ["c"]), (2, ["b", "c"]), (2, ["c", "b"])]
     assert written and max(written) < 10
+
+
+def test_queries_of_an_index_do_not_pass_the_driver(spark, tmp_path, monkeypatch):
+    plans = []
+    settled = vector_index.settled
+    monkeypatch.setattr(vector_index, "settled", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), settled(df))[1])
+    df = spark.range(300).select("id", F.array(F.sin("id"), F.cos("id"), F.sin(F.col("id") * 3)).alias("embedding"))
+    index = vector_index.build(df, str(tmp_path / "index"), 3)
+    found = vector_index.search(index, df.where("id % 10 = 0").withColumnRenamed("id", "query_id"), 3).rows
+    assert found.where("rank = 1 and id = query_id").count() == 30
+    scans = [p for p in plans if "q_vectors" in p]
+    assert len(scans) == 2 and all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in scans)
