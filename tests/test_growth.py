@@ -130,6 +130,43 @@ def test_paths_write_only_what_lies_near_their_seeds(spark, monkeypatch):
     assert written and max(written) < 10
 
 
+def _reached(pairs):
+    least = {x: x for p in pairs for x in p}
+    while moved := [(x, y) for a, b in pairs for x, y in ((a, least[b]), (b, least[a])) if y < least[x]]:
+        for x, y in moved:
+            least[x] = min(least[x], y)
+    return least
+
+
+def test_components_read_all_pairs_in_the_first_round_alone(spark, monkeypatch):
+    """30 suppliers of 2,000 parts in three copies, a star and a chain: rows written, where each of the old rounds read all links again in both ways."""
+    pairs = [(f"{c}s{i * 7 % 30}", f"{c}p{i % 2000}") for c in range(3) for i in range(20_000)] + [("hub", f"h{i}") for i in range(3000)] + [(f"c{i}", f"c{i + 1}") for i in range(300)]
+    written = []
+    settled = graph.settled
+    monkeypatch.setattr(graph, "settled", lambda df: (out := settled(df), written.append(out.count()))[0])
+    got = graph.connected_components(spark.createDataFrame(pairs, "a string, b string")).collect()
+    assert len(got) == len({r.id for r in got}) and {r.id: r.component for r in got} == _reached(pairs)
+    nodes = len(got)
+    # the pairs once, and nodes a few times, less in each round
+    assert written[0] == len(pairs) and max(written[1:]) == nodes and sum(written[1:]) < 6 * nodes
+
+
+def test_components_of_odd_pairs(spark, monkeypatch):
+    """Missing ends, loops, numbers of two types as ids, no pairs; and ids whose first numbers collide."""
+    def components(rows, schema):
+        return {r.id: r.component for r in graph.connected_components(spark.createDataFrame(rows, schema)).collect()}
+
+    odd = [("a", None), (None, "b"), (None, None), ("c", "c"), ("d", "e"), ("e", "d"), ("d", "e"), ("e", "e"), ("", "f")]
+    assert components(odd, "a string, b string") == {"c": "c", "d": "d", "e": "d", "": "", "f": ""}
+    assert components([("c", "c")], "a string, b string") == {"c": "c"}
+    assert components([], "a string, b string") == {} and components([("c", None)], "a string, b string") == {}
+    assert components([(3, 2**40), (5, 3), (-1, 9)], "a int, b long") == {3: 3, 5: 3, 2**40: 3, -1: -1, 9: -1}
+    number, tried = graph._number, set()
+    monkeypatch.setattr(graph, "_number", lambda node, seed: (tried.add(seed), F.pmod(number(node, seed), F.lit(7)) if seed == 0 else number(node, seed))[1])
+    pairs = [(f"n{i}", f"n{i + 3}") for i in range(40)]
+    assert components(pairs, "a string, b string") == _reached(pairs) and 1 in tried
+
+
 def test_queries_of_an_index_do_not_pass_the_driver(spark, tmp_path, monkeypatch):
     plans = []
     settled = vector_index.settled
